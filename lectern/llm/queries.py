@@ -6,20 +6,69 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate
+from lectern.llm import decontaminate, warc
+from lectern.llm.common import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    found = warc.page_digests(warc.read_records(spark, path))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_boundary_chain": op1_warc_boundary_chain,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc_boundary_chain": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+        ), d AS (SELECT *, sha1(body) AS payload_digest FROM p),
+        k AS (
+            SELECT payload_digest, max(page_id) AS keeper, count(*) AS n FROM d
+            WHERE payload_bytes >= 1000 GROUP BY payload_digest
+        )
+        SELECT d.page_id, d.payload_bytes, d.payload_digest,
+            CASE WHEN n > 1 AND d.page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN n > 1 AND d.page_id <> keeper THEN keeper END AS refers_to
+        FROM d LEFT JOIN k USING (payload_digest)
+    """,
+    "op10_benchmark_decontamination": r"""
+        WITH dw AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), iw AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), win AS (
+            SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS s
+            FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM iw WHERE len(w) > 0)
+        ), pos AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM dw),
+        hit AS (
+            SELECT doc_id, i, n, item_id FROM (
+                SELECT doc_id, i, l.n, array_to_string(w[i:i + l.n - 1], ' ') AS s
+                FROM pos, (SELECT DISTINCT n FROM win) l WHERE i + l.n - 1 <= len(w)
+            ) JOIN win USING (n, s)
+        ), per_word AS (
+            SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hit) GROUP BY doc_id
+        ), per_item AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ks
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM hit) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(ks, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM dw LEFT JOIN per_word USING (doc_id) LEFT JOIN per_item USING (doc_id)
+    """,
+}
