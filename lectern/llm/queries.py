@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, pii, secrets, warc
+from lectern.llm import decontaminate, packing, pii, secrets, tokens, warc
 from lectern.llm.common import scratch_path
 
 
@@ -25,6 +26,17 @@ def op5_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents")).drop("random")
 
 
+def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths are UTF-8 bytes, the units of byte-level models."""
+    return packing.pack(_table(spark, sf_dir, "documents"), F.octet_length("text"))
+
+
+def op6_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_table(spark, sf_dir, "documents")).drop("found")
 
@@ -36,7 +48,9 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_boundary_chain": op1_warc_boundary_chain,
+    "op3_length_buckets": op3_length_buckets,
     "op5_randomness_battery": op5_randomness_battery,
+    "op6_digest_cache": op6_digest_cache,
     "op7_weak_supervision": op7_weak_supervision,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
