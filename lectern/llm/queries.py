@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, packing, pii, secrets, tokens, warc
+from lectern.llm import decontaminate, langid, packing, pii, secrets, tokens, warc
 from lectern.llm.common import scratch_path
 
 
@@ -31,6 +31,13 @@ def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), F.octet_length("text"))
 
 
+def op4_kneser_ney_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
+    found = langid.identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,6 +56,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_boundary_chain": op1_warc_boundary_chain,
     "op3_length_buckets": op3_length_buckets,
+    "op4_kneser_ney_language_id": op4_kneser_ney_language_id,
     "op5_randomness_battery": op5_randomness_battery,
     "op6_digest_cache": op6_digest_cache,
     "op7_weak_supervision": op7_weak_supervision,
