@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, langid, packing, pii, secrets, tokens, warc
+from lectern.llm import ann, decontaminate, langid, packing, pii, secrets, tokens, warc
 from lectern.llm.common import scratch_path
 
 
@@ -48,6 +48,11 @@ def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_table(spark, sf_dir, "documents")).drop("found")
 
 
+def op8_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_randomness_battery": op5_randomness_battery,
     "op6_digest_cache": op6_digest_cache,
     "op7_weak_supervision": op7_weak_supervision,
+    "op8_multiprobe_lsh": op8_multiprobe_lsh,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
