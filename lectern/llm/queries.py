@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, decontaminate, langid, packing, pii, secrets, tokens, warc
+from lectern.llm import ann, decontaminate, langid, ngram_join, packing, pii, secrets, tokens, warc
 from lectern.llm.common import scratch_path
 
 
@@ -53,6 +53,10 @@ def op8_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
+def op9_jaccard_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_digest_cache": op6_digest_cache,
     "op7_weak_supervision": op7_weak_supervision,
     "op8_multiprobe_lsh": op8_multiprobe_lsh,
+    "op9_jaccard_metric_join": op9_jaccard_metric_join,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
