@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, decontaminate, langid, ngram_join, packing, pii, secrets, tokens, warc
+from lectern.llm import ann, decontaminate, langid, lines, ngram_join, packing, pii, secrets, tokens, warc
 from lectern.llm.common import scratch_path
 
 
@@ -26,6 +26,11 @@ def op5_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents")).drop("random")
 
 
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths are UTF-8 bytes, the units of byte-level models."""
     return packing.pack(_table(spark, sf_dir, "documents"), F.octet_length("text"))
@@ -64,6 +69,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_boundary_chain": op1_warc_boundary_chain,
+    "op2_fuzzy_lines": op2_fuzzy_lines,
     "op3_length_buckets": op3_length_buckets,
     "op4_kneser_ney_language_id": op4_kneser_ney_language_id,
     "op5_randomness_battery": op5_randomness_battery,
