@@ -161,7 +161,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def search(
     vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5,
-    tables: int = 24, width: int = 6, scale: float = 1.0, probes: int = 200, seed: int = 17, shard_rows: int = 8_000,
+    tables: int = 24, width: int = 6, scale: float = 1.0, probes: int = 200, seed: int = 17, shard_rows: int = 32_000,
 ) -> DataFrame:
     """The ``k`` nearest found for each query: query_id, rank, vec_id, score; by cosine, ties to the smaller id.
 
