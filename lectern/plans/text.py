@@ -24,7 +24,7 @@ _scalar("clean_text", lambda: X.clean_text(F.col("text")),
         '[\x00-\x08\x0B-\x1F\x7F]', '', 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))""")
 _scalar("remove_extra_whitespace", lambda: X.remove_extra_whitespace(F.col("text")), rf"trim(regexp_replace(text, '{_S}+', ' ', 'g'))")
 _scalar("normalize_cjk_punctuation", lambda: X.normalize_cjk_punctuation(F.concat("text", F.lit("，《完》。"))),
-        r"translate(text || '，《完》。', '，。！？：；“”‘’（）【】《》', ',.!?:;""''''()[]<>')")
+        r'''translate(text || '，《完》。', '，。！？：；“”‘’（）【】《》', ',.!?:;""' || chr(39) || chr(39) || '()[]<>')''')
 _scalar("normalize_chunk_text", lambda: X.normalize_chunk_text(F.col("text")),
         r"""trim(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(text, '[ \t\x{3000}]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'),
         chr(10)), lambda x: trim(x)), chr(10)), ' ' || chr(10))""")
