@@ -10,6 +10,7 @@ windows and recursion of ``metric`` give the links.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -61,47 +62,51 @@ def _sketch(words: int):
     return run
 
 
-def _prefixes(words: int, percent: int, before, late):
-    """Texts to (id, n, prefix) in the order that puts the shingles ``late`` last.
-
-    With ``before`` (an earlier order's late shingles), only texts whose prefix differs from that.
-    """
+def _cells(words: int, percent: int, late):
+    """Texts to (id, cells): the prefix in the order that puts the shingles ``late`` last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, sizes, out = [], [], []
-                for text in binary_column(part, "text"):
-                    found = shingle_set(text, words)
-                    prefix = _prefix(found, percent, late.value)
-                    if len(found) and (before is None or not np.array_equal(prefix, _prefix(found, percent, before.value))):
-                        ids.append(set_id(found))
-                        sizes.append(len(found))
-                        out.append(prefix.view(np.int64))
+                sets = [s for s in (shingle_set(t, words) for t in binary_column(part, "text")) if len(s)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["id", "n", "prefix"]
-                )
+                    [pa.array([set_id(s) for s in sets], pa.int64()),
+                     pa.array([_prefix(s, percent, late.value).view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                    ["id", "cells"],
+                )
 
     return run
 
 
-def _sets(words: int):
-    """(id, text) to (id, body), without texts whose set has another id."""
+def _whole_sets(words: int, percent: int, late):
+    """All shingles of the texts that have one of ``late`` in their prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = [(i, shingle_set(t, words)) for i, t in zip(part.column(0).to_pylist(), binary_column(part, "text"), strict=True)]
-                sets = [(i, s) for i, s in sets if len(s) and set_id(s) == i]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for i, _ in sets], pa.int64()), pa.array([s.tobytes() for _, s in sets], pa.binary())], ["id", "body"]
-                )
+                sets = [shingle_set(t, words) for t in binary_column(part, "text")]
+                plain = [_prefix(s, percent, late.value[:0]) for s in sets]
+                hit = [s.view(np.int64) for s, p in zip(sets, plain, strict=True) if np.isin(p, late.value).any()]
+                yield pa.RecordBatch.from_arrays([pa.array(hit, pa.list_(pa.int64()))], ["cells"])
 
     return run
 
 
-def _to_set(body) -> np.ndarray:
-    return np.frombuffer(body, np.uint64)
+def _owned(words: int):
+    """(id, text) without texts whose set has another id (of rows that repeat a document id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                pairs = zip(part.column(0).to_pylist(), binary_column(part, "text"), strict=True)
+                kept = [(i, t) for i, t in pairs if set_id(shingle_set(t, words)) == i]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int64()), pa.array([t for _, t in kept], pa.binary())], ["id", "body"])
+
+    return run
+
+
+def _set_of(body, words: int) -> np.ndarray:
+    return shingle_set(bytes(body), words)
 
 
 def jaccard_components(
@@ -122,35 +127,37 @@ def jaccard_components(
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = materialise(rows.mapInArrow(_sketch(words), "doc_id bigint, n bigint, id bigint"), "ngram-sketch")
-    items = materialise(sketch.filter("n > 0").groupBy("id").agg(F.min("doc_id").alias("first")), "ngram-items")
+    items = sketch.filter("n > 0").groupBy("id").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"))
+    items = materialise(items, "ngram-items")
+    first = materialise(items.select("id", "first"), "ngram-first")
 
     def texts(wanted: DataFrame) -> DataFrame:
         """(id, text) of one document for each item of ``wanted`` (id, first), materialised."""
-        picked = rows.join(small_enough(wanted), F.col("doc_id").eqNullSafe(F.col("first")))
-        return picked.select("id", "text")
+        return rows.join(small_enough(wanted), F.col("doc_id").eqNullSafe(F.col("first"))).select("id", "text")
 
-    # Copies add nothing but work: they are left out if that needs no shuffle of texts.
-    single = texts(items) if table_bytes(items) <= BROADCAST_BYTES else rows
-    late = context.broadcast(np.empty(0, np.uint64))
-    before = None
-    while True:  # crowded shingles go last; texts whose prefix that changes may show further ones
-        prefixes = single.mapInArrow(_prefixes(words, percent, before, late), "id bigint, n bigint, prefix array<bigint>")
-        sizes = prefixes.select(F.explode("prefix").alias("cell")).groupBy("cell").count().filter(F.col("count") > CROWDED)
+    def crowded(sets: DataFrame) -> np.ndarray:
+        """Shingles in more than ``CROWDED`` of the sets, or more where those would be too many to send out."""
+        sizes = sets.select(F.explode("cells").alias("cell")).groupBy("cell").count().filter(F.col("count") > CROWDED)
         sizes = materialise(sizes, "ngram-crowded")
-        total = sizes.agg(F.sum("count")).first()[0] or 0
-        most = max(CROWDED, total // MOST_CROWDED)
-        crowded = [r["cell"] for r in sizes.filter(F.col("count") > most).select("cell").toLocalIterator()]
-        new = np.setdiff1d(np.array(crowded, np.int64).view(np.uint64), late.value)
-        if not len(new):
-            break
-        before, late = late, context.broadcast(np.union1d(late.value, new))
-    prefixes = single.mapInArrow(_prefixes(words, percent, None, late), "id bigint, n bigint, prefix array<bigint>")
-    postings = prefixes.select(F.explode("prefix").alias("cell"), "id", "n").repartition("cell").groupBy("cell", "id").agg(F.first("n").alias("n"))
+        most = max(CROWDED, (sizes.agg(F.sum("count")).first()[0] or 0) // MOST_CROWDED)
+        found = [r["cell"] for r in sizes.filter(F.col("count") > most).select("cell").toLocalIterator()]
+        return np.sort(np.array(found, np.int64).view(np.uint64))
+
+    # Copies add nothing but work: they are left out if that needs no shuffle of texts.
+    single = texts(first) if table_bytes(first) <= BROADCAST_BYTES else rows
+    kind = "id bigint, cells array<bigint>"
+    late = context.broadcast(crowded(single.mapInArrow(_cells(words, percent, context.broadcast(np.empty(0, np.uint64))), kind)))
+    if len(late.value):  # the rest of what those texts share, so that it does not come forward in its place
+        more = crowded(single.mapInArrow(_whole_sets(words, percent, late), "cells array<bigint>"))
+        late = context.broadcast(np.union1d(late.value, more))
+    postings = single.mapInArrow(_cells(words, percent, late), kind).select(F.explode("cells").alias("cell"), "id")
+    postings = postings.repartition("cell").distinct()
     shared = postings.withColumn("c", F.count("*").over(Window.partitionBy("cell"))).filter("c > 1").drop("c")
-    cells = materialise(shared, "ngram-cells")
-    wanted = materialise(items.join(cells.select("id").distinct(), "id", "left_semi"), "ngram-wanted")
-    bodies = texts(wanted).mapInArrow(_sets(words), "id bigint, body binary").dropDuplicates(["id"])
-    roots = components(links(cells, materialise(bodies, "ngram-sets"), _to_set, percent))
+    cells = materialise(materialise(shared, "ngram-shared").join(items.select("id", "n"), "id").select("cell", "id", "n"), "ngram-cells")
+    wanted = materialise(first.join(cells.select("id").distinct(), "id", "left_semi"), "ngram-wanted")
+    # Texts compress better than their shingles do, so these travel to be compared.
+    bodies = materialise(texts(wanted).mapInArrow(_owned(words), "id bigint, body binary").dropDuplicates(["id"]), "ngram-texts")
+    roots = components(links(cells, bodies, partial(_set_of, words=words), percent))
     least = materialise(items.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "first"), "ngram-roots")
     groups = least.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = materialise(least.join(groups, "root").select("id", "component_id"), "ngram-groups")
