@@ -77,15 +77,16 @@ def signatures(lines: list[bytes]) -> np.ndarray:
         at = ends - j
         keep[at[at < len(hashes)]] = False
     first = np.concatenate(([0], np.cumsum(keep)))[starts]
-    hashes = hashes[keep]
+    hashes = (hashes[keep] >> np.uint64(32)).astype(np.uint32)
     rng = np.random.default_rng(2024)
-    odd = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    odd = rng.integers(0, 1 << 31, BANDS * BAND_ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
     out = np.empty((len(lines), BANDS), np.uint64)
+    scratch = np.empty_like(hashes)
     for b in range(BANDS):
         band = np.full(len(lines), b, np.uint64)
         for m in odd[b * BAND_ROWS : (b + 1) * BAND_ROWS]:
-            h = hashes * m
-            band = mix(band ^ np.minimum.reduceat(h ^ (h >> np.uint64(32)), first)) + _ODD
+            np.multiply(hashes, m, out=scratch)
+            band = mix(band ^ np.minimum.reduceat(scratch, first)) + _ODD
         out[:, b] = band
     return out.view(np.int64)
 
@@ -117,7 +118,7 @@ def _cells(min_chars: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 18):
                 lines = {line_id(x): x for t in binary_column(part, "text") for _, x in eligible(t, min_chars)}
                 bands = signatures(list(lines.values())) if lines else np.empty((0, BANDS), np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel(), pa.int64()))

@@ -2,8 +2,8 @@
 
 Items meet in cells; any two items that may link share a cell. Every cell elects a pivot and each
 member's exact Jaccard distance to it is computed. Members within the threshold are linked to the
-pivot, so they need no comparison with each other: the result is components, not pairs. A member x
-beyond it can only link with members y whose distance to the pivot differs from its own by no more
+pivot, and whatever links join already needs no comparison: the result is components, not pairs.
+A member x of another component can only link with members y whose distance to the pivot differs from its own by no more
 than the threshold (triangle inequality). These windows, the far members with the linked ones on
 the boundary, are the cell of the next round; cells recurse until none has far members. Small
 cells end at once: their windows are compared directly.
@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise
+from lectern.llm.common import materialise, small_enough
+from lectern.llm.components import components
 
 #: In the first round, a cell with at most so many far members is finished directly.
 DIRECT = 64
@@ -59,7 +60,7 @@ def links(cells: DataFrame, bodies: DataFrame, to_set: Callable, percent: int) -
     """
     far_off = (100 - percent) / 100 + 1e-9
     linked = F.col("common") * 100 >= F.col("every") * percent
-    # A far member is linked to no pivot of its cell yet; the next pivot is the one with the smallest id.
+    # A far member is in another component than the pivot; the next pivot is the one with the smallest id.
     state = cells.select("cell", "id", "n", F.lit(True).alias("far"))
     found, direct_up_to = None, DIRECT
     while True:
@@ -70,18 +71,22 @@ def links(cells: DataFrame, bodies: DataFrame, to_set: Callable, percent: int) -
         )
         near = known.filter(linked).select("a", "b")
         found = near if found is None else found.unionByName(near)
+        # Links of other cells count, too: only what no chain of links joins so far must still be compared.
+        roots = components(found)
         measured = members.join(
-            known.select(F.col("a").alias("id"), F.col("b").alias("pivot"), linked.alias("hit"), (1 - F.col("common") / F.col("every")).alias("d")),
-            ["id", "pivot"],
-        ).withColumn("far", F.col("far") & ~F.col("hit"))
+            known.select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("every")).alias("d")), ["id", "pivot"]
+        )
+        measured = measured.join(small_enough(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        tops = roots.select(F.col("id").alias("pivot"), F.col("root").alias("top"))
+        measured = measured.join(small_enough(tops), "pivot", "left").withColumn("far", F.col("root") != F.coalesce("top", "pivot"))
         reach = measured.filter("far").groupBy("cell").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("fars"))
         window = measured.join(reach, "cell").filter(F.col("far") | F.col("d").between(F.col("low") - far_off, F.col("high") + far_off))
-        window = materialise(window.select("cell", "id", "n", "far", "d", "fars"), "windows")
+        window = materialise(window.select("cell", "id", "n", "far", "d", "fars", "root"), "windows")
         small = window.filter(F.col("fars") <= direct_up_to)
-        x = small.filter("far").select("cell", F.col("id").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"))
-        y = small.select("cell", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), "far")
+        x = small.filter("far").select("cell", F.col("id").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("root").alias("ra"))
+        y = small.select("cell", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("root").alias("rb"), "far")
         close = (
-            (F.abs(F.col("da") - F.col("db")) <= far_off) & ((F.col("a") < F.col("b")) | ~F.col("far"))
+            (F.abs(F.col("da") - F.col("db")) <= far_off) & ((F.col("a") < F.col("b")) | ~F.col("far")) & (F.col("ra") != F.col("rb"))
             & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
         )
         direct = x.join(y, "cell").filter(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

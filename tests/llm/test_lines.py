@@ -1,4 +1,4 @@
-"""Line dedup against exhaustive comparison, and its treatment of short lines, nulls and copies."""
+"""Line dedup against exhaustive comparison of all pairs that share a band, its recall, and odd rows."""
 
 import random
 
@@ -9,7 +9,8 @@ def brute(rows, min_chars, percent):
     found = []
     for d, t in rows:
         for i, x in lines.eligible(None if t is None else t.encode(), min_chars):
-            found.append((d, i, {x.decode()[k : k + 8] for k in range(len(x.decode()) - 7)}))
+            bands = set(enumerate(lines.signatures([x])[0].tolist()))
+            found.append((d, i, {x.decode()[k : k + 8] for k in range(len(x.decode()) - 7)}, bands))
     parent = list(range(len(found)))
 
     def root(i):
@@ -20,7 +21,7 @@ def brute(rows, min_chars, percent):
     for i in range(len(found)):
         for j in range(i):
             a, b = found[i][2], found[j][2]
-            if 100 * len(a & b) >= percent * len(a | b):
+            if 100 * len(a & b) >= percent * len(a | b) and found[i][3] & found[j][3]:
                 parent[root(i)] = root(j)
     groups = {}
     for i, f in enumerate(found):
