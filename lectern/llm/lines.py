@@ -14,11 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lectern.llm.common import binary_column, materialise, slices, small_enough
 from lectern.llm.components import components
-from lectern.llm.metric import links
+from lectern.llm.metric import crowd_cells, links
 from lectern.llm.shingles import LOWER, mix
 
 SHINGLE = 8
@@ -147,9 +146,8 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, min_chars: in
     text = rows.select("text")
     bands = text.mapInArrow(_cells(min_chars), "id bigint, cells array<bigint>").select(F.explode("cells").alias("cell"), "id")
     # The same line in many documents is one item, whatever its number of copies.
-    bands = bands.repartition("cell").groupBy("cell", "id").agg(F.lit(1).cast("bigint").alias("n"))
-    cells = bands.withColumn("c", F.count("*").over(Window.partitionBy("cell"))).filter("c > 1").drop("c")
-    cells = materialise(cells, "line-cells")
+    bands = bands.repartition("cell").distinct()
+    cells = materialise(crowd_cells(bands).withColumn("n", F.lit(1).cast("bigint")), "line-cells")
     wanted = materialise(cells.select("id").distinct(), "line-wanted")
     bodies = text.mapInArrow(_bodies(min_chars), "id bigint, body binary").join(small_enough(wanted), "id", "left_semi").dropDuplicates(["id"])
     roots = components(links(cells, materialise(bodies, "line-bodies"), line_set, percent))

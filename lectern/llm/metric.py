@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.llm.common import materialise, small_enough
 from lectern.llm.components import components
@@ -45,11 +46,23 @@ def _verifier(to_set: Callable[[bytes], np.ndarray]):
     return run
 
 
+def crowd_cells(postings: DataFrame) -> DataFrame:
+    """Cells with two members at least, of distinct (cell, id) rows dealt by cell; cells with the same members become one.
+
+    The new cell is a hash of the members; should two groups collide, their union is one larger cell.
+    """
+    cell = Window.partitionBy("cell")
+    of = F.xxhash64(F.count("*").over(cell), F.expr("bit_xor(xxhash64(id))").over(cell), F.min("id").over(cell), F.max("id").over(cell))
+    rows = postings.withColumns({"c": F.count("*").over(cell), "group": of}).filter("c > 1")
+    return rows.select(F.col("group").alias("cell"), "id").distinct()
+
+
 def distances(pairs: DataFrame, bodies: DataFrame, to_set: Callable) -> DataFrame:
     """(a, b, common, every): exact intersection and union sizes of the distinct pairs (a, b)."""
+    pairs = materialise(pairs, "pairs")
     left = bodies.select(F.col("id").alias("a"), F.col("body").alias("s"))
-    right = bodies.select(F.col("id").alias("b"), F.col("body").alias("t"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t")
+    right = bodies.select(F.col("id").alias("b"), F.col("body").alias("t")).join(small_enough(pairs.select("b")), "b", "left_semi")
+    joined = left.join(small_enough(pairs), "a").join(right, "b").select("a", "b", "s", "t")
     return joined.mapInArrow(_verifier(to_set), "a bigint, b bigint, common bigint, every bigint")
 
 

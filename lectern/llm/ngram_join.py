@@ -16,11 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lectern.llm.common import BROADCAST_BYTES, binary_column, materialise, slices, small_enough, table_bytes
 from lectern.llm.components import components
-from lectern.llm.metric import links
+from lectern.llm.metric import crowd_cells, links
 from lectern.llm.shingles import mix, shingle_set
 
 #: A cell with more items than this is crowded.
@@ -152,11 +151,12 @@ def jaccard_components(
         late = context.broadcast(np.union1d(late.value, more))
     postings = single.mapInArrow(_cells(words, percent, late), kind).select(F.explode("cells").alias("cell"), "id")
     postings = postings.repartition("cell").distinct()
-    shared = postings.withColumn("c", F.count("*").over(Window.partitionBy("cell"))).filter("c > 1").drop("c")
-    cells = materialise(materialise(shared, "ngram-shared").join(items.select("id", "n"), "id").select("cell", "id", "n"), "ngram-cells")
+    cells = materialise(materialise(crowd_cells(postings), "ngram-shared").join(items.select("id", "n"), "id").select("cell", "id", "n"), "ngram-cells")
     wanted = materialise(first.join(cells.select("id").distinct(), "id", "left_semi"), "ngram-wanted")
     # Texts compress better than their shingles do, so these travel to be compared.
-    bodies = materialise(texts(wanted).mapInArrow(_owned(words), "id bigint, body binary").dropDuplicates(["id"]), "ngram-texts")
+    bodies = materialise(texts(wanted).mapInArrow(_owned(words), "id bigint, body binary"), "ngram-texts")
+    if bodies.count() > wanted.count():  # rows that repeat a document
+        bodies = materialise(bodies.dropDuplicates(["id"]), "ngram-texts")
     roots = components(links(cells, bodies, partial(_set_of, words=words), percent))
     least = materialise(items.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "first"), "ngram-roots")
     groups = least.groupBy("root").agg(F.min("first").alias("component_id"))
