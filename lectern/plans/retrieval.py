@@ -150,23 +150,27 @@ def _cited(t):
 _CITED = f"""{_BM25}, ci AS (SELECT query_id, chunk_id, document_name || ' · 第' || page_number || '页 · 块' || (chunk_index + 1) AS label, text, index,
     CASE WHEN length(trim(text, ' ' || chr(10))) > 80 THEN substr(trim(text, ' ' || chr(10)), 1, 80) || '…' ELSE trim(text, ' ' || chr(10)) END AS excerpt FROM (
     SELECT query_id, kb_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS index FROM bm QUALIFY index <= 5) JOIN v_chunks USING (kb_id, chunk_id))"""
-_LABEL = X.citation_label(F.col("document_name"), F.col("doc_id"), F.col("page_number"), F.col("chunk_index"))
+
+
+def _label():
+    return X.citation_label(F.col("document_name"), F.col("doc_id"), F.col("page_number"), F.col("chunk_index"))
+
 
 
 @query("build_citations", f"WITH {_CITED} SELECT query_id, index, chunk_id, label, excerpt FROM ci")
 def build_citations(t):
-    return _cited(t).select("query_id", "index", "chunk_id", _LABEL.alias("label"), "excerpt")
+    return _cited(t).select("query_id", "index", "chunk_id", _label().alias("label"), "excerpt")
 
 
 @query("build_context", f"WITH {_CITED} SELECT query_id, string_agg('[' || index || '] (' || label || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY index) AS context FROM ci GROUP BY query_id")
 def build_context(t):
-    return R.build_context(_cited(t), _LABEL)
+    return R.build_context(_cited(t), _label())
 
 
 @query("annotate_answer", f"""WITH {_CITED} SELECT query_id, query || coalesce(refs, '') AS answer FROM v_queries LEFT JOIN (SELECT query_id, chr(10) || chr(10) || '**参考来源：**' || chr(10) ||
     string_agg('[' || index || '] ' || label || CASE WHEN excerpt <> '' THEN ' — ' || excerpt ELSE '' END, chr(10) ORDER BY index) AS refs FROM ci GROUP BY query_id) USING (query_id)""")
 def annotate_answer(t):
-    return R.annotate_answer(t.v_queries.select("query_id", F.col("query").alias("answer")), _cited(t), _LABEL)
+    return R.annotate_answer(t.v_queries.select("query_id", F.col("query").alias("answer")), _cited(t), _label())
 
 
 def _answers(t):
