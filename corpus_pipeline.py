@@ -18,9 +18,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.drop_rejected(docs, langid.train(docs))
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-equal lines kept once; n_chars follows the text."""
-    kept = lines.dedup_lines(docs).select(*docs.columns)
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, min_chars: int = 1) -> DataFrame:
+    """Near-equal lines of ``min_chars`` characters or more kept once; n_chars follows the text."""
+    kept = lines.dedup_lines(docs, min_chars=min_chars).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else kept
 
 

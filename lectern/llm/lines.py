@@ -65,8 +65,8 @@ def eligible(text: bytes | None, min_chars: int) -> list[tuple[int, bytes]]:
 
 
 def signatures(lines: list[bytes]) -> np.ndarray:
-    """Band hashes (lines x BANDS); all lines have at least ``SHINGLE`` characters."""
-    texts = [x.decode() for x in lines]
+    """Band hashes (lines x BANDS); a line under ``SHINGLE`` characters is one shingle, as in ``line_set``."""
+    texts = [x.decode().ljust(SHINGLE, "\0") for x in lines]
     hashes = character_hashes("".join(texts))
     ends = np.cumsum([len(t) for t in texts])
     starts = ends - [len(t) for t in texts]

@@ -26,8 +26,9 @@ def op5_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents")).drop("random")
 
 
-def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str, min_chars: int = 1) -> DataFrame:
+    """Every line that is not blank takes part; ``min_chars`` leaves shorter lines as they are."""
+    found = lines.dedup_lines(_table(spark, sf_dir, "documents"), min_chars=min_chars)
     return found.select("doc_id", "n_lines", "n_removed", "text")
 
 
