@@ -45,8 +45,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's bucket and batch; lengths are UTF-8 bytes."""
-    return packing.pack(docs, F.octet_length("text"))
+    """Every document's bucket and batch; lengths are tokens, counted as in op6_digest_cache."""
+    import public_tokenizers
+
+    return packing.pack_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [

@@ -1,7 +1,7 @@
 """Packing into optimal length buckets.
 
-A histogram of all lengths goes to the driver in a bounded form; dynamic programming over it
-chooses at most ``buckets`` upper bounds that give the least padding. Inside each bucket every
+The histogram of all distinct lengths goes to the driver; dynamic programming over it, with
+monotone choices (buckets x lengths x log lengths steps), chooses at most ``buckets`` upper bounds that give the least padding. Inside each bucket every
 document is padded to the bucket's bound and batches hold as many as the token budget allows.
 """
 
@@ -14,12 +14,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Distinct lengths up to which the histogram is exact.
-MAX_BINS = 4096
+from lectern.llm.common import materialise
+from lectern.llm.tokens import token_lengths
+
 #: Rows of a bucket that one sort partition gets, about.
 SHARD_ROWS = 50_000
 
 
+def _least(costs_from: np.ndarray, top: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each j > 0 the least ``costs_from[i] + top[j - 1] * (n[j] - n[i])`` over i < j, and its smallest i.
+
+    The best i never falls as j grows, so the j in the middle of a range bounds i on both of its
+    sides; all ranges of one depth are searched at once.
+    """
+    m = len(top)
+    least, at = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
+    first, last, low, high = (np.array([x], np.int64) for x in (1, m, 0, m - 1))
+    while len(first):
+        mid = (first + last) // 2
+        sizes = np.minimum(high, mid - 1) - low + 1
+        starts = np.cumsum(sizes) - sizes
+        i = np.arange(sizes.sum()) + np.repeat(low - starts, sizes)
+        cost = costs_from[i] - np.repeat(top[mid - 1], sizes) * n[i]
+        smallest = np.minimum.reduceat(cost, starts)
+        equal = np.flatnonzero(cost == np.repeat(smallest, sizes))
+        chosen = i[equal[np.searchsorted(equal, starts)]]
+        least[mid], at[mid] = smallest + top[mid - 1] * n[mid], chosen
+        first, last = np.concatenate((first, mid + 1)), np.concatenate((mid - 1, last))
+        low, high = np.concatenate((low, chosen)), np.concatenate((chosen, high))
+        more = first <= last
+        first, last, low, high = first[more], last[more], low[more], high[more]
+    return least, at
+
+
 def optimal_bounds(lengths: list[int], counts: list[int], sums: list[int], buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` runs of ``lengths`` (ascending) with the least padding.
 
@@ -27,19 +54,19 @@ def optimal_bounds(lengths: list[int], counts: list[int], sums: list[int], bucke
     largest length times its documents less the sum of their lengths. Fewer buckets win ties.
     """
     m = len(lengths)
-    top = np.asarray(lengths, np.float64)
-    n, total = np.concatenate(([0], np.cumsum(counts, dtype=np.float64))), np.concatenate(([0], np.cumsum(sums, dtype=np.float64)))
-    best = np.concatenate(([0.0], np.full(m, np.inf)))
-    choices = []
-    for _ in range(min(buckets, m)):
-        after, choice = best.copy(), np.full(m + 1, -1)
-        for j in range(1, m + 1):
-            cost = best[:j] + top[j - 1] * (n[j] - n[:j]) - (total[j] - total[:j])
-            i = int(np.argmin(cost))
-            if cost[i] < after[j]:
-                after[j], choice[j] = cost[i], i
-        choices.append(choice)
-        best = after
+    if not m:
+        return []
+    top = np.asarray(lengths, np.int64)
+    n, total = np.concatenate(([0], np.cumsum(counts, dtype=np.int64))), np.concatenate(([0], np.cumsum(sums, dtype=np.int64)))
+    best = np.concatenate(([0], top * n[1:] - total[1:]))
+    choices = [np.concatenate(([-1], np.zeros(m, np.int64)))]
+    for _ in range(min(buckets, m) - 1):
+        cost, i = _least(best + total, top, n)
+        cost -= total
+        better = cost < best
+        better[0] = False
+        choices.append(np.where(better, i, -1))
+        best = np.where(better, cost, best)
     bounds, j = [], m
     for choice in reversed(choices):
         if j and choice[j] >= 0:
@@ -49,20 +76,10 @@ def optimal_bounds(lengths: list[int], counts: list[int], sums: list[int], bucke
 
 
 def length_histogram(lengths: DataFrame, column: str) -> tuple[list[int], list[int], list[int]]:
-    """(largest length, documents, sum of lengths) of each bin, ascending.
-
-    Up to ``MAX_BINS`` distinct lengths each is a bin of its own. Beyond, lengths share bins on a
-    geometric grid that spans the largest length with ``MAX_BINS`` steps at most.
-    """
-    exact = lengths.groupBy(F.col(column).alias("n")).agg(F.count("*").alias("c"))
-    most, distinct = exact.agg(F.max("n"), F.count("*")).first()
-    if not distinct:
-        return [], [], []
-    step = 0.0 if distinct <= MAX_BINS else math.log(max(most, 2)) / (MAX_BINS - 2)
-    key = F.col("n") if not step else F.ceil(F.log(F.greatest(F.col("n"), F.lit(1))) / step)
-    bins = exact.groupBy(key.alias("k")).agg(F.max("n").alias("top"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("n")).alias("s"))
-    rows = sorted((r["top"], r["c"], r["s"]) for r in bins.collect())
-    return [r[0] for r in rows], [r[1] for r in rows], [int(r[2]) for r in rows]
+    """(length, documents, sum of lengths) of each distinct length, ascending."""
+    found = lengths.groupBy(F.col(column).alias("n")).agg(F.count("*").alias("c")).toArrow().sort_by("n")
+    n, c = (found.column(x).to_numpy().astype(np.int64) for x in ("n", "c"))
+    return n.tolist(), c.tolist(), (n * c).tolist()
 
 
 def pack(
@@ -95,3 +112,9 @@ def pack(
         F.concat_ws("-", "bucket", "_shard", "_k").alias("batch_id"),
         F.count("*").over(Window.partitionBy("bucket", "_shard", "_k")).alias("batch_rows"),
     )
+
+
+def pack_tokens(docs: DataFrame, tokenizer: str, *, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``pack`` by the number of tokens of each text; rows are dealt by a hash of id and content, so no text is shuffled."""
+    found = materialise(token_lengths(docs, tokenizer, cache=cache, id_col=id_col, text_col=text_col), "token-lengths")
+    return pack(found, F.col("n_tokens"), text_col="content")

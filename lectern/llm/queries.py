@@ -33,8 +33,10 @@ def op2_fuzzy_lines(spark: SparkSession, sf_dir: str, min_chars: int = 1) -> Dat
 
 
 def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths are UTF-8 bytes, the units of byte-level models."""
-    return packing.pack(_table(spark, sf_dir, "documents"), F.octet_length("text"))
+    """Lengths are tokens, counted as in op6_digest_cache."""
+    import public_tokenizers
+
+    return packing.pack_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_kneser_ney_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,6 +142,17 @@ def known(spark: SparkSession, cache: str, version: str) -> DataFrame:
     return rows.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def token_lengths(
+    docs: DataFrame, tokenizer: str, *, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """Per document: doc_id, content (digest), n_bytes, n_tokens; without ``cache`` a new one is made."""
+    counts = cached_counts(docs, cache or scratch_path(docs.sparkSession, "token-cache"), tokenizer, text_col=text_col)
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(body).cast("bigint").alias("n_bytes"),
+                       F.unhex(F.sha2(body, 256)).alias("content"))
+    return rows.join(counts, "content").select("doc_id", "content", "n_bytes", "n_tokens")
+
+
 def count_tokens(
     docs: DataFrame, tokenizer: str, *, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text",
     limit: int = 1024,
@@ -152,8 +163,5 @@ def count_tokens(
     one by one; columns of other names are not looked at. Without ``cache`` a new one is made in
     the shared folder. Two jobs that append at once may store a content twice; reading keeps one.
     """
-    counts = cached_counts(docs, cache or scratch_path(docs.sparkSession, "token-cache"), tokenizer, text_col=text_col)
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(body).cast("bigint").alias("n_bytes"),
-                       F.unhex(F.sha2(body, 256)).alias("content"))
-    return rows.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    found = token_lengths(docs, tokenizer, cache=cache, id_col=id_col, text_col=text_col)
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

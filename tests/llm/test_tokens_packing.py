@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,37 @@ def test_batches(spark):
         own = [b for b in batches.values() if b[0].bucket == k]
         assert sum(len(b) < max(1, 2_000 // max(1, b[0].bound)) for b in own) <= 1
     assert packing.pack(docs.limit(0), F.octet_length("text")).count() == 0
+
+
+def least_padding(lengths, counts, buckets):
+    """Least padding by trying every cut, bucket by bucket."""
+    top, n = np.asarray(lengths), np.concatenate(([0], np.cumsum(counts)))
+    total = np.concatenate(([0], np.cumsum(np.asarray(counts) * top)))
+    best = np.concatenate(([0], top * n[1:] - total[1:]))
+    for _ in range(buckets - 1):
+        best = np.array([0] + [(best[:j] + top[j - 1] * (n[j] - n[:j]) - (total[j] - total[:j])).min() for j in range(1, len(n))])
+    return int(best[-1])
+
+
+def test_bounds_are_optimal_beyond_4096_lengths(spark):
+    rng = random.Random(8)
+    lengths = sorted({int(rng.lognormvariate(9, 1)) + 5 for _ in range(9_000)})
+    counts = [rng.randint(1, 3) for _ in lengths]
+    assert len(lengths) > 5_000
+    rows = [(i, n) for i, n in enumerate(n for n, c in zip(lengths, counts, strict=True) for _ in range(c))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, n bigint").withColumn("text", F.lit(""))
+    assert packing.length_histogram(docs, "n") == (lengths, counts, [n * c for n, c in zip(lengths, counts, strict=True)])
+    for k in (2, 5, 16):
+        got = packing.pack(docs, F.col("n"), buckets=k).agg(F.sum("padding"), F.countDistinct("bound"), F.count("*")).first()
+        assert got[0] == least_padding(lengths, counts, k) and got[1] <= k and got[2] == len(rows)
+
+
+def test_lengths_are_tokens(spark, tmp_path):
+    import corpus_pipeline
+    from lectern.llm.queries import op3_length_buckets, op6_digest_cache
+
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(TEXTS)] + [(7, "same words"), (7, "same words")], "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((r.doc_id, r.n_tokens) for r in op6_digest_cache(spark, str(tmp_path)).collect())
+    for found in (op3_length_buckets(spark, str(tmp_path)), corpus_pipeline.length_packing(spark, docs, str(tmp_path))):
+        assert sorted((r.doc_id, r.n_units) for r in found.collect()) == want
