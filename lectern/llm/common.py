@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,19 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if table_bytes(df) <= limit else df
 
 
+def buckets_of(spark: SparkSession) -> int:
+    """Buckets that packed exchanges are dealt into: 16 for each shuffle partition of the session."""
+    return 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def packed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary column whose rows are values[start:end]; the ranges follow each other, gaps are cut out."""
+    if len(starts) and (int(starts[0]) or int(ends[-1]) != len(values) or (starts[1:] != ends[:-1]).any()):
+        values = values[np.repeat(starts - np.concatenate(([0], np.cumsum(ends - starts)[:-1])), ends - starts) + np.arange(int((ends - starts).sum()))]
+    offsets = np.concatenate(([0], np.cumsum(ends - starts))) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column of an Arrow batch as UTF-8 bytes, nulls kept."""
     column = batch.column(batch.schema.get_field_index(name))

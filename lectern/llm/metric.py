@@ -1,17 +1,22 @@
 """Exact Jaccard joins in metric space, shared by the document and the line operators.
 
-Items meet in cells; any two items that may link share a cell. Every cell elects a pivot and each
-member's exact Jaccard distance to it is computed. Members within the threshold are linked to the
-pivot, and whatever links join already needs no comparison: the result is components, not pairs.
-A member x of another component can only link with members y whose distance to the pivot differs from its own by no more
-than the threshold (triangle inequality). These windows, the far members with the linked ones on
-the boundary, are the cell of the next round; cells recurse until none has far members. Small
-cells end at once: their windows are compared directly.
+Items meet in cells; any two items that may link share a cell. The result is links that connect all
+linked items, not all pairs. Cells of up to ``BLOCK`` items are joined in place on odd sketches, which
+discard only pairs that cannot link; whole sets move for what is left, to be compared exactly.
+
+Larger cells are divided first. The item with the smallest id is compared with all others, and what
+links join already is one. Then pivots create Voronoi regions: each member is compared with its
+nearest pivot. If y links with pivot q, whatever links with y is within twice the threshold of q
+(triangle inequality), so members in that window of q, wherever they belong, are copied to q's
+region; members that link with no pivot form a region of their own. Regions of one component are
+done, the others divide again. What pivots cannot divide is dealt out in blocks, each of which
+meets every block of items outside the cell's largest component.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,91 +26,278 @@ from pyspark.sql.window import Window
 
 from lectern.llm.common import materialise, small_enough
 from lectern.llm.components import components
+from lectern.llm.sketches import Sketches, differing, may_link
+
+#: Cells of at most so many items are joined in place.
+BLOCK = 256
+#: Pivots that a large cell elects in one round, rounds, and members that meet the pivots in one group.
+PIVOTS, ROUNDS, SALT = 8, 3, 4096
+
 
-#: In the first round, a cell with at most so many far members is finished directly.
-DIRECT = 64
+def shared_cells(postings: DataFrame, name: str) -> DataFrame:
+    """(cell, id, size) for cells with two members at least, of (cell, id) rows; cells with the same members become one.
+
+    The new cell is a hash of the members; should two groups collide, their union is one larger cell. Members are
+    counted by partial aggregates, so a cell that holds a large share of all rows is not gathered in one task.
+    """
+    rows = materialise(postings.distinct(), name)
+    of = F.xxhash64(F.count("*"), F.expr("bit_xor(xxhash64(id))"), F.expr("bit_xor(xxhash64(1, id))"))
+    groups = rows.groupBy("cell").agg(F.count("*").alias("size"), of.alias("group")).filter("size > 1")
+    one = groups.groupBy("group").agg(F.min("cell").alias("cell"), F.max("size").alias("size"))
+    return rows.join(small_enough(materialise(one.select("cell", "size"), name)), "cell").select("cell", "id", "size")
 
 
-def _verifier(to_set: Callable[[bytes], np.ndarray]):
+def _verifier(to_set: Callable[[bytes], np.ndarray], percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        held: dict[bytes, np.ndarray] = {}
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            common, union = [], []
-            for x, y, s, t in zip(a, b, batch.column(2), batch.column(3), strict=True):
+            kept = []
+            for k, (y, s, t) in enumerate(zip(b, batch.column(2), batch.column(3), strict=True)):
                 if y not in held:
                     held = {y: to_set(t.as_buffer())}
                 left, right = to_set(s.as_buffer()), held[y]
                 both = len(np.intersect1d(left, right, assume_unique=True))
-                common.append(both)
-                union.append(len(left) + len(right) - both)
+                if both * 100 >= (len(left) + len(right) - both) * percent:
+                    kept.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in kept], pa.binary()) for x in (a, b)], ["a", "b"])
+
+    return run
+
+
+def verified(pairs: DataFrame, bodies: Callable[[DataFrame], DataFrame], to_set: Callable, percent: int) -> DataFrame:
+    """The pairs (a, b) whose exact Jaccard similarity reaches ``percent``; ``bodies`` gives (id, body) for a table of ids."""
+    pairs = materialise(pairs.distinct(), "pairs")
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
+    whole = materialise(bodies(wanted), "pair-bodies")
+    left = whole.select(F.col("id").alias("a"), F.col("body").alias("s"))
+    right = whole.select(F.col("id").alias("b"), F.col("body").alias("t"))
+    joined = left.join(small_enough(pairs), "a").join(right, "b").select("a", "b", "s", "t")
+    return materialise(joined.mapInArrow(_verifier(to_set, percent), "a binary, b binary"), "links")
+
+
+def _sketch_filter(percent: int):
+    """(a, b, na, nb, sa, sb) to the pairs (a, b) that their sketches do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.arange(batch.num_rows)
+            na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            keep = may_link(differing(Sketches(batch.column(4)), at, Sketches(batch.column(5)), at), na, nb, percent)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return run
+
+
+def _stars(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    pairs = materialise(pairs.distinct(), "stars")
+    for side in "ab":
+        named = info.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
+        pairs = pairs.join(named, side)
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketch_filter(percent), "a binary, b binary")
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables that end where a cell (column 0, sorted) ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cells = batch.column(0).to_numpy()
+        start = int(np.searchsorted(cells, cells[-1]))
+        if held and (start or held[-1].column(0)[-1].as_py() != cells[0]):
+            held.append(batch.slice(0, start))
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+            batch = batch.slice(start)
+        elif start:
+            yield pa.Table.from_batches([batch.slice(0, start)]).combine_chunks()
+            batch = batch.slice(start)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _near(cells: np.ndarray, n: np.ndarray, sketches: Sketches, roots: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) with i < j of the pairs in one cell, of two roots, that sizes and sketches do not rule out."""
+    left, right = [], []
+    k, alive = 1, np.arange(len(cells) - 1)
+    while len(alive := alive[cells[alive] == cells[alive + k]]):
+        i, j = alive, alive + k
+        keep = (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & (roots[i] != roots[j])
+        i, j = i[keep], j[keep]
+        keep = may_link(differing(sketches, i, sketches, j), n[i], n[j], percent)
+        left.append(i[keep])
+        right.append(j[keep])
+        k += 1
+        alive = alive[alive + k < len(cells)]
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
+
+
+def _join_regions(percent: int, every: bool):
+    """(cell, id, n, sketch, root) sorted by cell and id to candidates (cell, a, b).
+
+    ``every`` gives all pairs of different roots; otherwise each item comes with its first
+    candidate only, and a row without a pair marks a cell that has more.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_cells(batches):
+            cells, n = table["cell"].to_numpy(), table["n"].to_numpy()
+            ids, roots = (table[c].combine_chunks().cast(pa.binary()) for c in ("id", "root"))
+            codes = roots.dictionary_encode().indices.to_numpy()
+            i, j = _near(cells, n, Sketches(table["sketch"].combine_chunks()), codes, percent)
+            if every:
+                more = np.empty(0, np.int64)
+            else:
+                order = np.lexsort((i, j))
+                i, j = i[order], j[order]
+                first = np.ones(len(j), bool)
+                first[1:] = j[1:] != j[:-1]
+                more = np.unique(cells[j[~first]])
+                i, j = i[first], j[first]
+            none = pa.nulls(len(more), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "common", "every"]
-            )
+                [pa.array(np.concatenate((cells[j], more)), pa.int64()), pa.concat_arrays([ids.take(pa.array(i)), none]), pa.concat_arrays([ids.take(pa.array(j)), none])],
+                ["cell", "a", "b"],
+            )
 
     return run
 
 
-def crowd_cells(postings: DataFrame) -> DataFrame:
-    """Cells with two members at least, of distinct (cell, id) rows dealt by cell; cells with the same members become one.
+def _regions(members: DataFrame, info: DataFrame, percent: int, every: bool) -> DataFrame:
+    rows = members.join(info, "id").select("cell", "id", "n", "sketch", "root").repartition("cell").sortWithinPartitions("cell", "id")
+    return materialise(rows.mapInArrow(_join_regions(percent, every), "cell bigint, a binary, b binary"), "candidates")
+
 
-    The new cell is a hash of the members; should two groups collide, their union is one larger cell.
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(small_enough(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(cell, id, root, size) of the cells whose members are not one component."""
+    members = materialise(_rooted(members.select("cell", "id"), roots), "members")
+    cells = members.groupBy("cell").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    return materialise(members.join(small_enough(materialise(cells.select("cell", "size"), "open")), "cell"), "members")
+
+
+def _windows(percent: int):
+    """(cell, salt, member, id, n, sketch), pivots of a group first, to (cell, id, pivot, nearest, close).
+
+    One row for the nearest pivot (``close`` if they may link), one for each other pivot whose window holds the member.
     """
-    cell = Window.partitionBy("cell")
-    of = F.xxhash64(F.count("*").over(cell), F.expr("bit_xor(xxhash64(id))").over(cell), F.min("id").over(cell), F.max("id").over(cell))
-    rows = postings.withColumns({"c": F.count("*").over(cell), "group": of}).filter("c > 1")
-    return rows.select(F.col("group").alias("cell"), "id").distinct()
+    reach = 2 * (100 - percent) / 100 + 1e-9
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots: dict[tuple[int, int], pa.Table] = {}
+        for batch in batches:
+            cell, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(salt) != 0)) + 1
+            for start, end in zip(chain([0], cuts.tolist()), chain(cuts.tolist(), [batch.num_rows]), strict=True):
+                if start == end:
+                    continue
+                part, key = batch.slice(start, end - start), (int(cell[start]), int(salt[start]))
+                flags = part.column(2).to_numpy(zero_copy_only=False)
+                heads = pa.Table.from_batches([part.filter(pa.array(~flags))])
+                if key in pivots:
+                    heads = pa.concat_tables([pivots[key], heads])
+                pivots = {key: heads}
+                members = part.filter(pa.array(flags))
+                if not members.num_rows:
+                    continue
+                rows, of = members.num_rows, heads.num_rows
+                i, j = np.repeat(np.arange(rows), of), np.tile(np.arange(of), rows)
+                sizes = (members.column(4).to_numpy()[i] + heads["n"].to_numpy()[j]).astype(np.int64)
+                differ = differing(Sketches(members.column(5)), i, Sketches(heads["sketch"].combine_chunks()), j)
+                least = (2 * differ / (sizes + differ)).reshape(rows, of)
+                nearest = least.argmin(1)
+                take = least <= reach
+                take[np.arange(rows), nearest] = True
+                x, p = np.nonzero(take)
+                close = (differ * (100 + percent) <= (100 - percent) * sizes).reshape(rows, of)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(x), key[0])), members.column(3).cast(pa.binary()).take(pa.array(x)), heads["id"].combine_chunks().cast(pa.binary()).take(pa.array(p)),
+                     pa.array(nearest[x] == p), pa.array(close[x, p]), pa.array(least[x, p] <= reach)],
+                    ["cell", "id", "pivot", "nearest", "close", "inside"],
+                )
+
+    return run
+
+
+def _voronoi(state: DataFrame, info: DataFrame, depth: int, percent: int) -> DataFrame:
+    """(cell, id, pivot, nearest, close, inside) for the members of ``state`` (cell, id, root, size) and their pivots."""
+    order = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(depth), "id"), "id")
+    elected = state.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PIVOTS)
+    salts = F.ceil(F.col("size") / SALT)
+    heads = elected.join(info, "id").select(
+        "cell", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"), F.lit(False).alias("member"), "id", "n", "sketch"
+    )
+    rows = state.join(info, "id").select("cell", F.pmod(F.xxhash64("id"), salts).alias("salt"), F.lit(True).alias("member"), "id", "n", "sketch")
+    rows = rows.unionByName(heads).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "member")
+    return materialise(rows.mapInArrow(_windows(percent), "cell bigint, id binary, pivot binary, nearest boolean, close boolean, inside boolean"), "voronoi")
 
-def distances(pairs: DataFrame, bodies: DataFrame, to_set: Callable) -> DataFrame:
-    """(a, b, common, every): exact intersection and union sizes of the distinct pairs (a, b)."""
-    pairs = materialise(pairs, "pairs")
-    left = bodies.select(F.col("id").alias("a"), F.col("body").alias("s"))
-    right = bodies.select(F.col("id").alias("b"), F.col("body").alias("t")).join(small_enough(pairs.select("b")), "b", "left_semi")
-    joined = left.join(small_enough(pairs), "a").join(right, "b").select("a", "b", "s", "t")
-    return joined.mapInArrow(_verifier(to_set), "a bigint, b bigint, common bigint, every bigint")
 
+def _blocks(state: DataFrame) -> DataFrame:
+    """(cell, id): every block of a cell with every block of what is outside its largest component."""
+    half = max(1, BLOCK // 2)
+    counts = state.groupBy("cell", "root", "size").count()
+    largest = counts.groupBy("cell").agg(F.max(F.struct("count", "root")).alias("top"), F.max("size").alias("every"))
+    largest = largest.select("cell", F.col("top.root").alias("top"), F.ceil((F.col("every") - F.col("top.count")) / half).alias("outer"), F.ceil(F.col("every") / half).alias("inner"))
+    rows = state.select("cell", "id", "root").join(small_enough(materialise(largest, "largest")), "cell")
+    deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), n)
+    many = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    inner = rows.select("cell", "id", many(F.col("outer")).alias("i"), deal(1, F.col("inner")).alias("j"))
+    outer = rows.filter("root <> top").select("cell", "id", deal(2, F.col("outer")).alias("i"), many(F.col("inner")).alias("j"))
+    return inner.unionByName(outer).select(F.xxhash64("cell", "i", "j").alias("cell"), "id").distinct()
 
-def links(cells: DataFrame, bodies: DataFrame, to_set: Callable, percent: int) -> DataFrame:
-    """(a, b) links with 100 * |A n B| >= percent * |A u B| that connect all linked items of ``cells`` (cell, id, n).
 
-    ``bodies`` (id, body) has each item's set in a form that ``to_set`` reads; ``n`` is its size.
+def _divide(big: DataFrame, info: DataFrame, bodies: Callable, to_set: Callable, percent: int) -> tuple[DataFrame | None, DataFrame]:
+    """Regions (cell, id) that remain of large cells, and the links found on the way."""
+    big = big.select("cell", "id")
+    pivots = materialise(big.groupBy("cell").agg(F.min("id").alias("pivot")), "pivots")
+    stars = big.join(small_enough(pivots), "cell").filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    found = verified(_stars(stars, info, percent), bodies, to_set, percent)
+    regions = None
+    for depth in range(ROUNDS + 1):
+        state = _open(big, components(found))
+        ready = state.filter(F.col("size") <= BLOCK).select("cell", "id")
+        regions = ready if regions is None else regions.unionByName(ready)
+        state = state.filter(F.col("size") > BLOCK)
+        if state.isEmpty():
+            return regions, found
+        if depth == ROUNDS:
+            return regions.unionByName(_blocks(state)), found
+        near = _voronoi(state, info, depth, percent)
+        own = near.filter("nearest and close and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+        linked = verified(own, bodies, to_set, percent)
+        found = materialise(found.unionByName(linked).distinct(), "links")
+        inside = near.filter("inside").select(F.xxhash64(F.lit(depth), "cell", "pivot").alias("cell"), "id")
+        known = linked.select(F.col("a").alias("id"), F.col("b").alias("pivot"))
+        alone = near.filter("nearest and id <> pivot").join(small_enough(known), ["id", "pivot"], "left_anti")
+        big = materialise(inside.unionByName(alone.select(F.xxhash64(F.lit(depth), "cell").alias("cell"), "id")), "regions")
+    raise AssertionError
+
+
+def links(cells: DataFrame, info: DataFrame, bodies: Callable[[DataFrame], DataFrame], to_set: Callable, percent: int) -> DataFrame:
+    """(a, b) links with 100 * |A n B| >= percent * |A u B| that connect all linked items of ``cells`` (cell, id, size).
+
+    ``info`` (id, n, sketch) has sizes and sketches of the items, ``bodies`` turns a table of ids
+    into (id, body) with each set in a form that ``to_set`` reads. Ids are binary.
     """
-    far_off = (100 - percent) / 100 + 1e-9
-    linked = F.col("common") * 100 >= F.col("every") * percent
-    # A far member is in another component than the pivot; the next pivot is the one with the smallest id.
-    state = cells.select("cell", "id", "n", F.lit(True).alias("far"))
-    found, direct_up_to = None, DIRECT
-    while True:
-        pivots = state.filter("far").groupBy("cell").agg(F.min("id").alias("pivot"))
-        members = state.join(pivots, "cell").filter("id <> pivot")
-        known = materialise(
-            distances(members.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), bodies, to_set), "distances"
-        )
-        near = known.filter(linked).select("a", "b")
-        found = near if found is None else found.unionByName(near)
-        # Links of other cells count, too: only what no chain of links joins so far must still be compared.
+    big = cells.filter(F.col("size") > BLOCK)
+    regions, found = cells.filter(F.col("size") <= BLOCK).select("cell", "id"), None
+    roots = None
+    if not big.isEmpty():
+        divided, found = _divide(big, info, bodies, to_set, percent)
+        regions = materialise(regions.unionByName(divided), "regions")
         roots = components(found)
-        measured = members.join(
-            known.select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("every")).alias("d")), ["id", "pivot"]
-        )
-        measured = measured.join(small_enough(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        tops = roots.select(F.col("id").alias("pivot"), F.col("root").alias("top"))
-        measured = measured.join(small_enough(tops), "pivot", "left").withColumn("far", F.col("root") != F.coalesce("top", "pivot"))
-        reach = measured.filter("far").groupBy("cell").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("fars"))
-        window = measured.join(reach, "cell").filter(F.col("far") | F.col("d").between(F.col("low") - far_off, F.col("high") + far_off))
-        window = materialise(window.select("cell", "id", "n", "far", "d", "fars", "root"), "windows")
-        small = window.filter(F.col("fars") <= direct_up_to)
-        x = small.filter("far").select("cell", F.col("id").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("root").alias("ra"))
-        y = small.select("cell", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("root").alias("rb"), "far")
-        close = (
-            (F.abs(F.col("da") - F.col("db")) <= far_off) & ((F.col("a") < F.col("b")) | ~F.col("far")) & (F.col("ra") != F.col("rb"))
-            & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        )
-        direct = x.join(y, "cell").filter(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        checked = materialise(distances(direct, bodies, to_set).filter(linked).select("a", "b"), "links")
-        found = found.unionByName(checked)
-        state = window.filter(F.col("fars") > direct_up_to).select("cell", "id", "n", "far")
-        if state.isEmpty():
-            return found
-        direct_up_to *= 2
+    members = _rooted(regions, roots) if roots is not None else regions.withColumn("root", F.col("id"))
+    first = _regions(members, info, percent, every=False)
+    near = verified(first.filter("a is not null").select("a", "b"), bodies, to_set, percent)
+    found = near if found is None else found.unionByName(near)
+    more = materialise(first.filter("a is null").select("cell").distinct(), "more")
+    if more.isEmpty():
+        return found
+    members = _open(regions.join(small_enough(more), "cell", "left_semi"), components(found))
+    rest = _regions(members, info, percent, every=True)
+    return found.unionByName(verified(rest.select("a", "b"), bodies, to_set, percent))

@@ -2,9 +2,12 @@
 
 Documents with equal shingle sets are one item. An item's cells are its prefix: with the shingles of
 all items in one order, two sets within the threshold share a shingle among their first
-|x| - ceil(t|x|) + 1. The order puts shingles of crowded cells last, so passages that many documents
-share do not bring them together unless they are most of the text. Inside cells the pivots,
-windows and recursion of ``metric`` give the links.
+|x| - ceil(t|x|) + 1. The order is by the number of documents, rarest first, so most prefixes hold
+nothing that two documents share and passages in many documents bring them together only where they
+are most of a text. Inside cells the pivots, regions and windows of ``metric`` give the links.
+
+Document counts of all shingles take one round trip: each slice of texts sends its distinct
+shingles, packed by bucket; what comes back is one byte a shingle, the logarithm of its count.
 """
 
 from __future__ import annotations
@@ -14,92 +17,127 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BROADCAST_BYTES, binary_column, materialise, slices, small_enough, table_bytes
+from lectern.llm.common import binary_column, buckets_of, materialise, packed, slices, small_enough
 from lectern.llm.components import components
-from lectern.llm.metric import crowd_cells, links
-from lectern.llm.shingles import mix, shingle_set
+from lectern.llm.metric import links, shared_cells
+from lectern.llm.shingles import shingle_set
+from lectern.llm.sketches import digest, odd_sketch
 
-#: A cell with more items than this is crowded.
-CROWDED = 48
-#: Crowded shingles found in one round at most: with more postings, a cell counts as crowded later.
-MOST_CROWDED = 1 << 21
+_LOW = np.uint64(0xFFFFFFFF)
 
 
-def _prefix(found: np.ndarray, percent: int, crowded: np.ndarray) -> np.ndarray:
-    n = len(found)
-    size = n - -(-percent * n // 100) + 1 if n else 0
-    if len(crowded) and n:
-        at = np.minimum(np.searchsorted(crowded, found), len(crowded) - 1)
-        late = crowded[at] == found
-        found = np.concatenate((found[~late], found[late]))
-    return found[:size]
+def _keys(found: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and lower 32 bits of shingle hashes; two shingles with one key count as one, which only makes them later in the order."""
+    return ((found >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (found & _LOW)
 
 
-def set_id(found: np.ndarray) -> int:
-    """64-bit id of a shingle set, from two sums over its members."""
-    if not len(found):
-        return 0
-    both = np.array([found.sum(), (found * (found >> np.uint64(7) | np.uint64(1))).sum()], np.uint64)
-    return int(mix(both[:1] ^ mix(both[1:])).view(np.int64)[0])
+def _once(ids: list[bytes], sets: list[np.ndarray]) -> list[int]:
+    """Positions of the first of each id whose set is not empty."""
+    return [k for k in {i: k for k, i in reversed(list(enumerate(ids)))}.values() if len(sets[k])]
 
 
-def _sketch(words: int):
-    """(doc_id, text) to (doc_id, n, id)."""
+def _sketch(words: int, buckets: int):
+    """(doc_id, text) to rows of documents and rows of packed shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = [shingle_set(t, words) for t in binary_column(part, "text")]
+                texts = binary_column(part, "text")
+                sets = [shingle_set(t, words) for t in texts]
+                ids = [digest(s) for s in sets]
+                once = _once(ids, sets)
+                keys, counts = np.unique(np.concatenate([np.unique(_keys(sets[k], buckets)) for k in once]), return_counts=True) if once else (np.empty(0, np.uint64),) * 2
+                present, starts = np.unique(keys >> np.uint64(32), return_index=True)
+                ends = np.append(starts[1:], len(keys)).astype(np.int64)
+                rows, blobs = len(sets), len(present)
+                none = lambda kind, n: pa.nulls(n, kind)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())],
-                    ["doc_id", "n", "id"],
+                    [
+                        pa.array(np.full(rows + blobs, number)),
+                        pa.concat_arrays([pa.array(number + np.arange(rows)), none(pa.int64(), blobs)]),
+                        pa.concat_arrays([part.column(0).cast(pa.int64()), none(pa.int64(), blobs)]),
+                        pa.concat_arrays([pa.array([len(s) for s in sets], pa.int64()), none(pa.int64(), blobs)]),
+                        pa.concat_arrays([pa.array(ids, pa.binary()), none(pa.binary(), blobs)]),
+                        pa.concat_arrays([pa.array([odd_sketch(s) for s in sets], pa.binary()), none(pa.binary(), blobs)]),
+                        pa.concat_arrays([pa.array(texts, pa.binary()), none(pa.binary(), blobs)]),
+                        pa.concat_arrays([none(pa.int32(), rows), pa.array(present.astype(np.int32))]),
+                        pa.concat_arrays([none(pa.binary(), rows), packed((keys & _LOW).astype(np.uint32), starts, ends)]),
+                        pa.concat_arrays([none(pa.binary(), rows), packed(np.minimum(counts, 65535).astype(np.uint16), starts, ends)]),
+                    ],
+                    ["slice", "at", "doc_id", "n", "id", "sketch", "text", "bucket", "keys", "counts"],
                 )
+                number += len(sets) + 1
 
     return run
 
 
-def _cells(words: int, percent: int, late):
-    """Texts to (id, cells): the prefix in the order that puts the shingles ``late`` last."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets = [s for s in (shingle_set(t, words) for t in binary_column(part, "text")) if len(s)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_id(s) for s in sets], pa.int64()),
-                     pa.array([_prefix(s, percent, late.value).view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                    ["id", "cells"],
-                )
-
-    return run
-
-
-def _whole_sets(words: int, percent: int, late):
-    """All shingles of the texts that have one of ``late`` in their prefix."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets = [shingle_set(t, words) for t in binary_column(part, "text")]
-                plain = [_prefix(s, percent, late.value[:0]) for s in sets]
-                hit = [s.view(np.int64) for s, p in zip(sets, plain, strict=True) if np.isin(p, late.value).any()]
-                yield pa.RecordBatch.from_arrays([pa.array(hit, pa.list_(pa.int64()))], ["cells"])
-
-    return run
-
-
-def _owned(words: int):
-    """(id, text) without texts whose set has another id (of rows that repeat a document id)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                pairs = zip(part.column(0).to_pylist(), binary_column(part, "text"), strict=True)
-                kept = [(i, t) for i, t in pairs if set_id(shingle_set(t, words)) == i]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int64()), pa.array([t for _, t in kept], pa.binary())], ["id", "body"])
+_SKETCH = "slice bigint, at bigint, doc_id bigint, n bigint, id binary, sketch binary, text binary, bucket int, keys binary, counts binary"
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, slice, keys, counts) sorted by bucket to (slice, bucket, classes): logarithms of the counts of all slices."""
+
+    def whole(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        parts = [np.frombuffer(x.as_buffer(), np.uint32) for x in table["keys"].combine_chunks()]
+        times = [np.frombuffer(x.as_buffer(), np.uint16) for x in table["counts"].combine_chunks()]
+        _, of = np.unique(np.concatenate(parts), return_inverse=True)
+        total = np.bincount(of, np.concatenate(times))
+        classes = np.log2(total).astype(np.uint8)[of]
+        ends = np.cumsum([len(p) for p in parts])
+        starts = ends - [len(p) for p in parts]
+        some = np.add.reduceat(classes > 0, starts) > 0
+        return pa.RecordBatch.from_arrays(
+            [table["slice"].combine_chunks().filter(pa.array(some)), table["bucket"].combine_chunks().filter(pa.array(some)), packed(classes, starts[some], ends[some])],
+            ["slice", "bucket", "classes"],
+        )
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        bucket = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            if held and start < end and held[0].column(0)[0].as_py() != bucket[start]:
+                yield whole(held)
+                held = []
+            if start < end:
+                held.append(batch.slice(start, end - start))
+    if held:
+        yield whole(held)
+
+
+def _prefixes(words: int, percent: int, buckets: int):
+    """The texts of a slice and the classes of its shingles to (cell, id) for the shared shingles in prefixes."""
+
+    def run(texts: pa.Table, classes: pa.Table) -> pa.Table:
+        ids = texts["id"].to_pylist()
+        sets = [shingle_set(t, words) for t in texts["text"].to_pylist()] if classes.num_rows else [np.empty(0, np.uint64)] * len(ids)
+        once = _once(ids, sets)
+        cells, owners = [], []
+        if once:
+            keys = np.unique(np.concatenate([_keys(sets[k], buckets) for k in once]))
+            kind = np.zeros(len(keys), np.uint8)
+            start = np.searchsorted(keys >> np.uint64(32), classes["bucket"].to_numpy().astype(np.uint64))
+            for s, blob in zip(start.tolist(), classes["classes"].to_pylist(), strict=True):
+                kind[s : s + len(blob)] = np.frombuffer(blob, np.uint8)
+            for k in once:
+                found = sets[k]
+                late = kind[np.searchsorted(keys, _keys(found, buckets))]
+                size = len(found) - -(-percent * len(found) // 100) + 1 - int((late == 0).sum())
+                if size > 0:
+                    shared = late > 0
+                    found, late = found[shared], late[shared]
+                    cells.append(found[np.lexsort((found, late))[:size]])
+                    owners.append(k)
+        lengths = [len(c) for c in cells]
+        of = np.repeat(np.array(owners, np.int64), lengths)
+        cell = np.concatenate(cells).view(np.int64) if cells else np.empty(0, np.int64)
+        return pa.table({"cell": pa.array(cell), "id": pa.array(ids, pa.binary()).take(pa.array(of))})
 
     return run
 
@@ -117,49 +155,33 @@ def jaccard_components(
     shingles (ASCII-lower-cased; words are runs of anything but ASCII white space); a shorter text
     is one shingle. Null and word-less texts are empty and link with nothing. Repeated rows and
     equal ids come out one row each; a null id's component is that of the documents it links with,
-    null if there are none. An empty table gives an empty result. Shingles and sets are told apart
-    by 64-bit hashes.
-
-    Texts are shuffled only where the table of the wanted documents is too large to broadcast; they
-    are hashed anew in each pass, which costs less than moving their shingles.
+    null if there are none. An empty table gives an empty result; other columns of ``docs``, whatever
+    their names, are not read. The two sets of a comparison are told apart by 64-bit hashes of their
+    shingles, items by 128-bit digests.
     """
-    context = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    buckets = buckets_of(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = materialise(rows.mapInArrow(_sketch(words), "doc_id bigint, n bigint, id bigint"), "ngram-sketch")
-    items = sketch.filter("n > 0").groupBy("id").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"))
+    both = materialise(rows.mapInArrow(_sketch(words, buckets), _SKETCH), "ngram-sketch")
+    sketch = both.filter("at is not null")
+    counted = both.filter("bucket is not null").select("bucket", "slice", "keys", "counts").repartition("bucket").sortWithinPartitions("bucket")
+    classes = counted.mapInArrow(_count, "slice bigint, bucket int, classes binary")
+    texts = sketch.filter("n > 0").select("slice", "id", "text")
+    postings = texts.groupBy("slice").cogroup(classes.groupBy("slice")).applyInArrow(_prefixes(words, percent, buckets), "cell bigint, id binary")
+    cells = materialise(shared_cells(postings, "ngram-shared"), "ngram-cells")
+
+    items = sketch.filter("n > 0").groupBy("id").agg(F.min("at").alias("at"), F.min("doc_id").alias("first"))
     items = materialise(items, "ngram-items")
-    first = materialise(items.select("id", "first"), "ngram-first")
-
-    def texts(wanted: DataFrame) -> DataFrame:
-        """(id, text) of one document for each item of ``wanted`` (id, first), materialised."""
-        return rows.join(small_enough(wanted), F.col("doc_id").eqNullSafe(F.col("first"))).select("id", "text")
-
-    def crowded(sets: DataFrame) -> np.ndarray:
-        """Shingles in more than ``CROWDED`` of the sets, or more where those would be too many to send out."""
-        sizes = sets.select(F.explode("cells").alias("cell")).groupBy("cell").count().filter(F.col("count") > CROWDED)
-        sizes = materialise(sizes, "ngram-crowded")
-        most = max(CROWDED, (sizes.agg(F.sum("count")).first()[0] or 0) // MOST_CROWDED)
-        found = [r["cell"] for r in sizes.filter(F.col("count") > most).select("cell").toLocalIterator()]
-        return np.sort(np.array(found, np.int64).view(np.uint64))
-
-    # Copies add nothing but work: they are left out if that needs no shuffle of texts.
-    single = texts(first) if table_bytes(first) <= BROADCAST_BYTES else rows
-    kind = "id bigint, cells array<bigint>"
-    late = context.broadcast(crowded(single.mapInArrow(_cells(words, percent, context.broadcast(np.empty(0, np.uint64))), kind)))
-    if len(late.value):  # the rest of what those texts share, so that it does not come forward in its place
-        more = crowded(single.mapInArrow(_whole_sets(words, percent, late), "cells array<bigint>"))
-        late = context.broadcast(np.union1d(late.value, more))
-    postings = single.mapInArrow(_cells(words, percent, late), kind).select(F.explode("cells").alias("cell"), "id")
-    postings = postings.repartition("cell").distinct()
-    cells = materialise(materialise(crowd_cells(postings), "ngram-shared").join(items.select("id", "n"), "id").select("cell", "id", "n"), "ngram-cells")
-    wanted = materialise(first.join(cells.select("id").distinct(), "id", "left_semi"), "ngram-wanted")
-    # Texts compress better than their shingles do, so these travel to be compared.
-    bodies = materialise(texts(wanted).mapInArrow(_owned(words), "id bigint, body binary"), "ngram-texts")
-    if bodies.count() > wanted.count():  # rows that repeat a document
-        bodies = materialise(bodies.dropDuplicates(["id"]), "ngram-texts")
-    roots = components(links(cells, bodies, partial(_set_of, words=words), percent))
-    least = materialise(items.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "first"), "ngram-roots")
-    groups = least.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = materialise(least.join(groups, "root").select("id", "component_id"), "ngram-groups")
-    named = sketch.filter("n > 0").join(groups, "id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    places = materialise(items.join(small_enough(materialise(cells.select("id").distinct(), "ngram-wanted")), "id").select("at"), "ngram-places")
+    info = materialise(sketch.select("at", "id", "n", "sketch").join(small_enough(places), "at").select("id", "n", "sketch"), "ngram-info")
+
+    def bodies(wanted: DataFrame) -> DataFrame:
+        at = materialise(items.join(small_enough(wanted), "id").select("at"), "ngram-places")
+        return sketch.select("at", "id", F.col("text").alias("body")).join(small_enough(at), "at").select("id", "body")
+
+    roots = components(links(cells, info, bodies, partial(_set_of, words=words), percent))
+    least = materialise(items.join(small_enough(roots), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "first"), "ngram-roots")
+    linked = least.groupBy("root").agg(F.min("first").alias("component_id"))
+    groups = materialise(least.join(linked, "root").select("id", "component_id"), "ngram-groups")
+    named = sketch.filter("n > 0").join(small_enough(groups), "id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return named.unionByName(sketch.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

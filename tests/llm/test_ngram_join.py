@@ -62,11 +62,12 @@ def fixture(seed, copies):
     return rows
 
 
-@pytest.mark.parametrize("seed,copies,small", [(1, 60, False), (2, 90, True)])
-def test_against_all_pairs(spark, monkeypatch, seed, copies, small):
-    if small:  # cells recurse by pivots instead of ending at once
-        monkeypatch.setattr(metric, "DIRECT", 1)
-        monkeypatch.setattr(ngram_join, "CROWDED", 12)
+@pytest.mark.parametrize("seed,copies,block,rounds", [(1, 60, 256, 3), (2, 90, 1, 2), (3, 90, 8, 0)])
+def test_against_all_pairs(spark, monkeypatch, seed, copies, block, rounds):
+    # Small blocks: cells are divided by pivots (and dealt out in blocks in the end) instead of joined at once.
+    monkeypatch.setattr(metric, "BLOCK", block)
+    monkeypatch.setattr(metric, "ROUNDS", rounds)
+    monkeypatch.setattr(metric, "PIVOTS", 3)
     rows = fixture(seed, copies)
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, id string")
     got = ngram_join.jaccard_components(docs).collect()
