@@ -27,6 +27,8 @@ from lectern.llm.metric import links, shared_cells
 from lectern.llm.shingles import shingle_set
 from lectern.llm.sketches import digest, odd_sketch
 
+#: A text's place: partition (20 bits), slice in it (20 bits), row in that (23 bits).
+_SLICE, _ROW = 20, 23
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -40,43 +42,70 @@ def _once(ids: list[bytes], sets: list[np.ndarray]) -> list[int]:
     return [k for k in {i: k for k, i in reversed(list(enumerate(ids)))}.values() if len(sets[k])]
 
 
-def _sketch(words: int, buckets: int):
-    """(doc_id, text) to rows of documents and rows of packed shingles."""
+def _unpack(sizes: bytes, texts: bytes) -> list[memoryview]:
+    ends = np.cumsum(np.frombuffer(sizes, np.int64)).tolist()
+    whole = memoryview(pa.decompress(texts, decompressed_size=ends[-1], codec="zstd"))
+    return [whole[s:e] for s, e in zip([0, *ends], ends, strict=False)]
+
+
+def _sketch(words: int):
+    """(doc_id, text) to a row for each document and a row for each slice, which holds its texts compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << _SLICE
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = binary_column(part, "text")
+                texts = [t or b"" for t in binary_column(part, "text")]
                 sets = [shingle_set(t, words) for t in texts]
-                ids = [digest(s) for s in sets]
-                once = _once(ids, sets)
-                keys, counts = np.unique(np.concatenate([np.unique(_keys(sets[k], buckets)) for k in once]), return_counts=True) if once else (np.empty(0, np.uint64),) * 2
-                present, starts = np.unique(keys >> np.uint64(32), return_index=True)
-                ends = np.append(starts[1:], len(keys)).astype(np.int64)
-                rows, blobs = len(sets), len(present)
-                none = lambda kind, n: pa.nulls(n, kind)
+                ids, rows = [digest(s) for s in sets], len(sets)
+                one = lambda x: pa.array([None] * rows + [x], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(rows + blobs, number)),
-                        pa.concat_arrays([pa.array(number + np.arange(rows)), none(pa.int64(), blobs)]),
-                        pa.concat_arrays([part.column(0).cast(pa.int64()), none(pa.int64(), blobs)]),
-                        pa.concat_arrays([pa.array([len(s) for s in sets], pa.int64()), none(pa.int64(), blobs)]),
-                        pa.concat_arrays([pa.array(ids, pa.binary()), none(pa.binary(), blobs)]),
-                        pa.concat_arrays([pa.array([odd_sketch(s) for s in sets], pa.binary()), none(pa.binary(), blobs)]),
-                        pa.concat_arrays([pa.array(texts, pa.binary()), none(pa.binary(), blobs)]),
-                        pa.concat_arrays([none(pa.int32(), rows), pa.array(present.astype(np.int32))]),
-                        pa.concat_arrays([none(pa.binary(), rows), packed((keys & _LOW).astype(np.uint32), starts, ends)]),
-                        pa.concat_arrays([none(pa.binary(), rows), packed(np.minimum(counts, 65535).astype(np.uint16), starts, ends)]),
+                        pa.array(np.full(rows + 1, number)),
+                        pa.array([*((number << _ROW) + np.arange(rows)).tolist(), None], pa.int64()),
+                        pa.concat_arrays([part.column(0).cast(pa.int64()), pa.nulls(1, pa.int64())]),
+                        pa.array([*(len(s) for s in sets), None], pa.int64()),
+                        pa.array([*ids, b"".join(ids)], pa.binary()),
+                        pa.array([*(odd_sketch(s) for s in sets), None], pa.binary()),
+                        one(np.array([len(t) for t in texts], np.int64).tobytes()),
+                        one(pa.compress(b"".join(texts), codec="zstd", asbytes=True)),
                     ],
-                    ["slice", "at", "doc_id", "n", "id", "sketch", "text", "bucket", "keys", "counts"],
+                    ["slice", "at", "doc_id", "n", "id", "sketch", "sizes", "texts"],
                 )
-                number += len(sets) + 1
+                number += 1
 
     return run
 
 
-_SKETCH = "slice bigint, at bigint, doc_id bigint, n bigint, id binary, sketch binary, text binary, bucket int, keys binary, counts binary"
+_SKETCH = "slice bigint, at bigint, doc_id bigint, n bigint, id binary, sketch binary, sizes binary, texts binary"
+
+
+def _shingles(words: int, ids: bytes, sizes: bytes, texts: bytes) -> tuple[list[bytes], list[np.ndarray], list[int]]:
+    """Ids and sets of a slice, and the positions of its different items."""
+    sets = [shingle_set(bytes(t), words) for t in _unpack(sizes, texts)]
+    ids = [ids[k : k + 16] for k in range(0, len(ids), 16)]
+    return ids, sets, _once(ids, sets)
+
+
+def _send(words: int, buckets: int):
+    """(slice, id, sizes, texts) to (bucket, slice, keys, counts): the distinct shingles of a slice and how many items have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, *packs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _, sets, once = _shingles(words, *packs)
+                if not once:
+                    continue
+                keys, counts = np.unique(np.concatenate([np.unique(_keys(sets[k], buckets)) for k in once]), return_counts=True)
+                present, starts = np.unique(keys >> np.uint64(32), return_index=True)
+                ends = np.append(starts[1:], len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(present.astype(np.int32)), pa.array(np.full(len(present), number)), packed((keys & _LOW).astype(np.uint32), starts, ends),
+                     packed(np.minimum(counts, 65535).astype(np.uint16), starts, ends)],
+                    ["bucket", "slice", "keys", "counts"],
+                )
+
+    return run
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,14 +141,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(words: int, percent: int, buckets: int):
-    """The texts of a slice and the classes of its shingles to (cell, id) for the shared shingles in prefixes."""
+    """A slice of texts and the classes of its shingles to (cell, id) for the shared shingles in prefixes."""
 
     def run(texts: pa.Table, classes: pa.Table) -> pa.Table:
-        ids = texts["id"].to_pylist()
-        sets = [shingle_set(t, words) for t in texts["text"].to_pylist()] if classes.num_rows else [np.empty(0, np.uint64)] * len(ids)
-        once = _once(ids, sets)
-        cells, owners = [], []
-        if once:
+        ids, cells, owners = [], [], []
+        if classes.num_rows:
+            ids, sets, once = _shingles(words, *(texts[c][0].as_py() for c in ("id", "sizes", "texts")))
             keys = np.unique(np.concatenate([_keys(sets[k], buckets) for k in once]))
             kind = np.zeros(len(keys), np.uint8)
             start = np.searchsorted(keys >> np.uint64(32), classes["bucket"].to_numpy().astype(np.uint64))
@@ -142,6 +169,14 @@ def _prefixes(words: int, percent: int, buckets: int):
     return run
 
 
+def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, sizes, texts, rows) to (id, body) of the rows of a slice."""
+    for batch in batches:
+        for ids, sizes, texts, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            whole = _unpack(sizes, texts)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[16 * r : 16 * r + 16] for r in rows], pa.binary()), pa.array([whole[r] for r in rows], pa.binary())], ["id", "body"])
+
+
 def _set_of(body, words: int) -> np.ndarray:
     return shingle_set(bytes(body), words)
 
@@ -162,11 +197,11 @@ def jaccard_components(
     spark = docs.sparkSession
     buckets = buckets_of(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    both = materialise(rows.mapInArrow(_sketch(words, buckets), _SKETCH), "ngram-sketch")
+    both = materialise(rows.mapInArrow(_sketch(words), _SKETCH), "ngram-sketch")
     sketch = both.filter("at is not null")
-    counted = both.filter("bucket is not null").select("bucket", "slice", "keys", "counts").repartition("bucket").sortWithinPartitions("bucket")
-    classes = counted.mapInArrow(_count, "slice bigint, bucket int, classes binary")
-    texts = sketch.filter("n > 0").select("slice", "id", "text")
+    texts = both.filter("at is null").select("slice", "id", "sizes", "texts")
+    counted = texts.mapInArrow(_send(words, buckets), "bucket int, slice bigint, keys binary, counts binary")
+    classes = counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, "slice bigint, bucket int, classes binary")
     postings = texts.groupBy("slice").cogroup(classes.groupBy("slice")).applyInArrow(_prefixes(words, percent, buckets), "cell bigint, id binary")
     cells = materialise(shared_cells(postings, "ngram-shared"), "ngram-cells")
 
@@ -176,8 +211,9 @@ def jaccard_components(
     info = materialise(sketch.select("at", "id", "n", "sketch").join(small_enough(places), "at").select("id", "n", "sketch"), "ngram-info")
 
     def bodies(wanted: DataFrame) -> DataFrame:
-        at = materialise(items.join(small_enough(wanted), "id").select("at"), "ngram-places")
-        return sketch.select("at", "id", F.col("text").alias("body")).join(small_enough(at), "at").select("id", "body")
+        rows = items.join(small_enough(wanted), "id").select(F.shiftright("at", _ROW).alias("slice"), F.col("at").bitwiseAND((1 << _ROW) - 1).alias("row"))
+        rows = materialise(rows.groupBy("slice").agg(F.collect_list("row").alias("rows")), "ngram-places")
+        return texts.join(small_enough(rows), "slice").select("id", "sizes", "texts", "rows").mapInArrow(_pick, "id binary, body binary")
 
     roots = components(links(cells, info, bodies, partial(_set_of, words=words), percent))
     least = materialise(items.join(small_enough(roots), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "first"), "ngram-roots")
