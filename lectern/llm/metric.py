@@ -7,10 +7,10 @@ discard only pairs that cannot link; whole sets move for what is left, to be com
 Larger cells are divided first. The item with the smallest id is compared with all others, and what
 links join already is one. Then pivots create Voronoi regions: each member is compared with its
 nearest pivot. If y links with pivot q, whatever links with y is within twice the threshold of q
-(triangle inequality), so members in that window of q, wherever they belong, are copied to q's
-region; members that link with no pivot form a region of their own. Regions of one component are
-done, the others divide again. What pivots cannot divide is dealt out in blocks, each of which
-meets every block of items outside the cell's largest component.
+(triangle inequality), so members of other components in that window of q are copied to q's
+region; members that do not link with their pivot form a region of their own. Regions of one
+component are done, those that shrank by half divide again, and the others are dealt out in blocks,
+each of which meets every block of items outside the region's largest component.
 """
 
 from __future__ import annotations
@@ -175,8 +175,8 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(cell, id, root, size) of the cells whose members are not one component."""
-    members = materialise(_rooted(members.select("cell", "id"), roots), "members")
+    """``members`` (cell, id, ...) with root and size, of the cells that are not one component."""
+    members = materialise(_rooted(members, roots), "members")
     cells = members.groupBy("cell").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     return materialise(members.join(small_enough(materialise(cells.select("cell", "size"), "open")), "cell"), "members")
 
@@ -257,24 +257,30 @@ def _divide(big: DataFrame, info: DataFrame, bodies: Callable, to_set: Callable,
     pivots = materialise(big.groupBy("cell").agg(F.min("id").alias("pivot")), "pivots")
     stars = big.join(small_enough(pivots), "cell").filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     found = verified(_stars(stars, info, percent), bodies, to_set, percent)
-    regions = None
+    roots, regions, big = components(found), None, big.withColumn("was", F.lit(1 << 62))
     for depth in range(ROUNDS + 1):
-        state = _open(big, components(found))
-        ready = state.filter(F.col("size") <= BLOCK).select("cell", "id")
+        state = _open(big, roots)
+        wide = F.col("size") > BLOCK
+        stuck = wide & (F.lit(depth == ROUNDS) | (F.col("size") * 2 > F.col("was")))
+        ready = state.filter(~wide).select("cell", "id").unionByName(_blocks(state.filter(stuck)))
         regions = ready if regions is None else regions.unionByName(ready)
-        state = state.filter(F.col("size") > BLOCK)
+        state = state.filter(wide & ~stuck)
         if state.isEmpty():
             return regions, found
-        if depth == ROUNDS:
-            return regions.unionByName(_blocks(state)), found
         near = _voronoi(state, info, depth, percent)
         own = near.filter("nearest and close and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
         linked = verified(own, bodies, to_set, percent)
         found = materialise(found.unionByName(linked).distinct(), "links")
-        inside = near.filter("inside").select(F.xxhash64(F.lit(depth), "cell", "pivot").alias("cell"), "id")
-        known = linked.select(F.col("a").alias("id"), F.col("b").alias("pivot"))
-        alone = near.filter("nearest and id <> pivot").join(small_enough(known), ["id", "pivot"], "left_anti")
-        big = materialise(inside.unionByName(alone.select(F.xxhash64(F.lit(depth), "cell").alias("cell"), "id")), "regions")
+        roots = components(found)
+        known = linked.select(F.col("a").alias("id"), F.col("b").alias("pivot"), F.lit(True).alias("linked")).distinct()
+        tops = roots.select(F.col("id").alias("pivot"), F.col("root").alias("top"))
+        near = _rooted(near, roots).join(small_enough(tops), "pivot", "left").join(small_enough(materialise(known, "known")), ["id", "pivot"], "left")
+        home = F.col("nearest") & (F.coalesce("linked", F.lit(False)) | (F.col("id") == F.col("pivot")))
+        region = F.when(home | (F.col("inside") & (F.col("root") != F.coalesce("top", "pivot"))), F.xxhash64(F.lit(depth), "cell", "pivot"))
+        alone = F.when(F.col("nearest") & ~home, F.xxhash64(F.lit(depth), "cell"))
+        sizes = materialise(state.select("cell", F.col("size").alias("was")).distinct(), "sizes")
+        near = near.join(small_enough(sizes), "cell").select("id", "was", F.explode(F.array_compact(F.array(region, alone))).alias("cell"))
+        big = materialise(near.select("cell", "id", "was"), "regions")
     raise AssertionError
 
 

@@ -44,7 +44,7 @@ def _once(ids: list[bytes], sets: list[np.ndarray]) -> list[int]:
 
 def _unpack(sizes: bytes, texts: bytes) -> list[memoryview]:
     ends = np.cumsum(np.frombuffer(sizes, np.int64)).tolist()
-    whole = memoryview(pa.decompress(texts, decompressed_size=ends[-1], codec="zstd"))
+    whole = memoryview(pa.decompress(texts, decompressed_size=ends[-1], codec="zstd", asbytes=True))
     return [whole[s:e] for s, e in zip([0, *ends], ends, strict=False)]
 
 
@@ -207,14 +207,13 @@ def jaccard_components(
 
     items = sketch.filter("n > 0").groupBy("id").agg(F.min("at").alias("at"), F.min("doc_id").alias("first"))
     items = materialise(items, "ngram-items")
-    places = materialise(items.join(small_enough(materialise(cells.select("id").distinct(), "ngram-wanted")), "id").select("at"), "ngram-places")
-    info = materialise(sketch.select("at", "id", "n", "sketch").join(small_enough(places), "at").select("id", "n", "sketch"), "ngram-info")
-
-    def bodies(wanted: DataFrame) -> DataFrame:
-        rows = items.join(small_enough(wanted), "id").select(F.shiftright("at", _ROW).alias("slice"), F.col("at").bitwiseAND((1 << _ROW) - 1).alias("row"))
-        rows = materialise(rows.groupBy("slice").agg(F.collect_list("row").alias("rows")), "ngram-places")
-        return texts.join(small_enough(rows), "slice").select("id", "sizes", "texts", "rows").mapInArrow(_pick, "id binary, body binary")
-
+    wanted = items.join(small_enough(materialise(cells.select("id").distinct(), "ngram-wanted")), "id").select("at")
+    wanted = materialise(wanted, "ngram-places")
+    info = materialise(sketch.select("at", "id", "n", "sketch").join(small_enough(wanted), "at").select("id", "n", "sketch"), "ngram-info")
+    chosen = wanted.groupBy(F.shiftright("at", _ROW).alias("slice")).agg(F.collect_list(F.col("at").bitwiseAND((1 << _ROW) - 1)).alias("rows"))
+    chosen = texts.join(small_enough(materialise(chosen, "ngram-rows")), "slice").select("id", "sizes", "texts", "rows")
+    whole = materialise(chosen.mapInArrow(_pick, "id binary, body binary"), "ngram-bodies")
+    bodies = lambda ids: whole.join(small_enough(ids), "id", "left_semi")
     roots = components(links(cells, info, bodies, partial(_set_of, words=words), percent))
     least = materialise(items.join(small_enough(roots), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "first"), "ngram-roots")
     linked = least.groupBy("root").agg(F.min("first").alias("component_id"))
