@@ -12,6 +12,9 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Buffers of whole slices come and go in long-lived Python workers; the system's allocator gives their memory back.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: A side is broadcast only if its written table is at most this many bytes.
 BROADCAST_BYTES = 32 << 20
 

@@ -29,7 +29,7 @@ from lectern.llm.components import components
 from lectern.llm.sketches import Sketches, differing, may_link
 
 #: Cells of at most so many items are joined in place.
-BLOCK = 256
+BLOCK = 4096
 #: Pivots that a large cell elects in one round, rounds, and members that meet the pivots in one group.
 PIVOTS, ROUNDS, SALT = 8, 3, 4096
 
