@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lectern.functions.text import tokenize
+from lectern.sources.scratch import written
+
+
+def hashing_embed(texts: DataFrame, keys: str | list[str], text: str, dim: int = 256) -> DataFrame:
+    """(keys, embedding) by hashed token counts, L2-normalised; a text without tokens is all zeros. ``dim`` must be 256 or less by a power of two.
+
+    Buckets are hashed natively; counting them is the only step in Python, inside the row and in Arrow batches.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(len(keys))
+            row = np.repeat(np.arange(batch.num_rows), found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            n = np.bincount(row * dim + found.flatten().to_numpy(zero_copy_only=False), minlength=batch.num_rows * dim).reshape(-1, dim).astype(np.float64)
+            norm = np.sqrt((n * n).sum(1, keepdims=True))
+            vectors = np.divide(n, norm, out=np.zeros_like(n), where=norm > 0).astype(np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, batch.num_rows * dim + 1, dim), pa.int32()), pa.array(vectors.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], lists], [*keys, "embedding"])
 
-def hashing_embed(texts: DataFrame, key: str, text: str, dim: int = 256) -> DataFrame:
-    """(key, embedding) by hashed token counts, L2-normalised; a text without tokens is all zeros. ``dim`` must be 256 or less by a power of two."""
-    bucket = F.conv(F.right(F.md5("w"), F.lit(2)), 16, 10).cast("int") % dim
-    words = texts.select(key, F.explode(tokenize(F.col(text))).alias("w")).groupBy(key, bucket.alias("b")).agg(F.count("*").cast("double").alias("n"))
-    counts = words.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i) / F.col("norm"), F.lit(0.0)).cast("float"))
-    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    return texts.select(key).join(counts, key, "left").select(key, F.when(F.col("m").isNotNull(), vector).otherwise(zero).alias("embedding"))
+    bucket = F.transform(tokenize(F.col(text)), lambda w: F.conv(F.right(F.md5(w), F.lit(2)), 16, 10).cast("int") % dim)
+    rows = texts.select(*keys, bucket.alias("buckets"))
+    return rows.mapInArrow(count, StructType([*rows.select(*keys).schema.fields, StructField("embedding", ArrayType(FloatType()))]))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -27,7 +45,7 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 def bm25_index(chunks: DataFrame) -> DataFrame:
     """Postings with what scoring needs: (kb_id, chunk_id, term, tf, dl, idf, avgdl), statistics per knowledge base."""
-    post = postings(chunks)
+    post = written(postings(chunks), "postings")
     lengths = post.groupBy("kb_id", "chunk_id").agg(F.sum("tf").alias("dl"))
     corpus = chunks.groupBy("kb_id").agg(F.count("*").alias("n")).join(lengths.groupBy("kb_id").agg(F.sum("dl").alias("total")), "kb_id", "left")
     corpus = corpus.select("kb_id", "n", (F.coalesce("total", F.lit(0)) / F.col("n")).alias("avgdl"))

@@ -24,16 +24,25 @@ def precision_at_k(judged: DataFrame, k: int) -> DataFrame:
     return judged.groupBy("query_id").agg((F.sum(_within(k)) / k).alias("p")).agg(F.round(F.avg("p"), 6).alias("precision"))
 
 
+def _ideal(n: Column, k: int) -> Column:
+    """Discounted gain of ``n`` relevant hits in the first places, ``k`` at most."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.lit(0.0), lambda s, i: s + F.when(i <= n, 1 / F.log2(i + 1)).otherwise(0.0))
+
+
 def ndcg_at_k(judged: DataFrame, k: int) -> DataFrame:
     """Binary gains; the ideal has all relevant hits first."""
     gain = F.sum(_within(k) / F.log2(F.col("rank") + 1)).alias("dcg")
     rows = judged.groupBy("query_id").agg(gain, F.least(F.sum("relevant"), F.lit(k)).alias("n"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.lit(0.0), lambda s, i: s + F.when(i <= F.col("n"), 1 / F.log2(i + 1)).otherwise(0.0))
-    return rows.agg(F.round(F.avg(F.coalesce(F.try_divide(F.col("dcg"), ideal), F.lit(0.0))), 6).alias("ndcg"))
+    return rows.agg(F.round(F.avg(F.coalesce(F.try_divide(F.col("dcg"), _ideal(F.col("n"), k)), F.lit(0.0))), 6).alias("ndcg"))
 
 
 def compare(judged: DataFrame, k: int) -> DataFrame:
-    """Recall, reciprocal rank and precision for each ``strategy``, in one pass over all of them."""
+    """Recall, reciprocal rank, precision and discounted gain for each ``strategy``, in one pass over all of them."""
     first = F.min(F.when(F.col("relevant") == 1, F.col("rank")))
-    per = judged.groupBy("strategy", "query_id").agg(F.max(_within(k)).alias("hit"), F.coalesce(1 / first, F.lit(0.0)).alias("rr"), (F.sum(_within(k)) / k).alias("p"))
-    return per.groupBy("strategy").agg(F.round(F.avg("hit"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("p"), 6).alias("precision"))
+    per = judged.groupBy("strategy", "query_id").agg(
+        F.max(_within(k)).alias("hit"), F.coalesce(1 / first, F.lit(0.0)).alias("rr"), (F.sum(_within(k)) / k).alias("p"),
+        F.sum(_within(k) / F.log2(F.col("rank") + 1)).alias("dcg"), F.sum("relevant").alias("n"),
+    )
+    gain = F.coalesce(F.try_divide(F.col("dcg"), _ideal(F.col("n"), k)), F.lit(0.0))
+    mean = lambda c: F.round(F.avg(c), 6)
+    return per.groupBy("strategy").agg(mean("hit").alias("recall"), mean("rr").alias("mrr"), mean("p").alias("precision"), mean(gain).alias("ndcg"))

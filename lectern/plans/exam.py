@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.operators import exam as E
 from lectern.operators import retrieve as R
 from lectern.plans.registry import query
-from lectern.plans.retrieval import _BM25, _bm25
+from lectern.plans.retrieval import _ALL, _BM25, _GROUND, _NORM, _answers, _bm25, _vectors
 
 
 def _raw(t):
@@ -211,21 +211,23 @@ def class_results(t):
     return sheets.join(users, "student_id", "left").select("paper_id", "sheet_id", "name", "n")
 
 
-@query("sheet_visibility", """SELECT sheet_id, m.user_id FROM (SELECT DISTINCT sheet_id, student_id FROM v_answers) s JOIN v_members m ON m.kb_id = sheet_id % 25 WHERE NOT m.is_deleted AND (m.role IN ('owner', 'admin', 'write') OR m.user_id = student_id) AND sheet_id % 50 = 0""")
+@query("sheet_visibility", """SELECT sheet_id, m.user_id FROM (SELECT DISTINCT sheet_id, student_id FROM v_answers) s JOIN v_members m ON m.kb_id = sheet_id % 25 WHERE NOT m.is_deleted AND (m.role IN ('owner', 'admin', 'write') OR m.user_id = student_id)""")
 def sheet_visibility(t):
     from lectern.operators.meta import allowed, live
 
-    sheets = t.v_answers.filter("sheet_id % 50 = 0").select("sheet_id", "student_id").distinct().withColumn("kb_id", F.col("sheet_id") % 25)
+    sheets = t.v_answers.select("sheet_id", "student_id").distinct().withColumn("kb_id", F.col("sheet_id") % 25)
     rows = sheets.join(live(t.v_members), "kb_id")
     return rows.filter(allowed(F.col("role"), F.lit("write")) | (F.col("user_id") == F.col("student_id"))).select("sheet_id", "user_id")
 
 
-@query("papers_for_user", """SELECT user_id, paper_id, position FROM (SELECT m.user_id, paper_id, row_number() OVER (PARTITION BY m.user_id ORDER BY paper_id DESC) AS position FROM (SELECT DISTINCT l_orderkey AS paper_id FROM lineitem WHERE l_orderkey % 40 = 0) p JOIN v_members m ON m.kb_id = paper_id % 25 WHERE NOT m.is_deleted) WHERE position <= 5""")
+@query("papers_for_user", """SELECT user_id, paper_id, position FROM (SELECT m.user_id, paper_id, row_number() OVER (PARTITION BY m.user_id ORDER BY paper_id DESC) AS position FROM (SELECT DISTINCT l_orderkey AS paper_id FROM lineitem) p JOIN v_members m ON m.kb_id = paper_id % 25 WHERE NOT m.is_deleted) WHERE position <= 5""")
 def papers_for_user(t):
+    """A user's newest papers are among the newest of each of their knowledge bases, so those are cut before the join."""
     from lectern.operators.meta import live, paginate
 
-    papers = t.lineitem.filter("l_orderkey % 40 = 0").select(F.col("l_orderkey").alias("paper_id")).distinct().withColumn("kb_id", F.col("paper_id") % 25)
-    return paginate(papers.join(live(t.v_members), "kb_id"), [F.desc("paper_id")], 1, 5, ["user_id"]).select("user_id", "paper_id", "position")
+    papers = t.lineitem.select(F.col("l_orderkey").alias("paper_id")).distinct().withColumn("kb_id", F.col("paper_id") % 25)
+    newest = R.top_k(papers, 5, ["kb_id"], "paper_id", "paper_id").drop("rank")
+    return paginate(newest.join(live(t.v_members), "kb_id"), [F.desc("paper_id")], 1, 5, ["user_id"]).select("user_id", "paper_id", "position")
 
 
 @query("iteration_summary", """SELECT paper_id, phase, count(*) AS n, count(*) FILTER (WHERE rejected) AS rejected, phase = 2 OR count(*) FILTER (WHERE rejected) = 0 AS stop FROM (SELECT paper_id, qid % 3 AS phase, l_suppkey % 3 = 0 AS rejected FROM v_questions) GROUP BY paper_id, phase""")
@@ -285,21 +287,40 @@ def ndcg_at_k(t):
     return metric(_judged(t), 5)
 
 
-@query("strategy_comparison", f"""WITH {_JUDGED} SELECT strategy, round(avg(hit), 6) AS recall FROM (SELECT 'bm25' AS strategy, query_id, max(CASE WHEN rank <= 5 THEN relevant ELSE 0 END) AS hit FROM ju GROUP BY ALL
-    UNION ALL SELECT 'bm25 reversed', query_id, max(CASE WHEN 21 - rank <= 5 THEN relevant ELSE 0 END) FROM ju GROUP BY ALL) GROUP BY strategy""")
-def strategy_comparison(t):
-    from lectern.operators.metrics import compare
-
-    judged = _judged(t)
-    both = judged.withColumn("strategy", F.lit("bm25")).unionByName(judged.withColumns({"rank": 21 - F.col("rank"), "strategy": F.lit("bm25 reversed")}))
-    return compare(both, 5).select("strategy", "recall")
+_STRATEGIES = f"""{_ALL}, eq AS (SELECT query_id, kb_id, chunk_id, 0.5 * coalesce(v, 0) + 0.5 * coalesce(b, 0) AS score FROM (SELECT query_id, kb_id, chunk_id, {_NORM} AS b FROM bm)
+    FULL JOIN (SELECT query_id, kb_id, chunk_id, {_NORM} AS v FROM ve) USING (query_id, kb_id, chunk_id)),
+    sr AS (SELECT *, row_number() OVER (PARTITION BY strategy, query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (SELECT 'bm25' AS strategy, query_id, kb_id, chunk_id, score FROM bm UNION ALL SELECT 'vector', query_id, kb_id, chunk_id, score FROM ve
+    UNION ALL SELECT 'hybrid', query_id, kb_id, chunk_id, score FROM eq UNION ALL SELECT 'hybrid_rerank', query_id, kb_id, chunk_id, score FROM hits) QUALIFY rank <= 5),
+    sj AS (SELECT strategy, query_id, rank, CASE WHEN r.doc_id IS NULL THEN 0 ELSE 1 END AS relevant FROM sr JOIN (SELECT kb_id, chunk_id, doc_id FROM v_chunks) USING (kb_id, chunk_id) LEFT JOIN v_relevant r USING (query_id, doc_id)),
+    sq AS (SELECT strategy, query_id, max(relevant) AS hit, coalesce(1.0 / min(CASE WHEN relevant = 1 THEN rank END), 0) AS rr, sum(relevant) / 5.0 AS p, sum(relevant / log2(rank + 1)) AS dcg, CAST(sum(relevant) AS BIGINT) AS rel FROM sj GROUP BY ALL)"""
 
 
-@query("grounding_report", "SELECT round(avg(CASE WHEN m = 0 THEN 1.0 ELSE 0.0 END), 6) AS refusal_rate, round(avg(CASE WHEN m IN (4, 5) THEN 1.0 ELSE 0.0 END), 6) AS hallucination_rate FROM (SELECT doc_id % 6 AS m FROM documents)")
+@query("strategy_comparison", f"""WITH {_STRATEGIES} SELECT strategy, round(avg(hit), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(p), 6) AS precision, round(avg(CASE WHEN rel = 0 THEN 0 ELSE dcg / list_sum(list_transform(range(1, rel + 1), lambda i: 1 / log2(i + 1))) END), 6) AS ndcg FROM sq GROUP BY strategy""")
+def strategy_comparison(t):
+    """Keyword, vector, hybrid with equal weights, hybrid with reranking: four metrics of their five best hits."""
+    from lectern.operators.metrics import compare
+    from lectern.sources.scratch import written
+
+    chunks, queries = _vectors(t)
+    keyword, vector = written(_bm25(t), "keyword"), written(R.vector_search(queries, chunks), "vector")
+    fused = R.top_k(R.hybrid_fuse(keyword, vector), 20, ["query_id"])
+    texts = fused.select("query_id", "kb_id", "chunk_id").join(t.v_chunks.select("kb_id", "chunk_id", "text"), ["kb_id", "chunk_id"]).join(t.v_queries, "query_id")
+    found = {"bm25": keyword, "vector": vector, "hybrid": R.hybrid_fuse(keyword, vector, 0.5, 0.5), "hybrid_rerank": R.rerank_overlap(texts, 5)}
+    hits = None
+    for name, rows in found.items():
+        best = R.top_k(rows.drop("rank"), 5, ["query_id"]).select(F.lit(name).alias("strategy"), "query_id", "rank", "kb_id", "chunk_id")
+        hits = best if hits is None else hits.unionByName(best)
+    judged = hits.join(t.v_chunks.select("kb_id", "chunk_id", "doc_id"), ["kb_id", "chunk_id"]).join(t.v_relevant.withColumn("relevant", F.lit(1)), ["query_id", "doc_id"], "left")
+    judged = judged.select("strategy", "query_id", "rank", F.coalesce("relevant", F.lit(0)).alias("relevant"))
+    return compare(judged, 5)
+
+
+@query("grounding_report", f"WITH {_GROUND} SELECT round(avg(CASE WHEN no_answer THEN 1.0 ELSE 0.0 END), 6) AS refusal_rate, round(avg(CASE WHEN NOT no_answer AND NOT grounded THEN 1.0 ELSE 0.0 END), 6) AS hallucination_rate FROM gc")
 def grounding_report(t):
-    m = F.col("doc_id") % 6
+    """Shares of refusals and of answers that their context does not support, from the groundedness check itself."""
+    checked = R.groundedness(_answers(t))
     rate = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
-    return t.documents.agg(rate(m == 0).alias("refusal_rate"), rate(m.isin(4, 5)).alias("hallucination_rate"))
+    return checked.agg(rate(F.col("no_answer")).alias("refusal_rate"), rate(~F.col("no_answer") & ~F.col("grounded")).alias("hallucination_rate"))
 
 
 @query("citation_accuracy", "SELECT round(sum(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END) / sum(2), 6) AS accuracy FROM documents")

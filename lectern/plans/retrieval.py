@@ -45,8 +45,7 @@ def _bm25(t):
 
 
 def _vectors(t):
-    keyed = t.v_chunks.withColumn("key", F.struct("kb_id", "chunk_id"))
-    chunks = I.hashing_embed(keyed, "key", "text").select("key.kb_id", "key.chunk_id", "embedding")
+    chunks = I.hashing_embed(t.v_chunks, ["kb_id", "chunk_id"], "text")
     queries = I.hashing_embed(t.v_queries, "query_id", "query").withColumnRenamed("embedding", "qv")
     return chunks, queries
 
@@ -111,11 +110,13 @@ def hybrid_retrieve(t):
     return _six(hits(t))
 
 
-@query("rerank_overlap", f"""SELECT query_id, chunk_id, round(len(list_intersect(q, d)) / len(list_distinct(list_concat(q, d))), 6) AS score,
+@query("rerank_overlap", f"""WITH {_BM25} SELECT query_id, chunk_id, round(len(list_intersect(q, d)) / len(list_distinct(list_concat(q, d))), 6) AS score,
     row_number() OVER (PARTITION BY query_id ORDER BY round(len(list_intersect(q, d)) / len(list_distinct(list_concat(q, d))), 9) DESC, chunk_id) AS rank FROM (
-    SELECT query_id, chunk_id, {_TOK("query")} AS q, {_TOK("text")} AS d FROM v_queries JOIN v_chunks ON kb_id = query_id % 20) WHERE len(q) > 0 QUALIFY rank <= 5""")
+    SELECT query_id, chunk_id, {_TOK("query")} AS q, {_TOK("text")} AS d FROM bm JOIN v_queries USING (query_id) JOIN v_chunks USING (kb_id, chunk_id)) WHERE len(q) > 0 QUALIFY rank <= 5""")
 def rerank_overlap(t):
-    pairs = t.v_queries.join(t.v_chunks, F.col("kb_id") == F.col("query_id") % 20)
+    """The keyword candidates of all knowledge bases, reranked."""
+    found = _bm25(t).select("query_id", "kb_id", "chunk_id")
+    pairs = found.join(t.v_chunks.select("kb_id", "chunk_id", "text"), ["kb_id", "chunk_id"]).join(t.v_queries, "query_id")
     return R.rerank_overlap(pairs, 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -176,12 +177,12 @@ def annotate_answer(t):
 def _answers(t):
     """Documents as answers: own text, another text or nothing as context, some of them refusals."""
     m = F.col("doc_id") % 6
-    answer = F.when(m == 0, "Not found in the files").otherwise(F.substring("text", 1, 300))
+    answer = F.when(m == 0, "Not found in the files").otherwise(F.col("text"))
     context = F.when(m.isin(1, 3), F.array("text")).when(m == 4, F.array(F.reverse("text"))).when(m == 5, F.array(F.lit(" "))).when(m == 0, F.when(F.col("doc_id") % 12 == 0, F.array("text")))
     return t.documents.select(F.col("doc_id").alias("query_id"), answer.alias("answer"), context.alias("contexts"))
 
 
-_GROUND = rf"""an AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 6 = 0 THEN 'Not found in the files' ELSE substr(text, 1, 300) END AS answer,
+_GROUND = rf"""an AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 6 = 0 THEN 'Not found in the files' ELSE text END AS answer,
     CASE WHEN doc_id % 6 IN (1, 3) OR doc_id % 12 = 0 THEN text WHEN doc_id % 6 = 4 THEN reverse(text) ELSE '' END AS ctx FROM documents),
     kw AS (SELECT query_id, ctx, term, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, pos) AS k FROM (SELECT query_id, ctx, term, count(*) AS n, min(pos) AS pos FROM (
     SELECT query_id, ctx, w[i] AS term, i AS pos FROM (SELECT query_id, ctx, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT query_id, ctx, list_filter({_W.format("answer")}, lambda x: length(x) > 1) AS w FROM an))) GROUP BY ALL) QUALIFY k <= 15),
@@ -241,12 +242,12 @@ def long_term_memory_trim(t):
 
 
 @query("long_term_memory_rank", f"""SELECT query_id, doc_id, overlap FROM (SELECT query_id, doc_id, overlap, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, doc_id DESC) AS k FROM (
-    SELECT query_id, doc_id, CAST(len(list_intersect({_TOK("query")}, {_TOK("text")})) AS BIGINT) AS overlap FROM v_queries JOIN documents ON doc_id % 40 = query_id % 40)) WHERE k <= 3""")
+    SELECT query_id, doc_id, CAST(len(list_intersect({_TOK("query")}, {_TOK("text")})) AS BIGINT) AS overlap FROM v_queries, documents) WHERE overlap > 0) WHERE k <= 3""")
 def long_term_memory_rank(t):
-    """Token-overlap fallback; the newest of equally good ones first."""
-    pairs = t.v_queries.join(t.documents, F.col("doc_id") % 40 == F.col("query_id") % 40)
-    common = F.size(F.array_intersect(X.tokenize(F.col("query"), stopwords=True), X.tokenize(F.col("text"), stopwords=True))).cast("bigint")
-    rows = pairs.select("query_id", "doc_id", common.alias("overlap"), (-F.col("doc_id")).alias("chunk_id"))
+    """Token-overlap fallback over all memories, joined by shared tokens; the newest of equally good ones first."""
+    tokens = lambda rows, key, text: rows.select(key, F.explode(F.array_distinct(X.tokenize(F.col(text), stopwords=True))).alias("term"))
+    shared = tokens(t.documents, "doc_id", "text").join(tokens(t.v_queries, "query_id", "query"), "term")
+    rows = shared.groupBy("query_id", "doc_id").agg(F.count("*").alias("overlap")).withColumn("chunk_id", -F.col("doc_id"))
     return R.top_k(rows, 3, ["query_id"], "overlap").select("query_id", "doc_id", "overlap")
 
 
@@ -421,8 +422,7 @@ def merge_small_chunks(t):
 
 def _sentences(t):
     rows = _pages(t).select("doc_id", "page_number", F.posexplode(S.split_sentences(F.col("text"))).alias("pos", "text"))
-    keyed = rows.withColumn("key", F.struct("doc_id", "page_number", "pos"))
-    return rows.join(I.hashing_embed(keyed, "key", "text").select("key.*", F.col("embedding").alias("vector")), ["doc_id", "page_number", "pos"])
+    return I.hashing_embed(rows, ["doc_id", "page_number", "pos", "text"], "text").withColumnRenamed("embedding", "vector")
 
 
 @query("embed_texts")

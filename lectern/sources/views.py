@@ -9,6 +9,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.sources.scratch import written
 
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -28,10 +31,10 @@ VIEWS = {
     "v_versions": """SELECT doc_id AS document_id, version FROM documents JOIN (SELECT CAST(1 AS BIGINT) AS version UNION ALL SELECT 2
         UNION ALL SELECT 3) v ON version <= 1 + doc_id % 3""",
     "v_chunks": """SELECT kb_id, doc_id, 'doc_' || CAST(doc_id AS VARCHAR(20)) || ':' || CAST(i AS VARCHAR(20)) AS chunk_id, i AS chunk_index,
-        1 + i % 3 AS page_number, name AS document_name, substr(text, CAST(1 + i * 462 AS INT), 512) AS text FROM v_documents JOIN
-        (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation) n ON i < 12 AND (i = 0 OR i * 462 < char_count - 50) WHERE NOT is_deleted""",
-    "v_queries": "SELECT item_id AS query_id, substr(text, 1, 60) AS query FROM benchmark",
-    "v_relevant": "SELECT DISTINCT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON {contains}(d.text, b.text)",
+        1 + i % 3 AS page_number, name AS document_name, substr(text, CAST(1 + i * 462 AS INT), 512) AS text FROM (SELECT kb_id, doc_id, name, text,
+        {series}(CAST(0 AS BIGINT), greatest(CAST(ceil((char_count - 50) / 462.0) AS BIGINT) - 1, CAST(0 AS BIGINT)))) AS i FROM v_documents WHERE NOT is_deleted) d""",
+    "v_queries": "SELECT item_id AS query_id, text AS query FROM benchmark",
+    "v_relevant": "SELECT DISTINCT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
     "v_vectors": """SELECT vec_id AS chunk_id, vec_id % 5 AS kb_id, CASE WHEN vec_id % 4 = 0 THEN 'image' ELSE 'text' END AS modality,
         embedding, CAST(label AS BIGINT) AS label FROM embeddings""",
     "v_messages": "SELECT conv_id, turn AS id, role, text AS content FROM conversations",
@@ -59,8 +62,8 @@ VIEWS = {
     "v_request_log": "SELECT event_id, ts, user_id, value AS duration_ms, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status FROM events",
 }
 
-_SPARK = {"sha": "lectern_sha", "json": "get_json_object", "contains": "contains"}
-_DUCK = {"sha": "sha256", "json": "json_extract_string", "contains": "contains"}
+_SPARK = {"sha": "lectern_sha", "json": "get_json_object", "series": "explode(sequence"}
+_DUCK = {"sha": "sha256", "json": "json_extract_string", "series": "unnest(generate_series"}
 
 
 def _needed(sql: str) -> list[str]:
@@ -83,6 +86,24 @@ def with_views(sql: str) -> str:
     return f"WITH {', '.join(ctes)} {body}"
 
 
+def passages_in(docs: DataFrame, items: DataFrame, words: int = 5) -> DataFrame:
+    """(query_id, doc_id) where a document's text contains the whole text of a benchmark item.
+
+    A text that contains an item also has the item's words 2 to ``words`` + 1 (between single blanks)
+    in a row, so candidates come from an equality join on those and are then checked. Items of fewer
+    than ``words`` + 2 words have no such inner words; they meet every document.
+    """
+    parts = F.split("text", " ", -1)
+    keyed = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), F.when(F.size(parts) >= words + 2, F.array_join(F.slice(parts, 2, words), " ")).alias("key"))
+    rows = docs.select("doc_id", "text", F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - words + 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, words), " ")).alias("keys"))
+    keys = rows.filter("text is not null").select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
+    pairs = keys.join(keyed.filter("key is not null"), "key").select("query_id", "doc_id").distinct()
+    pairs = pairs.join(docs.select("doc_id", "text"), "doc_id").join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("item")), "query_id")
+    found = pairs.filter(F.contains("text", "item"))
+    short = keyed.filter("key is null and item is not null").join(docs.select("doc_id", "text"), F.contains("text", "item"))
+    return found.select("query_id", "doc_id").unionByName(short.select("query_id", "doc_id")).distinct()
+
+
 class Tables:
     """Base tables and views of one folder: ``t.documents``, ``t.v_kb``."""
 
@@ -94,6 +115,15 @@ class Tables:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         if name not in VIEWS:
             raise AttributeError(name)
+        if name == "v_relevant":  # the same rows without comparing every pair
+            return passages_in(self.documents, self.benchmark)
+        if name == "v_chunks":  # used several times by most plans: computed once
+            if "_chunks" not in self.__dict__:
+                self._chunks = written(self._view(name), "chunks")
+            return self._chunks
+        return self._view(name)
+
+    def _view(self, name: str) -> DataFrame:
         sql = VIEWS[name].format(**_SPARK).replace("lectern_sha(text)", "sha2(text, 256)")
         used = {x: getattr(self, x) for x in dict.fromkeys(re.findall(r"\b\w+\b", sql)) if (x in BASE or x in VIEWS) and re.search(rf"\b(FROM|JOIN)\s+{x}\b", sql)}
         for x in used:

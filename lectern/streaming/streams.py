@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators.meta import latest_fields
 from lectern.operators.retrieve import last_messages
+from lectern.sources.scratch import shared_dir
 
 
 def place(spark: SparkSession, name: str) -> str:
     """A new folder for a stream's checkpoint or output, shared by all executors."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-stream-")
-    return f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
 
 
 def drain(rows: DataFrame, name: str) -> DataFrame:
@@ -28,34 +28,44 @@ def drain(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(out)
 
 
-def upserted(rows: DataFrame, name: str, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def upserted(rows: DataFrame, name: str, merge: Callable[[DataFrame], DataFrame], folder: str | None = None, mode: str = "append") -> DataFrame:
     """Folds micro-batches into a table: each version is ``merge`` of the last one and the batch.
 
-    A version is its own folder named by the batch, so a batch that is run again after a failure
-    overwrites its own version and nothing is counted twice.
+    A version is a folder named by its batch number, next to the stream's checkpoint in ``folder``. A
+    batch that is run again overwrites its own version, and a query started again on the same
+    ``folder`` goes on from the last version. Of older ones, one stays behind.
     """
-    spark, out = rows.sparkSession, place(rows.sparkSession, name)
-    versions: list[str] = []
+    spark, folder = rows.sparkSession, folder or place(rows.sparkSession, name)
+    out = f"{folder}/versions"
 
     def step(batch: DataFrame, number: int) -> None:
-        old = [v for v in versions if not v.endswith(f"/{number}")]
-        both = batch if not old else batch.unionByName(spark.read.parquet(old[-1]))
-        merge(both).write.mode("overwrite").parquet(f"{out}/{number}")
-        versions[:] = [*old, f"{out}/{number}"]
+        both = batch if not number else batch.unionByName(spark.read.parquet(f"{out}/batch={number - 1}"))
+        merge(both).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/batch={number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
-    query = rows.writeStream.foreachBatch(step).option("checkpointLocation", place(spark, f"{name}-log"))
+    query = rows.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", f"{folder}/log")
     query.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(versions[-1]) if versions else spark.createDataFrame([], rows.schema)
+    try:
+        last = spark.read.parquet(out).agg(F.max("batch")).first()[0]
+    except AnalysisException:  # no batch has ever come
+        last = None
+    return spark.read.parquet(f"{out}/batch={last}") if last is not None else spark.createDataFrame([], rows.schema)
+
 
+def audit_counts(events: DataFrame, window: str = "1 day", late: str = "30 days", folder: str | None = None) -> DataFrame:
+    """(start, action, n) of tumbling windows over ``created_at`` (timestamp).
 
-def audit_counts(events: DataFrame, window: str = "1 day", late: str = "30 days") -> DataFrame:
-    """(start, action, n) of tumbling windows over ``created_at`` (timestamp), kept up to date by batches."""
-    parts = events.select(F.window("created_at", window)["start"].alias("start"), "action", F.lit(1).cast("bigint").alias("n"))
-    return upserted(parts.withWatermark("start", late), "audit", lambda b: b.groupBy("start", "action").agg(F.sum("n").alias("n")))
+    Spark keeps the open windows as state and drops what comes later than ``late`` behind the newest
+    event; each batch brings the new totals of the windows that changed.
+    """
+    timed = events.withWatermark("created_at", late).groupBy(F.window("created_at", window), "action").agg(F.count("*").alias("n"))
+    parts = timed.select(F.col("window.start").alias("start"), "action", "n")
+    return upserted(parts, "audit", lambda b: b.groupBy("start", "action").agg(F.max("n").alias("n")), folder, "update")
 
 
 def hash_dedup(docs: DataFrame, late: str = "36500 days") -> DataFrame:
-    """(kb_id, file_hash) once each while the watermark on ``seen_at`` holds them."""
+    """(kb_id, file_hash) once each while the watermark on ``seen_at`` holds them; a shorter ``late`` bounds the state."""
     unique = docs.withWatermark("seen_at", late).dropDuplicatesWithinWatermark(["kb_id", "file_hash"])
     return drain(unique.select("kb_id", "file_hash"), "hashes")
 
