@@ -135,10 +135,11 @@ def _near(cells: np.ndarray, n: np.ndarray, sketches: Sketches, roots: np.ndarra
 
 
 def _join_regions(percent: int, every: bool):
-    """(cell, id, n, sketch, root) sorted by cell and id to candidates (cell, a, b).
+    """(cell, id, n, sketch, root) sorted by cell and id to candidates (a, b, more).
 
-    ``every`` gives all pairs of different roots; otherwise each item comes with its first
-    candidate only, and a row without a pair marks a cell that has more.
+    ``every`` gives all pairs of different roots; otherwise each item comes with its first candidate
+    only. Where a cell has more candidates, rows with ``more`` tie the items that they connect to
+    the first of these.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,27 +148,31 @@ def _join_regions(percent: int, every: bool):
             ids, roots = (table[c].combine_chunks().cast(pa.binary()) for c in ("id", "root"))
             codes = roots.dictionary_encode().indices.to_numpy()
             i, j = _near(cells, n, Sketches(table["sketch"].combine_chunks()), codes, percent)
-            if every:
-                more = np.empty(0, np.int64)
-            else:
+            tied = np.empty(0, np.int64)
+            top = np.arange(len(cells))
+            if not every and len(j):
                 order = np.lexsort((i, j))
                 i, j = i[order], j[order]
-                first = np.ones(len(j), bool)
-                first[1:] = j[1:] != j[:-1]
-                more = np.unique(cells[j[~first]])
+                first = np.append(True, j[1:] != j[:-1])
+                while True:  # least label of each connected group, by hooking and jumping
+                    low = top.copy()
+                    np.minimum.at(low, j, top[i])
+                    np.minimum.at(low, i, top[j])
+                    low = low[low]
+                    if (low == top).all():
+                        break
+                    top = low
+                tied = np.flatnonzero(np.isin(top, top[j[~first]]) & (top != np.arange(len(top))))
                 i, j = i[first], j[first]
-            none = pa.nulls(len(more), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((cells[j], more)), pa.int64()), pa.concat_arrays([ids.take(pa.array(i)), none]), pa.concat_arrays([ids.take(pa.array(j)), none])],
-                ["cell", "a", "b"],
-            )
+            left, right = pa.array(np.concatenate((i, top[tied]))), pa.array(np.concatenate((j, tied)))
+            yield pa.RecordBatch.from_arrays([ids.take(left), ids.take(right), pa.array(np.arange(len(left)) >= len(i))], ["a", "b", "more"])
 
     return run
 
 
 def _regions(members: DataFrame, info: DataFrame, percent: int, every: bool) -> DataFrame:
     rows = members.join(info, "id").select("cell", "id", "n", "sketch", "root").repartition("cell").sortWithinPartitions("cell", "id")
-    return materialise(rows.mapInArrow(_join_regions(percent, every), "cell bigint, a binary, b binary"), "candidates")
+    return materialise(rows.mapInArrow(_join_regions(percent, every), "a binary, b binary, more boolean"), "candidates")
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -299,11 +304,17 @@ def links(cells: DataFrame, info: DataFrame, bodies: Callable[[DataFrame], DataF
         roots = components(found)
     members = _rooted(regions, roots) if roots is not None else regions.withColumn("root", F.col("id"))
     first = _regions(members, info, percent, every=False)
-    near = verified(first.filter("a is not null").select("a", "b"), bodies, to_set, percent)
+    near = verified(first.filter("not more").select("a", "b"), bodies, to_set, percent)
     found = near if found is None else found.unionByName(near)
-    more = materialise(first.filter("a is null").select("cell").distinct(), "more")
-    if more.isEmpty():
+    groups = components(first.filter("more").select("a", "b"))
+    if groups.isEmpty():
         return found
-    members = _open(regions.join(small_enough(more), "cell", "left_semi"), components(found))
-    rest = _regions(members, info, percent, every=True)
+    # Each item is in one group only, whatever its number of cells. Groups past BLOCK keep their cells.
+    groups = groups.withColumnRenamed("root", "group")
+    sizes = materialise(groups.groupBy("group").count(), "groups")
+    groups = groups.join(small_enough(sizes), "group")
+    wide = materialise(groups.filter(F.col("count") > BLOCK).select("id"), "wide")
+    rest = groups.filter(F.col("count") <= BLOCK).select(F.xxhash64("group").alias("cell"), "id")
+    rest = rest.unionByName(regions.join(small_enough(wide), "id", "left_semi").select("cell", "id"))
+    rest = _regions(_open(rest, components(found)), info, percent, every=True)
     return found.unionByName(verified(rest.select("a", "b"), bodies, to_set, percent))
