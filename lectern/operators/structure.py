@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import normalize_chunk_text, strip
 
-# Separators from coarse to fine; what looks like a page number or an ornament.
-SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", ". ", "，", ",", " ", "")
+# What parts a text, from coarse to fine; what looks like a page number or an ornament.
+SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", ". ", "，", ",", " ")
 NOISE = r"(?iU)^(\d{1,4}|第\s*\d+\s*页(\s*[/共]\s*\d+\s*页?)?|page\s*\d+(\s*(of|/)\s*\d+)?|\d+\s*/\s*\d+|-\s*\d+\s*-)$"
 
 
@@ -73,22 +75,27 @@ def split_sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[。！？!?；;\n])"), strip), lambda s: s != "")
 
 
-def _segments(text: str, separators: tuple[str, ...]) -> list[str]:
-    """Pieces of a page between the coarsest separators present, taken ever finer until none is left."""
-    for i, mark in enumerate(separators):
-        if mark and mark in text:
-            return [s for part in text.split(mark) for s in _segments(part, separators[i + 1 :])]
-    text = text.strip()
-    return [text] if text else []
+#: Cutting ever finer until no separator is left is cutting at every separator.
+BREAK = "|".join(re.escape(x) for x in SEPARATORS)
+
+
+def segments(text: Column) -> Column:
+    """The pieces of a page between separators, blank ones left out."""
+    return F.filter(F.transform(F.split(text, "|".join(rf"\Q{x}\E" for x in SEPARATORS), -1), strip), lambda x: x != "")
 
 
 def pack_segments(pages: list[tuple[int, str]], size: int, overlap: int) -> list[tuple[int, str]]:
+    """As ``pack_pieces``, of (page, text) not yet cut."""
+    return pack_pieces([(n, [x.strip() for x in re.split(BREAK, text) if x.strip()]) for n, text in pages], size, overlap)
+
+
+def pack_pieces(pages: list[tuple[int, list[str]]], size: int, overlap: int) -> list[tuple[int, str]]:
     """(page, text) of chunks packed to ``size`` with ``overlap`` characters carried; one document's pages in order."""
     out: list[tuple[int, str]] = []
     held: list[str] = []
     length, page, fresh = 0, None, False
-    for number, text in pages:
-        for piece in _segments(text, SEPARATORS):
+    for number, pieces in pages:
+        for piece in pieces:
             if fresh and length + len(piece) + 1 > size:
                 whole = "\n".join(held)
                 out.append((page, whole))
@@ -108,35 +115,25 @@ def pack_segments(pages: list[tuple[int, str]], size: int, overlap: int) -> list
 def chunk_recursive(pages: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:
     """(doc_id, chunk_index, page_number, text) from pages; a size or overlap of 0 means the default.
 
-    Packing is a sequential fold over one document, done in Python inside each group; documents are
-    the unit of parallelism.
+    Pages are cut natively. Packing is a sequential fold over one document, done in Python inside each
+    group; documents are the unit of parallelism.
     """
     size, overlap = size or 512, overlap or 50
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("page_number")
-        found = pack_segments(list(zip(rows["page_number"], rows["text"], strict=True)), size, overlap)
+        found = pack_pieces(list(zip(rows["page_number"], rows["pieces"], strict=True)), size, overlap)
         return pd.DataFrame({
             "doc_id": rows["doc_id"].iloc[0], "chunk_index": range(len(found)), "page_number": [p for p, _ in found], "text": [x for _, x in found],
         })
 
-    chunks = pages.groupBy("doc_id").applyInPandas(fold, "doc_id bigint, chunk_index int, page_number int, text string")
+    cut = pages.select("doc_id", "page_number", segments(F.col("text")).alias("pieces"))
+    chunks = cut.groupBy("doc_id").applyInPandas(fold, "doc_id bigint, chunk_index int, page_number int, text string")
     return chunks.withColumn("text", normalize_chunk_text(F.col("text")))
 
 
-def merge_small(chunks: list[tuple[int, str]], least: int = 50, size: int = 512) -> list[tuple[int, str]]:
-    """A chunk shorter than ``least`` joins its predecessor if both fit in ``size``."""
-    out: list[tuple[int, str]] = []
-    for page, text in chunks:
-        if out and len(text) < least and len(out[-1][1]) + len(text) + 1 <= size:
-            out[-1] = (out[-1][0], f"{out[-1][1]}\n{text}")
-        else:
-            out.append((page, text))
-    return out
-
-
 def merge_small_chunks(chunks: DataFrame, least: int = 50, size: int = 512) -> DataFrame:
-    """``merge_small`` over (doc_id, chunk_index, page_number, text), natively; chunks are renumbered."""
+    """A chunk shorter than ``least`` joins its predecessor if both fit in ``size``; (doc_id, chunk_index, page_number, text), renumbered."""
     kind = "array<struct<page_number:int,text:string>>"
     ordered = F.array_sort(F.collect_list(F.struct("chunk_index", F.col("page_number").cast("int").alias("page_number"), "text")))
 
@@ -151,45 +148,47 @@ def merge_small_chunks(chunks: DataFrame, least: int = 50, size: int = 512) -> D
     return merged.select("doc_id", F.posexplode("c").alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.page_number", "c.text")
 
 
-def semantic_fold(sentences: list[tuple[int, str]], vectors: list, size: int, threshold: float) -> list[tuple[int, str]]:
-    """Chunks of consecutive sentences: cut where the size or the similarity to the running mean says so."""
-    import numpy as np
+def semantic_spans(lengths: np.ndarray, vectors: np.ndarray, size: int, threshold: float) -> list[tuple[int, int]]:
+    """First and last + 1 sentence of each chunk, of one document's sentences in order.
 
-    def alike(a, b) -> float:
-        norm = float(np.linalg.norm(a) * np.linalg.norm(b))
-        return float(a @ b) / norm if norm else 0.0
-
-    out: list[tuple[int, str]] = []
-    held, mean, length = [0], np.asarray(vectors[0], float) if sentences else None, len(sentences[0][1]) if sentences else 0
-    emit = lambda: out.append((sentences[held[0]][0], "\n".join(sentences[i][1] for i in held)))
-    for i in range(1, len(sentences)):
-        text, vector = sentences[i][1], np.asarray(vectors[i], float)
-        if length + len(text) + 1 > size:
-            emit()
-            held = held[-1:]
-            mean, length = np.asarray(vectors[held[0]], float), len(sentences[held[0]][1])
-        if alike(mean, vector) < threshold:
-            emit()
-            held, mean, length = [i], vector, len(text)
+    A chunk that would pass ``size`` ends, and its last sentence opens the next one. A sentence whose
+    cosine with the chunk's running mean (each sentence weighs as much as all before it) is below
+    ``threshold`` opens a chunk of its own.
+    """
+    spans, first, used, mean = [], 0, 0, None
+    for i, (n, v) in enumerate(zip(lengths.tolist(), vectors, strict=True)):
+        if mean is not None and used + n + 1 > size:
+            spans.append((first, i))
+            first, used, mean = i - 1, lengths[i - 1], vectors[i - 1]
+        scale = 0.0 if mean is None else np.sqrt((mean @ mean) * (v @ v))
+        if mean is not None and (mean @ v / scale if scale else 0.0) >= threshold:
+            used, mean = used + n + 1, (mean + v) / 2
         else:
-            held.append(i)
-            mean, length = (mean + vector) / 2, length + len(text) + 1
-    if sentences:
-        emit()
-    return out
+            spans += [(first, i)] if mean is not None else []
+            first, used, mean = i, n, v
+    return [*spans, (first, len(lengths))] if len(lengths) else []
 
 
 def chunk_semantic(sentences: DataFrame, size: int = 512, threshold: float = 0.75, least: int = 50) -> DataFrame:
-    """(doc_id, chunk_index, page_number, text) from (doc_id, page_number, pos, text, vector), one fold a document."""
+    """(doc_id, chunk_index, page_number, text) from (doc_id, page_number, pos, text, vector), small chunks merged.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["page_number", "pos"])
-        found = merge_small(semantic_fold(list(zip(rows["page_number"], rows["text"], strict=True)), list(rows["vector"]), size, threshold), least, size)
-        return pd.DataFrame({
-            "doc_id": rows["doc_id"].iloc[0], "chunk_index": range(len(found)), "page_number": [p for p, _ in found], "text": [x for _, x in found],
-        })
+    Where to cut is a fold over one document; the texts stay columns and are put together natively.
+    """
 
-    return sentences.groupBy("doc_id").applyInPandas(fold, "doc_id bigint, chunk_index int, page_number int, text string")
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["page_number", "pos"])
+        spans = semantic_spans(rows["n"].to_numpy(), np.stack(rows["vector"].to_numpy()).astype(float), size, threshold)
+        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[0], "chunk_index": range(len(spans)), "first": [a for a, _ in spans], "last": [b for _, b in spans]})
+
+    keyed = sentences.select("doc_id", "page_number", "pos", F.length("text").alias("n"), "vector")
+    spans = keyed.groupBy("doc_id").applyInPandas(cut, "doc_id bigint, chunk_index int, first int, last int")
+    ordered = F.array_sort(F.collect_list(F.struct("page_number", "pos", "text")))
+    whole = sentences.groupBy("doc_id").agg(ordered.alias("s"))
+    part = F.slice("s", F.col("first") + 1, F.col("last") - F.col("first"))
+    chunks = spans.join(whole, "doc_id").select(
+        "doc_id", "chunk_index", part[0]["page_number"].cast("int").alias("page_number"), F.array_join(F.transform(part, lambda x: x["text"]), "\n").alias("text")
+    )
+    return merge_small_chunks(chunks, least, size)
 
 
 def chunk_metadata(chunks: DataFrame, extra: Column | None = None) -> DataFrame:

@@ -43,8 +43,19 @@ def test_recursive_chunks():
     assert all(len(x) <= 220 or "\n" not in x for _, x in found) and {p for p, _ in found} == {1, 2}
 
 
+def merged(chunks, least=50, size=512):
+    """Plain statement: a short chunk joins the one before it if both fit."""
+    out = []
+    for page, text in chunks:
+        if out and len(text) < least and len(out[-1][1]) + 1 + len(text) <= size:
+            out[-1] = (out[-1][0], out[-1][1] + "\n" + text)
+        else:
+            out.append((page, text))
+    return out
+
+
 def test_merge_small_native_equals_fold(spark):
-    from lectern.operators.structure import merge_small, merge_small_chunks
+    from lectern.operators.structure import merge_small_chunks
 
     rng = random.Random(2)
     rows = [(d, i, i, "x" * rng.choice([5, 30, 100, 300])) for d in range(8) for i in range(12)]
@@ -52,7 +63,82 @@ def test_merge_small_native_equals_fold(spark):
     got = {}
     for r in merge_small_chunks(df).orderBy("doc_id", "chunk_index").collect():
         got.setdefault(r.doc_id, []).append((r.page_number, r.text))
-    assert got == {d: merge_small([(p, t) for dd, _, p, t in rows if dd == d]) for d in range(8)}
+    assert got == {d: merged([(p, t) for dd, _, p, t in rows if dd == d]) for d in range(8)}
+
+
+def test_segments_are_what_ever_finer_cuts_leave(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.operators.structure import SEPARATORS, segments
+
+    def finer(parts, marks):
+        for m in marks:
+            parts = [x for p in parts for x in p.split(m)]
+        return [p.strip() for p in parts if p.strip()]
+
+    rng = random.Random(5)
+    texts = ["", " ", "a. b", "3.5, x", "。。", *("".join(rng.choice(["a", "b.", ". ", " ", "\n", "\n\n", "。", "，", ",", "；", "é", "."]) for _ in range(40)) for _ in range(60))]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(segments(F.col("text"))).collect()
+    assert [r[0] for r in got] == [finer([t], SEPARATORS) for t in texts]
+
+
+def test_semantic_chunks(spark):
+    import numpy as np
+
+    from lectern.operators.structure import chunk_semantic
+
+    def plain(texts, vectors, size, threshold):
+        out, held, mean = [], [texts[0]], vectors[0]
+        for t, prev, v, pv in zip(texts[1:], texts, vectors[1:], vectors, strict=False):
+            if len("\n".join(held)) + 1 + len(t) > size:
+                out.append(held)
+                held, mean = [prev], pv
+            alike = float(mean @ v) / float(np.linalg.norm(mean) * np.linalg.norm(v))
+            if alike < threshold:
+                out.append(held)
+                held, mean = [t], v
+            else:
+                held, mean = [*held, t], (mean + v) / 2
+        return merged([(1, "\n".join(h)) for h in [*out, held]], 8, size)
+
+    rng = np.random.default_rng(3)
+    docs, rows = {}, []
+    for d in range(12):
+        n = int(rng.integers(1, 30))
+        texts = ["s" * int(rng.integers(1, 40)) for _ in range(n)]
+        vectors = rng.random((n, 6)) + np.repeat(rng.random((-(-n // 4), 6)) * 3, 4, 0)[:n]
+        docs[d] = plain(texts, vectors, 100, 0.93)
+        rows += [(d, 1, i, t, v.tolist()) for i, (t, v) in enumerate(zip(texts, vectors, strict=True))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, page_number int, pos int, text string, vector array<double>")
+    got = {}
+    for r in chunk_semantic(frame, 100, 0.93, 8).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r.doc_id, []).append((r.page_number, r.text))
+    assert got == docs
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    import datetime as dt
+
+    from lectern.streaming.streams import audit_counts
+
+    day = lambda d, n: [(dt.datetime(2026, 1, d), "login")] * n
+    read = lambda: spark.readStream.schema("created_at timestamp, action string").parquet(f"{tmp_path}/in")
+    for rows, want in ((day(1, 3) + day(2, 1), {1: 3, 2: 1}), (day(2, 4) + day(5, 2), {1: 3, 2: 5, 5: 2}), ([], {1: 3, 2: 5, 5: 2})):
+        if rows:
+            spark.createDataFrame(rows, "created_at timestamp, action string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = audit_counts(read(), folder=f"{tmp_path}/stream").collect()
+        assert {r.start.day: r.n for r in got} == want
+
+
+def test_passages_without_all_pairs(spark):
+    from lectern.sources.views import passages_in
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 3)))
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 3, 6, 7, 9, 20])))) for i in range(20)] + [(90, None), (91, "double  blank in the middle of it all")]
+    docs = [(i, " ".join([word() for _ in range(30)] + [x + rng.choice(["", "x"]) for _, x in rng.sample(items[:20], 2)])) for i in range(40)] + [(80, None), (81, ""), (82, "a double  blank in the middle of it all")]
+    got = passages_in(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted((i, d) for i, x in items for d, t in docs if x is not None and t is not None and x in t)
 
 
 def test_page_rule(spark):
