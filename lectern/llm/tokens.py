@@ -18,6 +18,8 @@ from lectern.llm.common import materialise, scratch_path, slices, small_enough
 CACHE_SCHEMA = "tokenizer string, content binary, n_tokens bigint"
 #: Pieces whose counts one Python worker keeps.
 MEMO_PIECES = 1_000_000
+#: Copies from which on a content counts as hot: its rows meet their count in a broadcast join.
+HOT = 256
 
 # Fixed value: how the byte-level vocabulary cuts text into pieces; white space is the Unicode property.
 PIECES = (
@@ -121,18 +123,23 @@ def cached_counts(docs: DataFrame, cache: str, tokenizer: str, *, text_col: str
     too large to broadcast: a content that occurs once is encoded where it is read, of a
     repeated one only one copy is.
     """
+    return _updated(docs, cache, tokenizer, text_col)[0]
+
+
+def _updated(docs: DataFrame, cache: str, tokenizer: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The cache's counts after its update, and (content, n) of contents that ``docs`` hold more than once."""
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer)
     body = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     keyed = body.withColumn("content", F.unhex(F.sha2("body", 256)))
-    seen = known(spark, cache, version)
-    digests = keyed.groupBy("content").agg(F.count("*").alias("n")).join(seen, "content", "left_anti")
-    repeated = materialise(digests.filter("n > 1").select("content"), "repeated-contents")
-    have = materialise(seen.select("content"), "cached-contents")
-    once = keyed.join(small_enough(have), "content", "left_anti").join(small_enough(repeated), "content", "left_anti")
-    again = keyed.join(small_enough(repeated), "content", "left_semi").groupBy("content").agg(F.first("body").alias("body"))
+    repeated = materialise(keyed.groupBy("content").agg(F.count("*").alias("n")).filter("n > 1"), "repeated-contents")
+    have = materialise(known(spark, cache, version).select("content"), "cached-contents")
+    missing = keyed.join(small_enough(have), "content", "left_anti")
+    copies = small_enough(repeated.select("content"))
+    once = missing.join(copies, "content", "left_anti")
+    again = missing.join(copies, "content", "left_semi").groupBy("content").agg(F.first("body").alias("body"))
     new = once.unionByName(again).select("content", "body").mapInArrow(_encode(tokenizer), "content binary, n_tokens bigint")
     new.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache)
-    return known(spark, cache, version)
+    return known(spark, cache, version), repeated
 
 
 def known(spark: SparkSession, cache: str, version: str) -> DataFrame:
@@ -145,12 +152,21 @@ def known(spark: SparkSession, cache: str, version: str) -> DataFrame:
 def token_lengths(
     docs: DataFrame, tokenizer: str, *, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """Per document: doc_id, content (digest), n_bytes, n_tokens; without ``cache`` a new one is made."""
-    counts = cached_counts(docs, cache or scratch_path(docs.sparkSession, "token-cache"), tokenizer, text_col=text_col)
+    """Per document: doc_id, content (digest), n_bytes, n_tokens; without ``cache`` a new one is made.
+
+    Rows of a content with ``HOT`` copies or more get its count by a broadcast of those counts, so
+    no task reads them all; the others are shuffled to their counts.
+    """
+    counts, repeated = _updated(docs, cache or scratch_path(docs.sparkSession, "token-cache"), tokenizer, text_col)
     body = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(body).cast("bigint").alias("n_bytes"),
                        F.unhex(F.sha2(body, 256)).alias("content"))
-    return rows.join(counts, "content").select("doc_id", "content", "n_bytes", "n_tokens")
+    hot = materialise(repeated.filter(F.col("n") >= HOT).join(counts, "content").select("content", "n_tokens"), "hot-contents")
+    columns = ["doc_id", "content", "n_bytes", "n_tokens"]
+    if hot.isEmpty():
+        return rows.join(counts, "content").select(*columns)
+    hot = small_enough(hot)
+    return rows.join(hot, "content").select(*columns).unionByName(rows.join(hot, "content", "left_anti").join(counts, "content").select(*columns))
 
 
 def count_tokens(
