@@ -58,9 +58,14 @@ def perturbations(costs: np.ndarray, probes: int) -> list[tuple[int, ...]]:
     return found
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component near 1: cosines stay, squares cannot overflow or vanish."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def _unit(batch: pa.RecordBatch) -> np.ndarray:
     flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    v = flat.reshape(batch.num_rows, -1)
+    v = _scaled(flat.reshape(batch.num_rows, -1))
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -115,7 +120,7 @@ def visits_of(dim: int, tables: int, width: int, scale: float, seed: int, shards
 
 
 def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+    return _scaled(column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1))
 
 
 def _meet(keep: int):

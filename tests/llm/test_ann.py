@@ -49,6 +49,16 @@ def test_copies_and_bad_vectors(spark):
     assert ann.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_extreme_but_finite_vectors(spark):
+    rng = np.random.default_rng(3)
+    a = rng.standard_normal(8)
+    rows = [(50, (a * 1e-200).tolist()), (1, (a * 1e200).tolist()), (2, a.tolist()), (3, (-a * 1e150).tolist()), (4, [5e-324] + [0.0] * 7)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = ann.search(vectors, vectors.filter("vec_id = 50"), tables=8, width=2, scale=50.0, probes=20).orderBy("rank").collect()
+    assert {r.vec_id for r in got[:2]} == {1, 2} and all(abs(r.score - 1) < 1e-12 for r in got[:2])
+    assert all(math.isfinite(r.score) for r in got)
+
+
 def test_probing_order():
     rng = np.random.default_rng(2)
     low = rng.uniform(0, 1, 4)
