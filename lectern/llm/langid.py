@@ -26,8 +26,13 @@ ORDER = 4
 SAMPLE_ROWS = 1_500
 #: Of these, one in so many is kept back for calibration.
 CALIBRATE = 5
+#: Parts that a language's text hashes are ranked in before its smallest are chosen.
+PARTS = 256
 #: Size of the character set that the lowest order spreads unseen mass over.
 CHARACTERS = 5_000
+#: Share of rows in a learned language that rejection may lose; rows from which on a length bin has a tail of its own; and
+#: the least distance, in nats a character, of a limit from its language's mean.
+FALSE_REJECTION, TAIL_ROWS, MARGIN = 1e-4, 30, 1.25
 PAD = "\n" * (ORDER - 1)
 #: First text lengths of the bins that rejection is calibrated in.
 LENGTH_BINS = (0, 64, 256, 1024)
@@ -113,8 +118,10 @@ def sample(docs: DataFrame, text_col: str, lang_col: str, rows: int) -> DataFram
     """At most ``rows`` labelled rows of each language with text: (lang, text, h), the smallest hashes of text."""
     labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text <> ''")
     labelled = labelled.withColumn("h", F.xxhash64("text"))
-    first = Window.partitionBy("lang").orderBy("h")
-    cuts = labelled.groupBy("lang", "h").agg(F.lit(1).alias("one")).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= rows)
+    hashes = labelled.select("lang", "h").distinct().withColumn("part", F.pmod(F.xxhash64("h"), F.lit(PARTS)))
+    # The smallest of each part of a language first, so that no task ranks all of a language's hashes.
+    near = hashes.withColumn("k", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h"))).filter(F.col("k") <= rows)
+    cuts = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= rows)
     cut = {r["lang"]: r["h"] for r in cuts.groupBy("lang").agg(F.max("h").alias("h")).collect()}
     if not cut:
         return labelled.filter("false")
@@ -129,7 +136,11 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ro
     grams = rows_of.filter(~held).select("lang", "text").mapInPandas(_counted, "lang string, gram string, n bigint")
     top = materialise(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-grams")
     model = _estimate(top)
-    _calibrate(model, [(r["lang"], r["text"]) for r in rows_of.filter(held).toLocalIterator()])
+    model.limits = np.full((len(model.languages), len(LENGTH_BINS)), np.inf)
+    if model.languages:
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        own = rows_of.filter(held).select("lang", "text").mapInPandas(_own_entropies(shared), "lang string, length bigint, entropy double")
+        _calibrate(model, own.toPandas())
     return model
 
 
@@ -191,22 +202,42 @@ def _estimate(top: DataFrame) -> Model:
     return Model(languages, grams, [x.astype(np.float32) for x in logs], contexts, backoffs, unseen)
 
 
-def _calibrate(model: Model, held: list[tuple[str, str]]) -> None:
-    """Limit by language and length bin: mean and six deviations of held-back rows, no tighter than 1.25 nats."""
-    size = len(model.languages)
-    model.limits = np.full((size, len(LENGTH_BINS)), np.inf)
-    if not held:
-        return
-    found = [cross_entropies(model, [t]) for _, t in held]
-    column = {x: i for i, x in enumerate(model.languages)}
-    rows = [(column[lang], ce[0, column[lang]], n[0]) for (lang, _), (ce, n) in zip(held, found, strict=True) if lang in column]
-    for lang in range(size):
-        own = [(ce, n) for c, ce, n in rows if c == lang]
-        for b in range(len(LENGTH_BINS)):
-            inside = [ce for ce, n in own if np.searchsorted(LENGTH_BINS, n, "right") - 1 == b]
-            values = inside if len(inside) >= 30 else [ce for ce, _ in own]
-            if values:
-                model.limits[lang, b] = np.mean(values) + max(1.25, 6 * np.std(values))
+def _own_entropies(shared):
+    """Batches of (lang, text) to each text's length and cross-entropy under its own language's model."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        column = {x: i for i, x in enumerate(shared.value.languages)}
+        for batch in batches:
+            for lang, text in zip(batch["lang"], batch["text"], strict=True):
+                if lang in column:
+                    entropies, lengths = cross_entropies(shared.value, [text])
+                    yield pd.DataFrame({"lang": [lang], "length": lengths, "entropy": entropies[:, column[lang]]})
+
+    return run
+
+
+def tail_limit(values: np.ndarray, rate: float) -> float:
+    """What a share ``rate`` of such values exceeds: the 0.9 quantile plus an exponential tail of the mean excess over it."""
+    start = np.quantile(values, 0.9)
+    over = values[values > start] - start
+    return float(start + (over.mean() * np.log(0.1 / rate) if len(over) else 0.0))
+
+
+def _calibrate(model: Model, held: pd.DataFrame) -> None:
+    """Limits by language and length bin from held-back rows, so that ``FALSE_REJECTION`` of such rows are rejected at most.
+
+    A limit is the language's mean entropy and the tail limit of what rows of that length, of all
+    languages, exceed their mean by; a bin with fewer than ``TAIL_ROWS`` rows takes the tail of the whole
+    sample. It is never nearer than ``MARGIN`` to the mean. A language without held-back rows rejects nothing.
+    """
+    means = held.groupby("lang")["entropy"].mean()
+    excess = (held["entropy"] - held["lang"].map(means)).to_numpy()
+    bins = np.searchsorted(LENGTH_BINS, held["length"].to_numpy(), "right") - 1
+    for b in range(len(LENGTH_BINS)):
+        values = excess[bins == b] if (bins == b).sum() >= TAIL_ROWS else excess
+        for i, lang in enumerate(model.languages):
+            if lang in means:
+                model.limits[i, b] = means[lang] + max(MARGIN, tail_limit(values, FALSE_REJECTION))
 
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:

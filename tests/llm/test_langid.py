@@ -38,6 +38,66 @@ def test_probabilities_and_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def plain_probability(texts, text, at):
+    """Interpolated Kneser-Ney of one language by its definition: character ``at`` of the padded text, from plain counts."""
+    counts = {langid.ORDER: {}}
+    for t in texts:
+        t = langid.PAD + t.lower()
+        for i in range(len(t) - langid.ORDER + 1):
+            gram = t[i : i + langid.ORDER]
+            counts[langid.ORDER][gram] = counts[langid.ORDER].get(gram, 0) + 1
+    for k in range(langid.ORDER - 1, 0, -1):
+        counts[k] = {}
+        for gram in counts[k + 1]:  # distinct characters to the left
+            counts[k][gram[1:]] = counts[k].get(gram[1:], 0) + 1
+
+    def p(k):
+        if k == 0:
+            return 1 / langid.CHARACTERS
+        once, twice = (sum(n == x for n in counts[k].values()) for x in (1, 2))
+        d = min(max(once / (once + 2 * twice) if once + twice else 0.75, 0.1), 0.95)
+        gram = text[at - k + 1 : at + 1]
+        same = [n for g, n in counts[k].items() if g[:-1] == gram[:-1]]
+        if not same:
+            return p(k - 1)
+        return max(counts[k].get(gram, 0) - d, 0) / sum(same) + d * len(same) / sum(same) * p(k - 1)
+
+    return p(langid.ORDER)
+
+
+def test_probabilities_equal_the_definition(spark):
+    texts = {"a": ["the cat sat on the mat", "a cat and a hat", "that hat sat"], "b": ["der hund und die katze", "die katze sass da", "ein hut"]}
+    rows = spark.createDataFrame([(k, t) for k, own in texts.items() for t in own], "lang string, text string")
+    model = langid._estimate(rows.mapInPandas(langid._counted, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    assert model.languages == ["a", "b"]
+    for text in ("the katze sat", "xyz und", "a"):
+        entropies, lengths = langid.cross_entropies(model, [text])
+        padded = langid.PAD + text
+        for i, lang in enumerate(model.languages):
+            want = -np.mean([np.log(plain_probability(texts[lang], padded, p)) for p in range(len(langid.PAD), len(padded))])
+            assert lengths[0] == len(text) and abs(entropies[0, i] - want) < 1e-5, (text, lang)
+
+
+def test_tail_limit_keeps_its_rate():
+    values = np.random.default_rng(4).exponential(0.1, 400_000)
+    for rate in (1e-2, 1e-3):
+        assert 0.7 * rate < (values > langid.tail_limit(values[:2_000], rate)).mean() < 1.5 * rate
+
+
+def test_other_languages_are_rejected(spark):
+    model = langid.train(spark.read.parquet(SF))
+    other = ["Kissa nukkuu sohvalla ja ulkona sataa vettä koko pitkän päivän ajan eikä kukaan liiku kadulla. " * 4,
+             "Katten sover i soffan medan regnet faller över staden och ingen rör sig på gatan. " * 5]
+    assert langid.predict(model, other)[2] == [True, True] and np.isfinite(model.limits).all()
+
+
+def test_sample_is_bounded_and_whole(spark):
+    docs = spark.range(3_000).selectExpr("cast(id % 2 as string) as lang", "concat('text ', id % 1000) as text")
+    got = langid.sample(docs, "text", "lang", 40).groupBy("lang").count().collect()
+    assert sorted((r["lang"], r["count"]) for r in got) == [("0", 40), ("1", 40)]
+    assert langid.sample(docs, "text", "lang", 5_000).count() == 1_000
+
+
 def test_nothing_to_learn(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     model = langid.train(empty)
