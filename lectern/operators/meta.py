@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 #: What a role may do; a higher level includes the lower ones, an unknown role has none.
 LEVELS = {"owner": 100, "admin": 80, "write": 50, "read": 20}
+#: Requests of one key from which on its fold is cut, at the next gap beyond the time to live.
+CACHE_ROWS = 50_000
 
 
 def live(rows: DataFrame) -> DataFrame:
@@ -118,8 +120,9 @@ def audit_query(rows: DataFrame, start=None, end=None, **equal) -> DataFrame:
 def query_cache(requests: DataFrame, ttl: int) -> DataFrame:
     """(key, event_id, hit): a hit is at most ``ttl`` seconds after the key's last miss; hits do not refresh.
 
-    The last miss depends on all before it, so each key is folded in time order; keys are the unit
-    of parallelism.
+    A request later than ``ttl`` after the one before it is always a miss, so a key is cut there
+    about every ``CACHE_ROWS`` requests and each part is folded in time order; a part is the unit
+    of parallelism and of memory.
     """
     import pandas as pd
 
@@ -132,4 +135,9 @@ def query_cache(requests: DataFrame, ttl: int) -> DataFrame:
             hits.append(hit)
         return rows.assign(hit=hits)[["key", "event_id", "hit"]]
 
-    return requests.select("key", "event_id", "ts").groupBy("key").applyInPandas(fold, "key string, event_id bigint, hit boolean")
+    in_order, at = Window.partitionBy("key").orderBy("ts", "event_id"), F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = F.coalesce(at - F.lag(at).over(in_order) > ttl * 1_000_000, F.lit(True))
+    rows = requests.select("key", "event_id", "ts").withColumns({"first": gap, "place": F.row_number().over(in_order)})
+    start = F.max(F.when(F.col("first"), F.col("place"))).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = rows.withColumn("part", F.floor(start / CACHE_ROWS)).select("key", "part", "event_id", "ts")
+    return parts.groupBy("key", "part").applyInPandas(fold, "key string, event_id bigint, hit boolean")

@@ -8,6 +8,7 @@ from lectern.operators import exam as E
 from lectern.operators import retrieve as R
 from lectern.plans.registry import query
 from lectern.plans.retrieval import _ALL, _BM25, _GROUND, _NORM, _answers, _bm25, _vectors
+from lectern.sources.scratch import written
 
 
 def _raw(t):
@@ -156,17 +157,23 @@ def anchor_references(t):
     return t.documents.filter((m != 0) | clean).select("doc_id", F.array_join(E.anchor_references(refs, F.col("text"), best), "|").alias("refs"))
 
 
-@query("unanswered_handling", """SELECT sheet_id, qid, CASE WHEN trim(answer) = '' THEN '未作答' WHEN sheet_id % 9 = 0 THEN 'no material found' END AS remark FROM v_answers""")
+@query("unanswered_handling", """SELECT sheet_id, a.qid, CASE WHEN trim(a.answer) = '' THEN '未作答' WHEN q.knowledge_point IS NULL THEN 'no material found' END AS remark
+    FROM v_answers a JOIN v_questions q ON q.paper_id = a.paper_id AND q.qid = a.qid""")
 def unanswered_handling(t):
-    blank = F.trim("answer") == ""
-    return t.v_answers.select("sheet_id", "qid", F.when(blank, "未作答").when(F.col("sheet_id") % 9 == 0, "no material found").alias("remark"))
+    """Material is found by knowledge point, so a question without one has none."""
+    points = t.v_questions.select("paper_id", "qid", "knowledge_point")
+    remark = F.when(F.trim("answer") == "", "未作答").when(F.col("knowledge_point").isNull(), "no material found")
+    return t.v_answers.join(points, ["paper_id", "qid"]).select("sheet_id", "qid", remark.alias("remark"))
 
 
-@query("objective_error_material", """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'x|own|y' ELSE 'x|a|b' END AS refs FROM documents""")
+@query("objective_error_material", """SELECT doc_id, string_agg(v, '|' ORDER BY k) AS refs FROM (SELECT doc_id, v, min(k) AS k FROM (
+    SELECT doc_id, unnest(l) AS v, unnest(range(len(l))) AS k FROM (SELECT doc_id, [source, source] || CASE WHEN doc_id % 2 = 0 THEN [substr(text, 1, 10), lang]
+    ELSE [lang, source, substr(text, 3, 8)] END AS l FROM documents)) WHERE v IS NOT NULL GROUP BY doc_id, v) GROUP BY doc_id""")
 def objective_error_material(t):
-    s = lambda *x: F.array(*map(F.lit, x))
-    own = F.when(F.col("doc_id") % 2 == 0, s("own", "x", "y")).otherwise(F.array().cast("array<string>"))
-    return t.documents.select("doc_id", F.array_join(E.error_material(own, s("a", "x", "b", "c"), s("x", "x")), "|").alias("refs"))
+    """Every other document has references of its own, the others take the best three of four retrieved."""
+    own = F.when(F.col("doc_id") % 2 == 0, F.array(F.substring("text", 1, 10), "lang")).otherwise(F.array().cast("array<string>"))
+    retrieved, already = F.array("lang", "source", F.substring("text", 3, 8), F.reverse("text")), F.array("source", "source")
+    return t.documents.select("doc_id", F.array_join(E.error_material(own, retrieved, already), "|").alias("refs"))
 
 
 @query("sheet_totals", f"""WITH {_GRADE}, {_SUBJ}, o AS (SELECT sheet_id, paper_id, sum(points) AS objective FROM gd GROUP BY ALL), u AS (SELECT paper_id, sum(knowledge + steps + conclusion + language) AS subjective FROM sj GROUP BY ALL)
@@ -204,11 +211,16 @@ def mask_answers(t):
     return t.v_questions.select("paper_id", "qid", F.when(role != "read", F.col("answer")).alias("answer"))
 
 
-@query("class_results", """SELECT paper_id, sheet_id, name, n FROM (SELECT a.paper_id, sheet_id, coalesce(nickname, username) AS name, n FROM (SELECT paper_id, sheet_id, student_id, count(*) AS n FROM v_answers GROUP BY ALL) a LEFT JOIN v_users u ON u.user_id = student_id)""")
+@query("class_results", """SELECT paper_id, sheet_id, name, n, row_number() OVER (PARTITION BY paper_id ORDER BY sheet_id DESC) AS position FROM (SELECT a.paper_id, sheet_id, coalesce(nickname, username) AS name, n
+    FROM (SELECT paper_id, sheet_id, student_id, count(*) AS n FROM v_answers GROUP BY ALL) a LEFT JOIN v_users u ON u.user_id = student_id) QUALIFY position <= 20""")
 def class_results(t):
+    """First page of each paper's sheets, newest first."""
+    from lectern.operators.meta import paginate
+
     sheets = t.v_answers.groupBy("paper_id", "sheet_id", "student_id").agg(F.count("*").alias("n"))
+    newest = paginate(sheets, [F.desc("sheet_id")], 1, 20, ["paper_id"])
     users = t.v_users.select(F.col("user_id").alias("student_id"), F.coalesce("nickname", "username").alias("name"))
-    return sheets.join(users, "student_id", "left").select("paper_id", "sheet_id", "name", "n")
+    return newest.join(users, "student_id", "left").select("paper_id", "sheet_id", "name", "n", "position")
 
 
 @query("sheet_visibility", """SELECT sheet_id, m.user_id FROM (SELECT DISTINCT sheet_id, student_id FROM v_answers) s JOIN v_members m ON m.kb_id = sheet_id % 25 WHERE NOT m.is_deleted AND (m.role IN ('owner', 'admin', 'write') OR m.user_id = student_id)""")
@@ -242,7 +254,11 @@ def regeneration_rounds(t):
     q = t.v_questions.select("paper_id", "qid", "stem", "knowledge_point")
     rounds = F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("round")
     new = q.select("paper_id", "qid", F.concat_ws(" ", F.reverse("stem"), "qid").alias("stem"), "knowledge_point", rounds)
-    check = lambda rows: E.collect_rejections(E.near_duplicate_questions(rows), E.knowledge_balance(rows, E.near_duplicate_questions(rows)))
+
+    def check(rows):
+        duplicates = written(E.near_duplicate_questions(rows), "near-duplicate-questions")  # both rules use them
+        return E.collect_rejections(duplicates, E.knowledge_balance(rows, duplicates))
+
     return E.regeneration_rounds(q, new, check)[0]
 
 
@@ -299,7 +315,6 @@ _STRATEGIES = f"""{_ALL}, eq AS (SELECT query_id, kb_id, chunk_id, 0.5 * coalesc
 def strategy_comparison(t):
     """Keyword, vector, hybrid with equal weights, hybrid with reranking: four metrics of their five best hits."""
     from lectern.operators.metrics import compare
-    from lectern.sources.scratch import written
 
     chunks, queries = _vectors(t)
     keyword, vector = written(_bm25(t), "keyword"), written(R.vector_search(queries, chunks), "vector")
@@ -323,11 +338,13 @@ def grounding_report(t):
     return checked.agg(rate(F.col("no_answer")).alias("refusal_rate"), rate(~F.col("no_answer") & ~F.col("grounded")).alias("hallucination_rate"))
 
 
-@query("citation_accuracy", "SELECT round(sum(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END) / sum(2), 6) AS accuracy FROM documents")
+@query("citation_accuracy", """SELECT round(sum(CASE WHEN trim(r, s) <> '' AND contains(text, trim(r, s)) THEN 1 ELSE 0 END) / count(*), 6) AS accuracy FROM (
+    SELECT text, chr(9) || chr(10) || chr(13) || ' ' AS s, unnest([substr(text, 11, 30), reverse(substr(text, 5, 25)), source]) AS r FROM documents)""")
 def citation_accuracy(t):
-    refs = F.when(F.col("doc_id") % 3 == 0, F.array(F.substring("text", 1, 20), F.lit("##"))).otherwise(F.array(F.lit("##1"), F.lit("##2")))
-    anchored = F.size(F.filter(refs, lambda r: F.contains(F.col("text"), r) & ~r.startswith("##")))
-    return t.documents.agg(F.round(F.sum(anchored) / F.sum(F.size(refs)), 6).alias("accuracy"))
+    """Share of references that anchoring keeps as verbatim in their text, with nothing to fall back on."""
+    refs, none = F.array(F.substring("text", 11, 30), F.reverse(F.substring("text", 5, 25)), "source"), F.array().cast("array<string>")
+    kept = F.size(E.anchor_references(refs, F.col("text"), none))
+    return t.documents.agg(F.round(F.sum(F.greatest(kept, F.lit(0))) / F.sum(F.size(refs)), 6).alias("accuracy"))
 
 
 @query("agent_success_report", "SELECT kb_id, round(avg(CASE WHEN status = 'success' THEN 1.0 ELSE 0.0 END), 6) AS success, round(avg(steps), 6) AS mean_steps, round(avg(duration_ms), 4) AS mean_ms FROM v_agent_tasks GROUP BY kb_id")

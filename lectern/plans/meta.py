@@ -187,9 +187,12 @@ def query_cache_hits(t):
     return M.query_cache(t.events.select(key.alias("key"), "event_id", "ts"), 3_600)
 
 
-@query("answers_of_paper", "SELECT paper_id, sheet_id, count(*) AS answers FROM v_answers GROUP BY ALL")
+@query("answers_of_paper", """SELECT paper_id, sheet_id, answers, row_number() OVER (PARTITION BY paper_id ORDER BY sheet_id DESC) AS position FROM (
+    SELECT paper_id, sheet_id, count(*) AS answers FROM v_answers GROUP BY ALL) QUALIFY position <= 20""")
 def answers_of_paper(t):
-    return t.v_answers.groupBy("paper_id", "sheet_id").agg(F.count("*").alias("answers"))
+    """First page of each paper's sheets, newest first."""
+    sheets = t.v_answers.groupBy("paper_id", "sheet_id").agg(F.count("*").alias("answers"))
+    return M.paginate(sheets, [F.desc("sheet_id")], 1, 20, ["paper_id"]).select("paper_id", "sheet_id", "answers", "position")
 
 
 @query("export_exam_markdown", """SELECT paper_id, md5('# paper ' || paper_id || chr(10) || chr(10) || '难度：medium　总分：' || CAST(total AS BIGINT) || chr(10) || '迭代次数：0' || chr(10) || chr(10) || asked ||

@@ -187,3 +187,21 @@ def test_hooks(spark):
 
     out = {r.id: (r.output, r.error) for r in hooks.model_outputs(df, "id", "t", client).collect()}
     assert out[1] == ("A B", None) and out[2][0] is None and "no prompt" in out[2][1]
+
+
+def test_query_cache_cut_at_gaps(spark, monkeypatch):
+    import datetime
+
+    from lectern.operators import meta
+
+    rng, zero = random.Random(9), datetime.datetime(2024, 1, 1)
+    rows = [(rng.choice("ab"), i, zero + datetime.timedelta(seconds=rng.randint(0, 4_000))) for i in range(200)]
+    requests = spark.createDataFrame(rows, "key string, event_id bigint, ts timestamp")
+    want, last = {}, {}
+    for key, i, at in sorted(rows, key=lambda r: (r[2], r[1])):
+        want[i] = key in last and (at - last[key]).total_seconds() <= 60
+        if not want[i]:
+            last[key] = at
+    for size in (3, 50_000):
+        monkeypatch.setattr(meta, "CACHE_ROWS", size)
+        assert {r.event_id: r.hit for r in meta.query_cache(requests, 60).collect()} == want
