@@ -22,11 +22,13 @@ BROADCAST_BYTES = 32 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (single-machine tests) is a
-    temporary folder made and set as the checkpoint folder.
+    Read from ``spark.checkpoint.dir``; only where that is unset in a local session (tests) is a
+    temporary folder made and set as the checkpoint folder. Other sessions must name one.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="lectern-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()

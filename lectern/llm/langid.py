@@ -32,10 +32,12 @@ PARTS = 256
 CHARACTERS = 5_000
 #: Share of rows in a learned language that rejection may lose; rows from which on a length bin has a tail of its own; and
 #: the least distance, in nats a character, of a limit from its language's mean.
-FALSE_REJECTION, TAIL_ROWS, MARGIN = 1e-4, 30, 1.25
+FALSE_REJECTION, TAIL_ROWS, MARGIN = 1e-4, 100, 1.25
 PAD = "\n" * (ORDER - 1)
 #: First text lengths of the bins that rejection is calibrated in.
 LENGTH_BINS = (0, 64, 256, 1024)
+#: Length that stands for the first bin where its limit is widened.
+SHORTEST = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -227,17 +229,20 @@ def _calibrate(model: Model, held: pd.DataFrame) -> None:
     """Limits by language and length bin from held-back rows, so that ``FALSE_REJECTION`` of such rows are rejected at most.
 
     A limit is the language's mean entropy and the tail limit of what rows of that length, of all
-    languages, exceed their mean by; a bin with fewer than ``TAIL_ROWS`` rows takes the tail of the whole
-    sample. It is never nearer than ``MARGIN`` to the mean. A language without held-back rows rejects nothing.
+    languages, exceed their mean by. A bin with fewer than ``TAIL_ROWS`` rows takes the tail of the whole
+    sample, widened for shorter texts by the root of how much shorter they are than the sample's
+    median, as means over characters spread. A limit is never nearer than ``MARGIN`` to the mean. A language without held-back rows rejects nothing.
     """
     means = held.groupby("lang")["entropy"].mean()
     excess = (held["entropy"] - held["lang"].map(means)).to_numpy()
     bins = np.searchsorted(LENGTH_BINS, held["length"].to_numpy(), "right") - 1
     for b in range(len(LENGTH_BINS)):
-        values = excess[bins == b] if (bins == b).sum() >= TAIL_ROWS else excess
+        enough = (bins == b).sum() >= TAIL_ROWS
+        wider = 1.0 if enough or not len(held) else max(1.0, np.sqrt(held["length"].median() / max(LENGTH_BINS[b], SHORTEST)))
+        values = excess[bins == b] if enough else excess
         for i, lang in enumerate(model.languages):
             if lang in means:
-                model.limits[i, b] = means[lang] + max(MARGIN, tail_limit(values, FALSE_REJECTION))
+                model.limits[i, b] = means[lang] + max(MARGIN, wider * tail_limit(values, FALSE_REJECTION))
 
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
