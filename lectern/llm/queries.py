@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, decontaminate, langid, lines, ngram_join, packing, pii, secrets, tokens, warc
+from lectern.llm import ann, bag_search, compression, decontaminate, hard_negatives, langid, lines, ngram_join, packing, pii, secrets, tokens, warc
 from lectern.llm.common import scratch_path
 
 
@@ -70,6 +70,24 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_bag_deduplication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    learn = docs.filter(~compression.held_out(F.col("doc_id"))).select("doc_id", "text")
+    model = compression.train(learn, _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")))
+    found = compression.score(docs, model, keep=["doc_id"])
+    return found.select("doc_id", compression.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op13_lemp_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_boundary_chain": op1_warc_boundary_chain,
     "op2_fuzzy_lines": op2_fuzzy_lines,
@@ -81,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_multiprobe_lsh": op8_multiprobe_lsh,
     "op9_jaccard_metric_join": op9_jaccard_metric_join,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_bag_deduplication": op11_bag_deduplication,
+    "op12_compression_distance": op12_compression_distance,
+    "op13_lemp_hard_negatives": op13_lemp_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -123,4 +144,47 @@ ORACLES: dict[str, str] = {
             sha256(coalesce(ks, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM dw LEFT JOIN per_word USING (doc_id) LEFT JOIN per_item USING (doc_id)
     """,
+    "op11_bag_deduplication": r"""
+        WITH dw AS (
+            SELECT doc_id, row_number() OVER () AS doc, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL
+        ), d AS (SELECT doc_id, doc, w, CAST(len(w) AS BIGINT) AS n FROM dw WHERE len(w) > 0),
+        tot AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM d),
+        it AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+            WHERE item_id IS NOT NULL
+        ), tf AS (SELECT doc, t, count(*) AS tf FROM (SELECT doc, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM it) GROUP BY doc, t),
+        wt AS (
+            SELECT t, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+            FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), tot
+        ), sc AS (
+            SELECT item_id, doc, CAST(sum(wt.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l)))) AS BIGINT) AS score
+            FROM it JOIN tf USING (t) JOIN wt USING (t) JOIN d USING (doc), tot GROUP BY item_id, doc
+        ), r AS (
+            SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+            FROM sc JOIN d USING (doc) WHERE score > 0
+        )
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 50
+    """,
+    "op13_lemp_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+                CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+            FROM (SELECT * FROM v WHERE vec_id % 100 = 0) a JOIN v b ON a.vec_id <> b.vec_id
+        ), p AS (
+            SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM (
+            SELECT p.anchor_id, positive_id, other AS negative_id, positive_score, score AS negative_score,
+                row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS rank
+            FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        ) WHERE rank <= 10
+    """,
 }
