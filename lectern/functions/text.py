@@ -127,10 +127,12 @@ def citation_label(name: Column, doc: Column, page: Column, index: Column) -> Co
 
 
 def sanitize_filename(c: Column) -> Column:
-    base = F.regexp_extract(F.translate(c, "\\", "/"), r"([^/]*)/*$", 1)
+    """The last part of a path with safe characters only, at most 196 characters and the extension; "unnamed" if nothing is left."""
+    base = F.regexp_extract(c, r"(?s)([^/]*)$", 1)
     name = F.regexp_replace(F.regexp_replace(base, r"[^\p{L}\p{N}_.\-]", "_"), r"^\.+", "")
-    extension = F.regexp_extract(name, r"[^.](\.[^.]+)$", 1)
-    short = F.when(F.length(name) > 200, F.concat(F.substring(name, 1, 196), extension)).otherwise(name)
+    extension = F.regexp_extract(name, r"(\.[^.]*)$", 1)
+    stem = F.substring(name, F.lit(1), F.least(F.length(name) - F.length(extension), F.lit(196)))
+    short = F.when(F.length(name) > 200, F.concat(stem, extension)).otherwise(name)
     return F.when(short == "", "unnamed").otherwise(short)
 
 
@@ -181,11 +183,15 @@ def normalize_text_list(c: Column) -> Column:
 
 
 def parse_rewrites(output: Column, original: Column, count: int = 2) -> Column:
-    """Queries to run: the original, then up to ``count`` (1 or 2) rewrites from a JSON list or from lines."""
-    listed = F.from_json(extract_json_array(output), "array<string>")
-    lines = F.array_distinct(F.transform(F.split(F.coalesce(output, F.lit("")), "\n"),
-                                         lambda x: strip(F.regexp_replace(strip(x), r"^(?:\d+[.、)]\s*|[-*•]\s*)+|[\"'“”]", ""))))
-    found = F.filter(normalize_text_list(F.coalesce(listed, lines)), lambda x: x != strip(original))
+    """Queries to run: the original, then up to ``count`` (1 or 2) rewrites from a JSON list or from lines.
+
+    A line loses one number or bullet in front, then double and single quotes at its ends.
+    """
+    raw = strip(F.coalesce(output, F.lit("")))
+    listed = F.when(raw.rlike(r"^\[") & F.try_parse_json(raw).isNotNull(), F.from_json(raw, "array<string>"))
+    bare = lambda x: F.regexp_replace(strip(F.regexp_replace(strip(x), r"^(?:\d+[.、)\-]|[-*·])(?U)\s*", "")), r'^"+|"+$', "")
+    lines = F.array_distinct(F.filter(F.transform(F.split(raw, "\n"), lambda x: F.regexp_replace(bare(x), "^'+|'+$", "")), lambda x: x != ""))
+    found = F.filter(F.coalesce(F.filter(F.transform(listed, strip), lambda x: x != ""), lines), lambda x: x != original)
     return F.concat(F.array(original), F.slice(found, 1, max(1, min(2, count))))
 
 

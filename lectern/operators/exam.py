@@ -6,16 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.functions.text import char_ngrams, extract_json_object, norm_answer, strip
+from lectern.functions.text import char_ngrams, extract_json_object, norm_answer, normalize_text_list, strip
 
 TYPES = ("choice", "fill", "short")
 SCORES = {"choice": 5, "fill": 5, "short": 20}
 LIMITS = {"choice": 50, "fill": 50, "short": 20}
 DIMENSIONS = ("knowledge", "steps", "conclusion", "language")
+#: Fixed values.
 DEFAULT_WEIGHTS = (0.3, 0.3, 0.2, 0.2)
 UNLABELLED = "未标注"
 OTHERS = "其他"
+#: Words that make a verdict negative, what parts the terms of a reference answer.
 NEGATIVE = ("fail", "不合格", "不存在", "超纲", "歧义", "错误")
+TERM_MARKS = r"[，,、;；/｜|]+"
 #: Other names of the dimensions in model output.
 ALIASES = {
     "knowledge": ("knowledge", "知识点", "知识点匹配度"), "steps": ("steps", "步骤", "步骤完整性", "答题步骤完整性"),
@@ -120,7 +123,7 @@ def grade_objective(kind: Column, reference: Column, answer: Column, most: Colum
     first = lambda c: F.upper(F.substring(c, 1, 1))
     choice = F.when((ref != "") & (got != "") & (first(ref) == first(got)), most).otherwise(0)
     r, s = norm_answer(ref), norm_answer(got)
-    parts = F.filter(F.split(r, r"[，,、;；/｜|]+"), lambda x: x != "")
+    parts = F.filter(F.split(r, TERM_MARKS), lambda x: x != "")
     terms = F.when(F.size(parts) > 0, parts).otherwise(F.array(r))
     matched = F.size(F.filter(terms, lambda x: F.contains(s, x)))
     fill = F.when(s == "", 0).when(r == s, most).when(matched == 0, 0).otherwise(F.greatest(F.bround(most * matched / F.size(terms)), F.lit(0)))
@@ -150,19 +153,42 @@ def dimension_max_scores(most: Column, weights: list[Column]) -> list[Column]:
     return [(f + (r < left).cast("int")).cast("bigint") for f, r in zip(floors, rank, strict=True)]
 
 
-def subjective_scores(output: Column, maxima: list[Column]) -> list[Column]:
-    """Scores by dimension from model JSON, other names allowed, each within 0 and its maximum; 0 where missing."""
-    body = extract_json_object(output)
-    out = []
-    for dim, top in zip(DIMENSIONS, maxima, strict=True):
-        told = F.coalesce(*[F.get_json_object(body, f"$['{a}']") for a in ALIASES[dim]])
-        out.append(F.greatest(F.least(F.coalesce(F.bround(told.try_cast("double")), F.lit(0)), top), F.lit(0)).cast("bigint"))
-    return out
+def grade_subjective(rows: DataFrame, output: Column, maxima: list[Column], context: Column) -> DataFrame:
+    """Adds scores: for each dimension (key, score, max_score, comment, source_refs) from model JSON ``{"dimensions": [{"key", "score", ...}]}``.
+
+    Keys count in lower case and by their other names; of several entries the last holds, what is not an
+    object is passed over. A number is cut to a whole one, a text counts only if it is one; scores stay within
+    0 and the dimension's maximum. References are those that the context holds verbatim.
+    """
+    text = lambda v, at: strip(F.coalesce(F.try_variant_get(v, at, "string"), F.lit("")))
+
+    def entry(v: Column) -> Column:
+        told = F.try_variant_get(v, "$.score", "variant")
+        number, plain = F.try_variant_get(told, "$", "double"), F.try_variant_get(told, "$", "string")
+        whole = F.when(F.schema_of_variant(told) != "STRING", F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)))
+        whole = F.coalesce(whole, F.when(plain.rlike(r"(?U)^\s*[+-]?\d+\s*$"), strip(plain).try_cast("bigint")), F.lit(0))
+        return F.struct(F.lower(text(v, "$.key")).alias("key"), whole.alias("score"), text(v, "$.comment").alias("comment"), F.try_variant_get(v, "$.source_refs", "array<string>").alias("refs"))
+
+    # Each step is a column of its own, so that the JSON is read once a row.
+    rows = rows.withColumn("_json", F.from_json(extract_json_object(output), "struct<dimensions:array<variant>>")["dimensions"])
+    rows = rows.withColumn("_told", F.transform("_json", entry))
+    last = lambda dim: F.try_element_at(F.filter("_told", lambda x: x["key"].isin(*ALIASES[dim])), F.lit(-1)).alias(dim)
+    rows = rows.withColumn("_last", F.struct(*map(last, DIMENSIONS)))
+    one = lambda dim, top: F.struct(
+        F.lit(dim).alias("key"), F.greatest(F.least(F.coalesce(F.col(f"_last.{dim}.score"), F.lit(0)), top), F.lit(0)).cast("bigint").alias("score"), top.cast("bigint").alias("max_score"),
+        F.coalesce(F.col(f"_last.{dim}.comment"), F.lit("")).alias("comment"), anchored(F.col(f"_last.{dim}.refs"), context).alias("source_refs"),
+    )
+    return rows.withColumn("scores", F.array(*[one(d, m) for d, m in zip(DIMENSIONS, maxima, strict=True)])).drop("_json", "_told", "_last")
+
+
+def anchored(refs: Column, context: Column) -> Column:
+    """The trimmed references that are verbatim in the context."""
+    return F.filter(normalize_text_list(refs), lambda r: F.contains(context, r))
 
 
 def anchor_references(refs: Column, context: Column, best: Column) -> Column:
-    """References that are verbatim in the context; none: the first 120 characters of the two best chunks; six at most."""
-    kept = F.filter(refs, lambda r: (strip(r) != "") & F.contains(context, strip(r)))
+    """Trimmed references that are verbatim in the context; none: the first 120 characters of the two best chunks; six at most."""
+    kept = anchored(refs, context)
     return F.slice(F.when(F.size(kept) > 0, kept).otherwise(F.transform(F.slice(best, 1, 2), lambda c: F.substring(c, 1, 120))), 1, 6)
 
 

@@ -165,12 +165,12 @@ def groundedness(answers: DataFrame, threshold: float = 0.3, top: int = 15) -> D
     """Adds has_context, no_answer, confidence, grounded to (query_id, answer, contexts array).
 
     In this order: no context and no answer is grounded, no context and an answer is not, context
-    and no answer is grounded; otherwise the share of the answer's top keywords that the joined
-    contexts contain decides.
+    and no answer is grounded; otherwise the share of the answer's top keywords, in their own case,
+    that the joined contexts contain decides.
     """
     contexts = F.filter(F.coalesce("contexts", F.array().cast("array<string>")), lambda c: c.isNotNull() & (strip(c) != ""))
     rows = answers.withColumns({"_ctx": F.array_join(contexts, " "), "has_context": F.size(contexts) > 0, "no_answer": no_answer_flag(F.coalesce("answer", F.lit("")))})
-    words = rows.filter("has_context and not no_answer").select("query_id", F.posexplode(tokenize(F.col("answer"), stopwords=True)).alias("pos", "term"))
+    words = rows.filter("has_context and not no_answer").select("query_id", F.posexplode(tokenize(F.col("answer"), stopwords=True, lower=False)).alias("pos", "term"))
     words = words.groupBy("query_id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     words = words.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "pos"))).filter(F.col("k") <= top)
     # The few keywords go to the context, not the context to every word.

@@ -13,27 +13,26 @@ from lectern.functions.text import normalize_chunk_text, strip
 
 # What parts a text, from coarse to fine; what looks like a page number or an ornament.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", ". ", "，", ",", " ")
-NOISE = r"(?iU)^(\d{1,4}|第\s*\d+\s*页(\s*[/共]\s*\d+\s*页?)?|page\s*\d+(\s*(of|/)\s*\d+)?|\d+\s*/\s*\d+|-\s*\d+\s*-)$"
+NOISE = r"(?iU)^(?:\d{1,4}|第\s*\d+\s*页|page\s*\d+|\d+\s*/\s*\d+)$"
 
 
 def split_pages(text: Column, size: int = 1500) -> Column:
-    """Array of page texts: lines are gathered until a page has ``size`` characters; blank text is one empty page."""
-    state = lambda pages, open_, n, used: F.struct(pages.alias("pages"), open_.alias("open"), n.alias("n"), used.alias("used"))
+    """Array of page texts as they are: lines are gathered until they have ``size`` characters; blank text is one empty page."""
+    state = lambda pages, open_, n: F.struct(pages.alias("pages"), open_.alias("open"), n.alias("n"))
     none = F.array().cast("array<string>")
 
     def step(s: Column, line: Column) -> Column:
-        n = s["n"] + F.length(line) + 1
+        n = s["n"] + F.length(line)
         held = F.concat(s["open"], F.array(line))
         full = n >= size
         return state(
             F.when(full, F.concat(s["pages"], F.array(F.array_join(held, "\n")))).otherwise(s["pages"]),
-            F.when(full, none).otherwise(held), F.when(full, F.lit(0)).otherwise(n), F.lit(True),
+            F.when(full, none).otherwise(held), F.when(full, F.lit(0)).otherwise(n),
         )
 
     done = lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["pages"], F.array(F.array_join(s["open"], "\n")))).otherwise(s["pages"])
-    pages = F.aggregate(F.split(text, "\n", -1), state(none, none, F.lit(0), F.lit(False)), step, done)
-    pages = F.filter(F.transform(pages, strip), lambda p: p != "")
-    return F.when(F.size(pages) > 0, pages).otherwise(F.array(F.lit("")))
+    pages = F.aggregate(F.split(text, "\n", -1), state(none, none, F.lit(0)), step, done)
+    return F.when(strip(F.coalesce(text, F.lit(""))) != "", pages).otherwise(F.array(F.lit("")))
 
 
 def filter_page_noise(pages: DataFrame) -> DataFrame:
@@ -104,8 +103,8 @@ def pack_pieces(pages: list[tuple[int, list[str]]], size: int, overlap: int) ->
                 length, fresh = len(tail), False
             if not fresh:
                 page = number
+            length += len(piece) + bool(held)
             held.append(piece)
-            length += len(piece) + 1
             fresh = True
     if fresh:
         out.append((page, "\n".join(held)))

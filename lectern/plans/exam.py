@@ -131,30 +131,30 @@ def dimension_max_scores(t):
     return t.orders.select("o_orderkey", *[v.alias(k) for k, v in zip(E.DIMENSIONS, x, strict=True)])
 
 
-_SUBJ = """sj AS (SELECT paper_id, qid, CASE WHEN ok THEN greatest(least(CAST(json_extract_string(j, '$.knowledge') AS BIGINT), 6), 0) ELSE 0 END AS knowledge, CASE WHEN ok THEN least(CAST(json_extract_string(j, '$.steps') AS BIGINT), 6) ELSE 0 END AS steps,
-    CASE WHEN ok THEN least(CAST(json_extract_string(j, '$.conclusion') AS BIGINT), 4) ELSE 0 END AS conclusion, CASE WHEN ok THEN 2 ELSE 0 END AS language FROM (SELECT paper_id, qid, qid % 5 < 3 AS ok, CASE WHEN qid % 5 < 3 THEN regexp_extract(output, '(\\{.*\\})', 1) ELSE '{}' END AS j FROM v_model_outputs WHERE max_score = 20))""".replace("\\\\", "\\")
+#: From the numbers that the outputs are made of: cut to whole points, a text with a fraction is none, the last of two entries holds.
+_SUBJ = """sj AS (SELECT paper_id, qid, CASE WHEN qid % 5 < 3 THEN greatest(least(l_suppkey % 9 - 1, 6), 0) ELSE 0 END AS knowledge, CASE WHEN qid % 5 < 3 AND l_suppkey % 4 <> 0 THEN l_suppkey % 5 ELSE 0 END AS steps,
+    CASE WHEN qid % 5 < 3 THEN least(l_suppkey % 7, 4) ELSE 0 END AS conclusion, CASE WHEN qid % 5 < 3 THEN 2 ELSE 0 END AS language FROM v_questions WHERE score = 20)"""
 
 
-@query("grade_subjective_parse", f"WITH {_SUBJ} SELECT paper_id, qid, CAST(knowledge AS BIGINT) AS knowledge, CAST(steps AS BIGINT) AS steps, CAST(conclusion AS BIGINT) AS conclusion, CAST(language AS BIGINT) AS language, CAST(knowledge + steps + conclusion + language AS BIGINT) AS total FROM sj")
+@query("grade_subjective_parse", f"WITH {_SUBJ} SELECT paper_id, qid, CAST(knowledge AS BIGINT) AS knowledge, CAST(steps AS BIGINT) AS steps, CAST(conclusion AS BIGINT) AS conclusion, CAST(language AS BIGINT) AS language, CAST(knowledge + steps + conclusion + language AS BIGINT) AS total, CASE WHEN qid % 5 < 3 THEN 1 ELSE 0 END AS refs FROM sj")
 def grade_subjective_parse(t):
     return _subjective(t)
 
 
 def _subjective(t):
     maxima = E.dimension_max_scores(F.col("max_score"), [F.lit(w) for w in E.DEFAULT_WEIGHTS])
-    s = E.subjective_scores(F.col("output"), maxima)
-    rows = t.v_model_outputs.filter("max_score = 20").select("paper_id", "qid", *[v.alias(k) for k, v in zip(E.DIMENSIONS, s, strict=True)])
+    rows = E.grade_subjective(t.v_model_outputs.filter("max_score = 20"), F.col("output"), maxima, F.col("stem"))
+    points = {k: F.col("scores")[i]["score"] for i, k in enumerate(E.DIMENSIONS)}
+    rows = rows.select("paper_id", "qid", *[v.alias(k) for k, v in points.items()], F.size(F.flatten(F.transform("scores", lambda d: d["source_refs"]))).cast("bigint").alias("refs"))
     return rows.withColumn("total", F.col("knowledge") + F.col("steps") + F.col("conclusion") + F.col("language"))
 
 
-@query("anchor_references", """SELECT doc_id, CASE CASE WHEN substr(text, 11, 30) = '' AND doc_id % 3 = 0 THEN 1 ELSE doc_id % 3 END WHEN 0 THEN substr(text, 11, 30) WHEN 1 THEN substr(text, 1, 120) || '|' || substr(reverse(text), 1, 120) ELSE '' END AS refs FROM documents WHERE doc_id % 3 <> 0 OR trim(substr(text, 11, 30), ' ' || chr(10)) = substr(text, 11, 30)""")
+@query("anchor_references", """SELECT doc_id, CASE CASE WHEN trim(substr(text, 11, 30), ' ' || chr(10)) = '' AND doc_id % 3 = 0 THEN 1 ELSE doc_id % 3 END WHEN 0 THEN trim(substr(text, 11, 30), ' ' || chr(10)) WHEN 1 THEN substr(text, 1, 120) || '|' || substr(reverse(text), 1, 120) ELSE '' END AS refs FROM documents""")
 def anchor_references(t):
     m = F.col("doc_id") % 3
     refs = F.when(m == 0, F.array(F.substring("text", 11, 30), F.lit("##not there##"))).otherwise(F.array(F.lit("##not there##")))
     best = F.when(m == 2, F.array().cast("array<string>")).otherwise(F.array("text", F.reverse("text"), F.lit("third")))
-    part = F.substring("text", 11, 30)
-    clean = F.regexp_replace(part, r"^[ \n]+|[ \n]+$", "") == part
-    return t.documents.filter((m != 0) | clean).select("doc_id", F.array_join(E.anchor_references(refs, F.col("text"), best), "|").alias("refs"))
+    return t.documents.select("doc_id", F.array_join(E.anchor_references(refs, F.col("text"), best), "|").alias("refs"))
 
 
 @query("unanswered_handling", """SELECT sheet_id, a.qid, CASE WHEN trim(a.answer) = '' THEN '未作答' WHEN q.knowledge_point IS NULL THEN 'no material found' END AS remark

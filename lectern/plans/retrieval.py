@@ -185,7 +185,7 @@ def _answers(t):
 _GROUND = rf"""an AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 6 = 0 THEN 'Not found in the files' ELSE text END AS answer,
     CASE WHEN doc_id % 6 IN (1, 3) OR doc_id % 12 = 0 THEN text WHEN doc_id % 6 = 4 THEN reverse(text) ELSE '' END AS ctx FROM documents),
     kw AS (SELECT query_id, ctx, term, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, pos) AS k FROM (SELECT query_id, ctx, term, count(*) AS n, min(pos) AS pos FROM (
-    SELECT query_id, ctx, w[i] AS term, i AS pos FROM (SELECT query_id, ctx, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT query_id, ctx, list_filter({_W.format("answer")}, lambda x: length(x) > 1) AS w FROM an))) GROUP BY ALL) QUALIFY k <= 15),
+    SELECT query_id, ctx, w[i] AS term, i AS pos FROM (SELECT query_id, ctx, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT query_id, ctx, list_filter(regexp_extract_all(answer, '[\p{{L}}\p{{N}}]+'), lambda x: length(x) > 1) AS w FROM an))) GROUP BY ALL) QUALIFY k <= 15),
     gr AS (SELECT query_id, answer, ctx <> '' AS has_context, answer = 'Not found in the files' AS no_answer, CASE WHEN answer = 'Not found in the files' THEN 1.0 WHEN ctx = '' THEN 0.0 ELSE coalesce(share, 0) END AS confidence
     FROM an LEFT JOIN (SELECT query_id, avg(CASE WHEN contains(ctx, term) THEN 1.0 ELSE 0.0 END) AS share FROM kw GROUP BY query_id) USING (query_id)),
     gc AS (SELECT *, no_answer OR (has_context AND confidence >= 0.3) AS grounded FROM gr)"""
@@ -346,23 +346,25 @@ def file_fingerprint(t):
 
 
 def _noisy_pages(t):
-    page = F.explode(F.sequence(F.lit(0), F.floor((F.col("n_chars") - 1) / 400).cast("int"))).alias("p")
-    rows = t.documents.filter("n_chars > 0").select("doc_id", "text", page)
+    page = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 400).cast("int"))).alias("p")
+    rows = t.documents.filter(F.length("text") > 0).select("doc_id", "text", page)
     body = F.expr("substring(text, p * 400 + 1, 400)")
-    whole = F.concat(F.lit("***\nCourse notes\n"), F.regexp_replace(body, "\n", " "), F.lit("\nPage "), (F.col("p") + 1).cast("string"))
+    whole = F.concat(F.lit("***\n第 3 页\nCourse notes\nPage 3 of 9\n- 12 -\n"), F.regexp_replace(body, "\n", " "), F.lit("\nPage "), (F.col("p") + 1).cast("string"))
     return rows.select("doc_id", (F.col("p") + 1).cast("bigint").alias("page_number"), whole.alias("text"))
 
 
-_PAGES = """pg AS (SELECT doc_id, p + 1 AS page_number, max(p + 1) OVER (PARTITION BY doc_id) AS pages, 'Course notes' || chr(10) || replace(substr(text, p * 400 + 1, 400), chr(10), ' ') || chr(10) || 'Page ' || (p + 1) AS body
-    FROM (SELECT doc_id, text, unnest(range(0, (n_chars - 1) // 400 + 1)) AS p FROM documents WHERE n_chars > 0))"""
+#: The two first lines are noise where they repeat, those after them only look like it.
+_PAGES = """pg AS (SELECT doc_id, p + 1 AS page_number, max(p + 1) OVER (PARTITION BY doc_id) AS pages, '***' || chr(10) || '第 3 页' || chr(10) AS noise,
+    'Course notes' || chr(10) || 'Page 3 of 9' || chr(10) || '- 12 -' || chr(10) || replace(substr(text, p * 400 + 1, 400), chr(10), ' ') || chr(10) || 'Page ' || (p + 1) AS body
+    FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 400 + 1)) AS p FROM documents WHERE length(text) > 0))"""
 
 
-@query("filter_page_noise", f"WITH {_PAGES} SELECT doc_id, page_number, CASE WHEN pages > 2 THEN body ELSE '***' || chr(10) || body END AS text FROM pg")
+@query("filter_page_noise", f"WITH {_PAGES} SELECT doc_id, page_number, CASE WHEN pages > 2 THEN body ELSE noise || body END AS text FROM pg")
 def filter_page_noise(t):
     return S.filter_page_noise(_noisy_pages(t))
 
 
-@query("document_stats", f"WITH {_PAGES} SELECT doc_id, count(*) AS page_count, md5(string_agg('***' || chr(10) || body, chr(10) || chr(10) ORDER BY page_number)) AS digest, CAST(sum(length(body) + 4) + 2 * (count(*) - 1) AS BIGINT) AS char_count FROM pg GROUP BY doc_id")
+@query("document_stats", f"WITH {_PAGES} SELECT doc_id, count(*) AS page_count, md5(string_agg(noise || body, chr(10) || chr(10) ORDER BY page_number)) AS digest, CAST(sum(length(noise || body)) + 2 * (count(*) - 1) AS BIGINT) AS char_count FROM pg GROUP BY doc_id")
 def document_stats(t):
     return S.document_stats(_noisy_pages(t)).select("doc_id", "page_count", F.md5("full_text").alias("digest"), "char_count")
 
@@ -400,7 +402,20 @@ def _pages(t):
     return t.documents.select("doc_id", F.posexplode(S.split_pages(F.col("text"))).alias("page_number", "text")).withColumn("page_number", F.col("page_number") + 1)
 
 
-@query("split_pages")
+#: Pages by a fold over lines, written from the rule: a page ends when its lines, without their ends, have 1500 characters.
+_PAGED = """fo AS (SELECT doc_id, CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN NULL ELSE list_reduce(list_transform(string_split(text, chr(10)), lambda l: {'p': CAST([] AS VARCHAR[]), 'o': [l], 'n': length(l)}),
+    lambda a, b: CASE WHEN a.n >= 1500 THEN {'p': list_append(a.p, array_to_string(a.o, chr(10))), 'o': b.o, 'n': b.n} ELSE {'p': a.p, 'o': list_concat(a.o, b.o), 'n': a.n + b.n} END) END AS f FROM documents),
+    pp AS (SELECT doc_id, CASE WHEN f IS NULL THEN [''] ELSE list_append(f.p, array_to_string(f.o, chr(10))) END AS pages FROM fo)"""
+#: Chunks by a fold over words, as every text ends up cut at blanks; the last 50 characters of a chunk open the next.
+_RECURSIVE = f"""{_PAGED}, sg AS (SELECT doc_id, list_filter(flatten(list_transform(pages, lambda t, i: list_transform(string_split_regex(t, '\\n|。|！|？|；|\\. |，|,| '), lambda x: {{'t': trim(x, chr(9) || chr(13) || chr(11) || chr(12)), 'p': CAST(i AS INT)}}))), lambda s: s.t <> '') AS s FROM pp),
+    fc AS (SELECT doc_id, list_reduce(list_transform(s, lambda x: {{'c': CAST([] AS STRUCT(p INT, t VARCHAR)[]), 'b': x.t, 'n': length(x.t), 'p': x.p}}),
+    lambda a, x: CASE WHEN a.n + x.n + 1 <= 512 THEN {{'c': a.c, 'b': a.b || chr(10) || x.b, 'n': a.n + x.n + 1, 'p': a.p}}
+    ELSE {{'c': list_append(a.c, {{'p': a.p, 't': a.b}}), 'b': CASE WHEN length(a.b) <= 50 THEN a.b ELSE ltrim(right(a.b, 50), chr(10) || ' ') END || chr(10) || x.b,
+    'n': length(CASE WHEN length(a.b) <= 50 THEN a.b ELSE ltrim(right(a.b, 50), chr(10) || ' ') END) + x.n + 1, 'p': x.p}} END) AS f FROM sg WHERE len(s) > 0)
+    SELECT doc_id, CAST(k - 1 AS INT) AS chunk_index, c[k].p AS page_number, c[k].t AS text FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS k FROM (SELECT doc_id, list_append(f.c, {{'p': f.p, 't': f.b}}) AS c FROM fc))"""
+
+
+@query("split_pages", f"WITH {_PAGED} SELECT doc_id, CAST(k AS INT) AS page_number, pages[k] AS text FROM (SELECT doc_id, pages, unnest(range(1, len(pages) + 1)) AS k FROM pp)")
 def split_pages(t):
     return _pages(t)
 
@@ -410,7 +425,7 @@ def strip_markdown(t):
     return t.documents.select("doc_id", X.strip_markdown(F.col("text")).alias("out"))
 
 
-@query("chunk_recursive")
+@query("chunk_recursive", f"WITH {_RECURSIVE}")
 def chunk_recursive(t):
     return S.chunk_recursive(_pages(t))
 

@@ -51,23 +51,26 @@ def format_file_size(t):
     return t.documents.select("doc_id", X.format_file_size(F.col("n_chars") * F.col("n_chars")).alias("out"))
 
 
-@query("sanitize_filename", r"""SELECT doc_id, CASE WHEN n = '' THEN 'unnamed' WHEN length(n) > 200 THEN substr(n, 1, 196) || regexp_extract(n, '[^.](\.[^.]+)$', 1) ELSE n END AS out
-    FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_extract('../a b/' || replace(substr(text, 1, 230), chr(10), ' ') || '.md', '([^/]*)/*$', 1), '[^\p{L}\p{N}_.\-]', '_', 'g'), '^\.+', '') AS n FROM documents)""")
+@query("sanitize_filename", r"""SELECT doc_id, CASE WHEN n = '' THEN 'unnamed' WHEN length(n) > 200 THEN CASE WHEN doc_id % 3 = 0 THEN n[1:196] ELSE n[1:196] || '.md' END ELSE n END AS out
+    FROM (SELECT doc_id, ltrim(regexp_replace(string_split('../a b/' || CASE doc_id % 5 WHEN 0 THEN '..' WHEN 1 THEN 'a\' ELSE '' END || replace(substr(replace(text, '.', ''), 1, 230), chr(10), ' ') || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '.md' ELSE 'x.md' END || CASE WHEN doc_id % 7 = 0 THEN '/' ELSE '' END, '/')[-1], '[^\p{L}\p{N}_.\-]', '_', 'g'), '.') AS n, doc_id FROM documents)""")
 def sanitize_filename(t):
-    name = F.concat(F.lit("../a b/"), F.regexp_replace(F.substring("text", 1, 230), "\n", " "), F.lit(".md"))
+    """Names with hidden files, back slashes, folders without a file and long ones, with and without an extension."""
+    m = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % n + 1).cast("int"))
+    body = F.regexp_replace(F.substring(F.regexp_replace("text", r"\.", ""), 1, 230), "\n", " ")
+    name = F.concat(F.lit("../a b/"), m(5, "..", "a\\", "", "", ""), body, m(3, "", ".md", "x.md"), F.when(F.col("doc_id") % 7 == 0, "/").otherwise(""))
     return t.documents.select("doc_id", X.sanitize_filename(name).alias("out"))
 
 
 @query("extract_keywords", rf"""SELECT doc_id, term, n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS BIGINT) AS rank FROM (
     SELECT doc_id, term, count(*) AS n, min(pos) AS pos FROM (SELECT doc_id, w[i] AS term, i AS pos FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i
-    FROM (SELECT doc_id, list_filter({_T}, lambda x: length(x) > 1) AS w FROM documents))) GROUP BY doc_id, term) QUALIFY rank <= 10""")
+    FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+'), lambda x: length(x) > 1) AS w FROM documents))) GROUP BY doc_id, term) QUALIFY rank <= 10""")
 def extract_keywords(t):
     return keywords(t.documents.select("doc_id", "text"), ["doc_id"], "text", 10).select("doc_id", "term", "n", "rank")
 
 
 def keywords(df, keys, column, k):
-    """Most frequent stop-worded tokens; ties in order of first occurrence."""
-    words = df.select(*keys, F.posexplode(X.tokenize(F.col(column), stopwords=True)).alias("pos", "term"))
+    """Most frequent stop-worded tokens in their own case; ties in order of first occurrence."""
+    words = df.select(*keys, F.posexplode(X.tokenize(F.col(column), stopwords=True, lower=False)).alias("pos", "term"))
     counts = words.groupBy(*keys, "term").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "pos")).cast("bigint")
     return counts.withColumn("rank", rank).filter(F.col("rank") <= k)
@@ -122,11 +125,11 @@ def extract_questions(t):
     return parsed.select("paper_id", F.explode(rows).alias("q")).select("paper_id", "q.qid", "q.stem", "q.type")
 
 
-@query("parse_rewrites", """SELECT query_id, q || '|' || q || ' one|' || q || ' two' AS out FROM (SELECT query_id, replace(trim(query), chr(10), ' ') AS q FROM v_queries)""")
+@query("parse_rewrites", """SELECT query_id, CASE WHEN query_id % 2 = 0 THEN q || '|' || q || ' one|' || q || ' two' ELSE q || '|what''s new, "' || q || '" or not|2. don''t panic' END AS out FROM (SELECT query_id, replace(trim(query), chr(10), ' ') AS q FROM v_queries)""")
 def parse_rewrites(t):
     q = F.regexp_replace(F.trim("query"), "\n", " ")
     listed = F.to_json(F.array(F.concat(q, F.lit(" one")), F.lit(" "), q, F.concat(q, F.lit(" two")), F.lit("three")))
-    lines = F.concat(F.lit("1. "), q, F.lit(" one\n- "), q, F.lit('\n\n"'), q, F.lit(' two"\n3) three'))
+    lines = F.concat(F.lit('1. "what\'s new, "'), q, F.lit('" or not\n- "'), q, F.lit('"\n\n1) 2. don\'t panic\'\n3) three'))
     rows = t.v_queries.select("query_id", F.col("query"), q.alias("q"), F.when(F.col("query_id") % 2 == 0, listed).otherwise(lines).alias("o"))
     found = F.array_join(X.parse_rewrites(F.col("o"), F.col("q")), "|")
     return rows.select("query_id", found.alias("out"))

@@ -32,7 +32,7 @@ VIEWS = {
         UNION ALL SELECT 3) v ON version <= 1 + doc_id % 3""",
     "v_chunks": """SELECT kb_id, doc_id, 'doc_' || CAST(doc_id AS VARCHAR(20)) || ':' || CAST(i AS VARCHAR(20)) AS chunk_id, i AS chunk_index,
         1 + i % 3 AS page_number, name AS document_name, substr(text, CAST(1 + i * 462 AS INT), 512) AS text FROM (SELECT kb_id, doc_id, name, text,
-        {series}(CAST(0 AS BIGINT), greatest(CAST(ceil((char_count - 50) / 462.0) AS BIGINT) - 1, CAST(0 AS BIGINT)))) AS i FROM v_documents WHERE NOT is_deleted) d""",
+        {series}(CAST(0 AS BIGINT), greatest(CAST(ceil((length(text) - 50) / 462.0) AS BIGINT) - 1, CAST(0 AS BIGINT)))) AS i FROM v_documents WHERE NOT is_deleted) d""",
     "v_queries": "SELECT item_id AS query_id, text AS query FROM benchmark",
     "v_relevant": "SELECT DISTINCT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
     "v_vectors": """SELECT vec_id AS chunk_id, vec_id % 5 AS kb_id, CASE WHEN vec_id % 4 = 0 THEN 'image' ELSE 'text' END AS modality,
@@ -51,11 +51,12 @@ VIEWS = {
     "v_answers": """SELECT paper_id AS sheet_id, paper_id, o_custkey AS student_id, qid, CASE l_suppkey % 4 WHEN 0 THEN answer
         WHEN 1 THEN split_part(replace(answer, ',', ' '), ' ', 1) WHEN 2 THEN '  ' ELSE upper(answer) END AS answer
         FROM v_questions JOIN orders ON paper_id = o_orderkey WHERE l_suppkey % 11 <> 0""",
-    "v_model_outputs": """SELECT paper_id, qid, score AS max_score, CASE qid % 5 WHEN 0 THEN j WHEN 1 THEN '```json
+    "v_model_outputs": """SELECT paper_id, qid, l_suppkey, stem, score AS max_score, CASE qid % 5 WHEN 0 THEN j WHEN 1 THEN '```json
 ' || j || '
 ```' WHEN 2 THEN 'Here you are: ' || j || ' - done' WHEN 3 THEN '{{"verdict": ' ELSE '' END AS output FROM (SELECT *, '{{"verdict": "' ||
-        CASE WHEN l_suppkey % 3 = 0 THEN 'Fail ' ELSE 'pass' END || '", "knowledge": ' || CAST(l_suppkey % 9 - 1 AS VARCHAR(20)) || ', "steps": ' ||
-        CAST(l_suppkey % 5 AS VARCHAR(20)) || ', "conclusion": ' || CAST(l_suppkey % 7 AS VARCHAR(20)) || ', "language": 2}}' AS j FROM v_questions) m""",
+        CASE WHEN l_suppkey % 3 = 0 THEN 'Fail ' ELSE 'pass' END || '", "dimensions": [{{"key": " Knowledge ", "score": ' || CAST(l_suppkey % 9 - 1 AS VARCHAR(20)) || CASE WHEN l_suppkey % 2 = 0 THEN '.7' ELSE '' END ||
+        ', "source_refs": [" ' || stem || '", "nowhere"]}}, {{"key": "步骤", "score": "' || CAST(l_suppkey % 5 AS VARCHAR(20)) || CASE WHEN l_suppkey % 4 = 0 THEN '.5' ELSE '' END ||
+        '"}}, "odd", {{"key": "结论", "score": ' || CAST(l_suppkey % 7 AS VARCHAR(20)) || '}}, {{"key": "language", "score": 9}}, {{"key": "规范性", "score": 2, "comment": " fine "}}]}}' AS j FROM v_questions) m""",
     "v_agent_tasks": """SELECT o_orderkey AS task_id, o_custkey AS user_id, o_orderkey % 25 AS kb_id, CASE o_orderstatus WHEN 'F' THEN 'success'
         WHEN 'P' THEN 'failed' ELSE 'executing' END AS status, CAST(floor(o_totalprice) AS BIGINT) AS duration_ms, coalesce(n, 0) AS steps
         FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) s ON l_orderkey = o_orderkey""",
@@ -117,10 +118,10 @@ class Tables:
             raise AttributeError(name)
         if name == "v_relevant":  # the same rows without comparing every pair
             return passages_in(self.documents, self.benchmark)
-        if name == "v_chunks":  # used several times by most plans: computed once
-            if "_chunks" not in self.__dict__:
-                self._chunks = written(self._view(name), "chunks")
-            return self._chunks
+        if name in ("v_chunks", "v_questions"):  # used several times by most plans: computed once
+            if f"_{name}" not in self.__dict__:
+                self.__dict__[f"_{name}"] = written(self._view(name), name)
+            return self.__dict__[f"_{name}"]
         return self._view(name)
 
     def _view(self, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 SF = "/root/testdata/sf0.001"
-PICK = ["clean_text", "extract_json_object", "kbs_for_user", "apply_member_changes", "kb_counters", "hybrid_retrieve", "groundedness",
+PICK = ["clean_text", "split_pages", "chunk_recursive", "grade_subjective_parse", "parse_rewrites", "sanitize_filename", "filter_page_noise", "extract_json_object", "kbs_for_user", "apply_member_changes", "kb_counters", "hybrid_retrieve", "groundedness",
         "merge_regenerated", "grade_objective", "knowledge_balance", "stream_document_status", "ndcg_at_k", "export_exam_markdown"]
 
 
@@ -141,25 +141,90 @@ def test_passages_without_all_pairs(spark):
     assert sorted(map(tuple, got)) == sorted((i, d) for i, x in items for d, t in docs if x is not None and t is not None and x in t)
 
 
+def pages_by_rule(text, size):
+    """A page is closed by the line with which its lines, ends not counted, have ``size`` characters."""
+    if not text.strip():
+        return [""]
+    closed = 0
+    starts = [0]
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        closed += len(line)
+        if closed >= size:
+            starts.append(i + 1)
+            closed = 0
+    return ["\n".join(lines[a:b]) for a, b in zip(starts, [*starts[1:], len(lines)], strict=True) if a < len(lines)]
+
+
 def test_page_rule(spark):
     from pyspark.sql import functions as F
 
     from lectern.operators.structure import split_pages
 
-    def plain(text):
-        pages, held, n = [], [], 0
-        for line in text.split("\n"):
-            held.append(line)
-            n += len(line) + 1
-            if n >= 100:
-                pages.append("\n".join(held).strip())
-                held, n = [], 0
-        pages += ["\n".join(held).strip()] if held else []
-        return [p for p in pages if p] or [""]
-
-    texts = ["", "  ", "short", "\n".join("line %d is here" % i for i in range(50)), "z" * 500 + "\nend"]
+    texts = ["", "  ", "short", " kept \n", "\n".join("line %d is here" % i for i in range(50)), "z" * 500 + "\nend", "a" * 100, "a" * 99 + "\n\nb" + "\n" * 5, "\n".join(["x" * 50] * 2 + [""] * 3)]
     got = spark.createDataFrame([(t,) for t in texts], "text string").select(split_pages(F.col("text"), 100)).collect()
-    assert [r[0] for r in got] == [plain(t) for t in texts]
+    assert [r[0] for r in got] == [pages_by_rule(t, 100) for t in texts]
+    assert got[6][0] == ["a" * 100] and got[5][0] == ["z" * 500, "end"]
+
+
+def test_recursive_chunks_by_hand():
+    from lectern.operators.structure import pack_pieces
+
+    # 6 + 1 + 5 = 12 fits, one more word does not; the overlap opens the next chunk and counts with the joining line end.
+    assert pack_pieces([(1, ["aaaaaa", "bbbbb"])], 12, 3) == [(1, "aaaaaa\nbbbbb")]
+    assert pack_pieces([(1, ["aaaaaa", "bbbbb", "c"])], 12, 3) == [(1, "aaaaaa\nbbbbb"), (1, "bbb\nc")]
+    assert pack_pieces([(1, ["aaaaaaaaaaaaaaa"]), (2, ["b", "cc"])], 12, 3) == [(1, "a" * 15), (2, "aaa\nb\ncc")]
+    assert pack_pieces([(1, ["aaaa", "b"]), (2, ["cccccccccc"])], 12, 1) == [(1, "aaaa\nb"), (2, "b\ncccccccccc")]
+    assert pack_pieces([], 12, 3) == []
+
+
+def test_groundedness_of_a_text_against_itself(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.operators.retrieve import groundedness
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("text rlike '[A-Za-z]{2}'")
+    rows = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("answer"), F.array("text").alias("contexts"))
+    assert groundedness(rows).filter("confidence < 1").count() == 0
+    cases = [(1, "Alpha Beta Gamma", ["alpha beta gamma"]), (2, "Alpha Beta Gamma", ["Alpha and others"]), (3, "Alpha Beta Gamma Delta", ["x Alpha y"]), (4, "未找到", ["x"]), (5, "Alpha", []), (6, "not found", None)]
+    frame = spark.createDataFrame(cases, "query_id int, answer string, contexts array<string>")
+    got = {r.query_id: (round(r.confidence, 4), r.grounded) for r in groundedness(frame).collect()}
+    assert got == {1: (0.0, False), 2: (0.3333, True), 3: (0.25, False), 4: (1.0, True), 5: (0.0, False), 6: (1.0, True)}
+
+
+def test_subjective_grading_by_hand(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from lectern.operators import exam as E
+
+    one = {"dimensions": [{"key": " 知识点匹配度 ", "score": 3.7, "comment": " good ", "source_refs": [" in text ", "elsewhere", ""]}, {"key": "STEPS", "score": "4"}, {"key": "结论", "score": "2.5"}, {"key": "language", "score": -3}]}
+    two = {"dimensions": [{"key": "steps", "score": 99}, "noise", {"key": "steps", "score": True}, {"key": "语言", "score": None}, {"score": 2}], "missing": ["x"]}
+    outputs = [json.dumps(one, ensure_ascii=False), "```json\n" + json.dumps(two, ensure_ascii=False) + "\n```", "no json", None, '{"dimensions": "x"}', '{"knowledge": 5}']
+    frame = spark.createDataFrame(list(enumerate(outputs)), "i int, o string")
+    got = E.grade_subjective(frame, F.col("o"), [F.lit(6), F.lit(6), F.lit(4), F.lit(4)], F.lit("what is in text here")).orderBy("i").collect()
+    scores = [[d["score"] for d in r.scores] for r in got]
+    assert scores == [[3, 4, 0, 0], [0, 1, 0, 0], [0] * 4, [0] * 4, [0] * 4, [0] * 4]
+    assert got[0].scores[0]["source_refs"] == ["in text"] and got[0].scores[0]["comment"] == "good" and [d["max_score"] for d in got[0].scores] == [6, 6, 4, 4]
+
+
+def test_text_rules_by_hand(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.functions import text as X
+    from lectern.operators.structure import filter_page_noise
+
+    names = {"a\\b.md": "a_b.md", "dir/": "unnamed", "": "unnamed", "../.hidden.txt": "hidden.txt", "x" * 250 + ".md": "x" * 196 + ".md", "é 课-1.txt": "é_课-1.txt", "y" * 250: "y" * 196}
+    got = spark.createDataFrame([(k,) for k in names], "n string").select("n", X.sanitize_filename(F.col("n")).alias("o")).collect()
+    assert {r.n: r.o for r in got} == names
+    outputs = {"1. what's new\n2) don't panic": ["q", "what's new", "don't panic"], '["a", " ", "q", "b", "c"]': ["q", "a", "b"], '- "say \'x\'"\n- 1. y': ["q", "say \'x", "1. y"], "": ["q"], None: ["q"], "· q\n· q": ["q"], "{}": ["q", "{}"], '"a"\na\nb': ["q", "a", "b"]}
+    got = spark.createDataFrame([(k,) for k in outputs], "o string").select("o", X.parse_rewrites(F.col("o"), F.lit("q")).alias("r")).collect()
+    assert {r.o: list(r.r) for r in got} == outputs
+    page = lambda n: f"12\n第 3 页\nPage 3 of 9\n- 12 -\npage 7\n3 / 9\n--\n汉字\nbody {n}"
+    rows = spark.createDataFrame([(1, n, page(n)) for n in (1, 2, 3)] + [(2, n, page(n)) for n in (1, 2)], "doc_id bigint, page_number int, text string")
+    left = {(r.doc_id, r.page_number): r.text for r in filter_page_noise(rows).collect()}
+    assert left[1, 2] == "Page 3 of 9\n- 12 -\n汉字\nbody 2" and left[2, 1] == page(1)
 
 
 def test_cache_fold_equals_stream(spark):
