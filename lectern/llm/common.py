@@ -59,6 +59,30 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if table_bytes(df) <= limit else df
 
 
+#: A key is hot from so many rows on, or from this share of all rows: at most 1 / HOT_SHARE keys are.
+HOT_ROWS, HOT_SHARE = 256, 1e-4
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key (both written), without a task for a hot key.
+
+    Within ``limit`` the table is broadcast. Beyond it the entries of hot keys, of which there are at most
+    10,000, are broadcast (if they in turn are within the limit) and the other rows are shuffled.
+    ``counted`` are the written rows to count keys in where ``rows`` are not written themselves.
+    """
+    if table_bytes(table) <= limit:
+        return rows.join(F.broadcast(table), key, how)
+    counted = rows if counted is None else counted
+    least = max(HOT_ROWS, int(counted.count() * HOT_SHARE))
+    often = materialise(counted.groupBy(key).count().filter((F.col("count") >= least) & F.col(key).isNotNull()).select(key), "hot-keys")
+    if often.isEmpty():
+        return rows.join(table, key, how)
+    entries = materialise(table.join(F.broadcast(often), key, "left_semi"), "hot-entries")
+    hot = rows.join(F.broadcast(often), key, "left_semi").join(small_enough(entries, max(limit, BROADCAST_BYTES)), key, how)
+    rest = rows.join(F.broadcast(often), key, "left_anti").join(table, key, how)
+    return hot.unionByName(rest)
+
+
 def buckets_of(spark: SparkSession) -> int:
     """Buckets that packed exchanges are dealt into: 16 for each shuffle partition of the session."""
     return 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))

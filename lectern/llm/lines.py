@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import binary_column, buckets_of, materialise, packed, slices, small_enough
+from lectern.llm.common import binary_column, buckets_of, looked_up, materialise, packed, slices, small_enough
 from lectern.llm.components import components
 from lectern.llm.metric import links, shared_cells
 from lectern.llm.shingles import LOWER, mix
@@ -233,14 +233,13 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, min_chars: in
     info = materialise(bodies.mapInArrow(_sketches, "id binary, n bigint, sketch binary, body binary"), "line-info")
     whole = lambda ids: info.select("id", "body").join(small_enough(ids), "id", "left_semi")
     roots = components(links(cells, info.select("id", "n", "sketch"), whole, line_set, percent))
-    grouped = places.join(small_enough(roots), "id", "left").select(
+    grouped = looked_up(places, roots, "id", "left").select(
         F.coalesce("root", "id").alias("root"), F.struct("doc_id", "r1", "r2", "place").alias("at")
     )
     grouped = materialise(grouped, "line-groups")
-    several = materialise(grouped.groupBy("root").count().filter("count > 1").select("root"), "line-several")
-    grouped = grouped.join(small_enough(several), "root", "left_semi")
-    first = materialise(grouped.groupBy("root").agg(F.min("at").alias("first")), "line-first")
-    lost = grouped.join(small_enough(first), "root").filter("at <> first")
+    several = grouped.groupBy("root").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = materialise(several.select("root", "first"), "line-first")
+    lost = looked_up(grouped, first, "root").filter("at <> first")
     return lost.groupBy(F.col("at.r1").alias("r1"), F.col("at.r2").alias("r2")).agg(F.collect_set("at.place").alias("places"))
 
 
@@ -264,7 +263,11 @@ def dedup_lines(
     gone = lost.select(F.col("r1").alias(own + "1"), F.col("r2").alias(own + "2"), F.col("places").alias(own + "places"))
     joined, places = keyed.join(small_enough(gone), [own + "1", own + "2"], "left"), F.col(own + "places")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(places, i)), "\n")
+    # Places that stay as a set difference, so that a text of many lines costs as much as its length.
+    joined = joined.withColumn(own + "lines", F.when(places.isNotNull(), lines))
+    split = F.col(own + "lines")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), places)
+    kept = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
     joined = joined.withColumns({
         own + "kept": F.when(places.isNotNull(), kept).otherwise(F.col(text_col)),
         "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("bigint"), "n_removed": F.coalesce(F.size(places), F.lit(0)).cast("bigint"),

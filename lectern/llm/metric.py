@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import materialise, small_enough
+from lectern.llm.common import looked_up, materialise, small_enough
 from lectern.llm.components import components
 from lectern.llm.sketches import Sketches, differing, may_link
 
@@ -72,7 +72,7 @@ def verified(pairs: DataFrame, bodies: Callable[[DataFrame], DataFrame], to_set:
     whole = materialise(bodies(wanted), "pair-bodies")
     left = whole.select(F.col("id").alias("a"), F.col("body").alias("s"))
     right = whole.select(F.col("id").alias("b"), F.col("body").alias("t"))
-    joined = left.join(small_enough(pairs), "a").join(right, "b").select("a", "b", "s", "t")
+    joined = looked_up(left.join(small_enough(pairs), "a"), right, "b", counted=pairs).select("a", "b", "s", "t")
     return materialise(joined.mapInArrow(_verifier(to_set, percent), "a binary, b binary"), "links")
 
 
@@ -90,10 +90,10 @@ def _sketch_filter(percent: int):
 
 
 def _stars(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    pairs = materialise(pairs.distinct(), "stars")
-    for side in "ab":
+    pairs = written = materialise(pairs.distinct(), "stars")
+    for side in "ab":  # a pivot is one side of very many pairs
         named = info.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
-        pairs = pairs.join(named, side)
+        pairs = looked_up(pairs, named, side, counted=written)
     return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketch_filter(percent), "a binary, b binary")
 
 

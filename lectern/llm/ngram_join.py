@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import binary_column, buckets_of, materialise, packed, slices, small_enough
+from lectern.llm.common import binary_column, buckets_of, looked_up, materialise, packed, slices, small_enough
 from lectern.llm.components import components
 from lectern.llm.metric import links, shared_cells
 from lectern.llm.shingles import shingle_set
@@ -218,5 +218,5 @@ def jaccard_components(
     least = materialise(items.join(small_enough(roots), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "first"), "ngram-roots")
     linked = least.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = materialise(least.join(linked, "root").select("id", "component_id"), "ngram-groups")
-    named = sketch.filter("n > 0").join(small_enough(groups), "id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    named = looked_up(sketch.filter("n > 0"), groups, "id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return named.unionByName(sketch.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
