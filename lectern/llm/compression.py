@@ -24,7 +24,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import binary_column, materialise, slices, small_enough
+from lectern.llm.common import binary_column, materialise, slices
 
 #: Bytes from which on a window ends at the next word's end; a run without white space is cut at LONG_RUN bytes.
 WINDOW, LONG_RUN = 48, 256
@@ -277,14 +277,15 @@ def train(
     """
     marked = labels.select(F.col(label_id).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)").distinct()
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    known = rows.join(marked, "doc_id").select("label", F.xxhash64("text").alias("h"), "text")
-    hashes = materialise(known.select("label", "h").distinct(), "toxic-hashes")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # Ids and hashes meet the labels; texts only meet the few hashes that were chosen.
+    hashes = materialise(rows.select("doc_id", "h").join(marked, "doc_id").select("label", "h").distinct(), "toxic-hashes")
     counts = {r["label"]: r["count"] for r in hashes.groupBy("label").count().collect()}
     chosen = None
     for label, limit in ((1, toxic_rows), (0, ordinary_rows)):
         least = hashes.filter(F.col("label") == label).orderBy("h").limit(limit)
         chosen = least if chosen is None else chosen.unionByName(least)
-    sample = known.join(small_enough(materialise(chosen, "toxic-chosen")), ["label", "h"])
+    sample = rows.join(F.broadcast(chosen), "h").select("label", "h", "text")
     sample = sample.mapInArrow(_sampled, "label int, h bigint, text binary").groupBy("label", "h").agg(F.min("text").alias("text"))
     texts: dict[int, list[tuple]] = {0: [], 1: []}
     for r in sample.collect():  # at most the two sample sizes
