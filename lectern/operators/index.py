@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,22 +38,47 @@ def hashing_embed(texts: DataFrame, keys: str | list[str], text: str, dim: int =
     return rows.mapInArrow(count, StructType([*rows.select(*keys).schema.fields, StructField("embedding", ArrayType(FloatType()))]))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(kb_id, chunk_id, term, tf)."""
-    words = chunks.select("kb_id", "chunk_id", F.explode(tokenize(F.col("text"))).alias("term"))
-    return words.groupBy("kb_id", "chunk_id", "term").agg(F.count("*").alias("tf"))
+def bags(chunks: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """(kb_id, chunk_id, extra, dl, terms, tfs): each chunk's tokens, counted inside its row; no rows move."""
+    names = ["kb_id", "chunk_id", *(extra or [])]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counted = [Counter(x or ()) for x in batch.column(len(names)).to_pylist()]
+            columns = [pa.array([sum(c.values()) for c in counted], pa.int64()), pa.array([list(c) for c in counted], pa.list_(pa.string())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], [*names, "dl", "terms", "tfs"])
+
+    rows = chunks.select(*names, tokenize(F.col("text")).alias("words"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+    return rows.mapInArrow(count, f"{kept}, dl bigint, terms array<string>, tfs array<bigint>")
+
+
+def corpus_stats(bag: DataFrame) -> DataFrame:
+    """(kb_id, n, total): chunks of each knowledge base and their tokens; sums, so parts of an index add up."""
+    return bag.groupBy("kb_id").agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
+
+
+def term_stats(bag: DataFrame) -> DataFrame:
+    """(kb_id, term, df), of which parts of an index add up, too."""
+    return bag.select("kb_id", F.explode("terms").alias("term")).groupBy("kb_id", "term").agg(F.count("*").alias("df"))
+
+
+def idf(terms: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(kb_id, term, idf, avgdl) from ``term_stats`` and ``corpus_stats``."""
+    weight = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    return terms.join(corpus, "kb_id").select("kb_id", "term", weight.alias("idf"), (F.col("total") / F.col("n")).alias("avgdl"))
 
 
 def bm25_index(chunks: DataFrame) -> DataFrame:
     """Postings with what scoring needs: (kb_id, chunk_id, term, tf, dl, idf, avgdl), statistics per knowledge base."""
-    post = written(postings(chunks), "postings")
-    lengths = post.groupBy("kb_id", "chunk_id").agg(F.sum("tf").alias("dl"))
-    corpus = chunks.groupBy("kb_id").agg(F.count("*").alias("n")).join(lengths.groupBy("kb_id").agg(F.sum("dl").alias("total")), "kb_id", "left")
-    corpus = corpus.select("kb_id", "n", (F.coalesce("total", F.lit(0)) / F.col("n")).alias("avgdl"))
-    df = post.groupBy("kb_id", "term").agg(F.count("*").alias("df")).join(corpus, "kb_id")
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    terms = df.select("kb_id", "term", idf.alias("idf"), "avgdl")
-    return post.join(lengths, ["kb_id", "chunk_id"]).join(terms, ["kb_id", "term"]).select("kb_id", "chunk_id", "term", "tf", "dl", "idf", "avgdl")
+    bag = written(bags(chunks), "bags")
+    return postings(bag, idf(term_stats(bag), corpus_stats(bag)))
+
+
+def postings(bag: DataFrame, weights: DataFrame) -> DataFrame:
+    """The bags' terms one a row, with their weights."""
+    post = bag.select("kb_id", "chunk_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("kb_id", "chunk_id", "dl", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
+    return post.join(weights, ["kb_id", "term"]).select("kb_id", "chunk_id", "term", "tf", "dl", "idf", "avgdl")
 
 
 def upsert(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,14 +96,69 @@ def reindex_documents(current: DataFrame, new: DataFrame) -> DataFrame:
     return delete_documents(current, new.select("kb_id", "doc_id").distinct()).select(*new.columns).unionByName(new)
 
 
-def write_index(rows: DataFrame, path: str) -> None:
-    """One folder for each knowledge base, so a search reads only those it asks for."""
-    rows.write.mode("overwrite").partitionBy("kb_id").parquet(path)
+class StoredIndex:
+    """A keyword index on disk, one folder for each knowledge base, grown by segments.
 
+    ``bags/kb_id=K/segment=S`` holds chunks, ``gone/kb_id=K/segment=S`` the documents whose chunks of earlier segments no
+    longer count, ``terms`` and ``corpus`` what the segment adds to document frequencies, chunk counts and lengths (less than nothing
+    for what it takes away). A change reads and writes the folders of its own knowledge bases only, and what a search needs
+    of statistics is a sum of small tables. A segment that is written again replaces itself.
+    """
 
-def load_index(spark, path: str, schema=None) -> DataFrame:
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    def _table(self, name: str, schema: str, kbs: list[int] | None) -> DataFrame:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], f"{schema}, kb_id bigint, segment int")
+        rows = self.spark.read.schema(f"{schema}, kb_id bigint, segment int").parquet(f"{self.path}/{name}")
+        return rows if kbs is None else rows.filter(F.col("kb_id").isin(kbs))
+
+    def _write(self, name: str, rows: DataFrame, segment: int) -> None:
+        out = rows.withColumn("segment", F.lit(segment)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy("kb_id", "segment").parquet(f"{self.path}/{name}")
+
+    def bags(self, kbs: list[int] | None = None) -> DataFrame:
+        """Chunks that count: (kb_id, chunk_id, doc_id, dl, terms, tfs) of all or the given knowledge bases."""
+        rows = self._table("bags", "chunk_id string, doc_id bigint, dl bigint, terms array<string>, tfs array<bigint>", kbs)
+        gone = self._table("gone", "doc_id bigint", kbs).groupBy("kb_id", "doc_id").agg(F.max("segment").alias("until"))
+        live = rows.join(gone, ["kb_id", "doc_id"], "left").filter(F.col("until").isNull() | (F.col("segment") >= F.col("until")))
+        return live.select("kb_id", "chunk_id", "doc_id", "dl", "terms", "tfs")
+
+    def weights(self, kbs: list[int] | None = None) -> DataFrame:
+        """(kb_id, term, idf, avgdl) as the sum of what the segments added."""
+        terms = self._table("terms", "term string, df bigint", kbs).groupBy("kb_id", "term").agg(F.sum("df").alias("df")).filter("df > 0")
+        corpus = self._table("corpus", "n bigint, total bigint", kbs).groupBy("kb_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        return idf(terms, corpus)
+
+    def change(self, chunks: DataFrame, deleted: DataFrame, segment: int) -> None:
+        """All chunks of the documents in ``chunks`` (kb_id, doc_id, chunk_id, text) in place of theirs; those of ``deleted`` (kb_id, doc_id) gone."""
+        new = written(bags(chunks, ["doc_id"]), "segment")
+        gone = written(deleted.select("kb_id", "doc_id").unionByName(new.select("kb_id", "doc_id")).distinct(), "gone")
+        kbs = [r[0] for r in gone.select("kb_id").distinct().collect()]  # knowledge bases that change
+        if not kbs:
+            return
+        earlier = self.bags(kbs) if segment else new.limit(0)
+        old = written(earlier.join(gone, ["kb_id", "doc_id"], "left_semi"), "replaced")
+        minus = lambda rows, *names: rows.withColumns({c: -F.col(c) for c in names})
+        terms = term_stats(new).unionByName(minus(term_stats(old), "df")).groupBy("kb_id", "term").agg(F.sum("df").alias("df")).filter("df <> 0")
+        corpus = corpus_stats(new).unionByName(minus(corpus_stats(old), "n", "total")).groupBy("kb_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        for name, rows in (("terms", terms), ("corpus", corpus), ("gone", gone), ("bags", new)):
+            self._write(name, rows, segment)
+
+
+def write_index(chunks: DataFrame, path: str) -> StoredIndex:
+    """A stored index of (kb_id, doc_id, chunk_id, text)."""
+    index = StoredIndex(chunks.sparkSession, path)
+    index.change(chunks, chunks.select("kb_id", "doc_id").limit(0), 0)
+    return index
+
+
+def load_index(spark, path: str, kbs: list[int] | None = None) -> DataFrame:
+    """The postings of a stored index as ``bm25_index`` gives them; only the folders of ``kbs`` are read."""
+    index = StoredIndex(spark, path)
+    return postings(index.bags(kbs), index.weights(kbs))
 
 
 def index_images(images: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.sources.scratch import written
+
 #: What a role may do; a higher level includes the lower ones, an unknown role has none.
 LEVELS = {"owner": 100, "admin": 80, "write": 50, "read": 20}
-#: Requests of one key from which on its fold is cut, at the next gap beyond the time to live.
-CACHE_ROWS = 50_000
 
 
 def live(rows: DataFrame) -> DataFrame:
@@ -83,15 +83,34 @@ def partial_update(rows: DataFrame, changes: DataFrame, key: str, fields: list[s
     return out.withColumns({f: F.coalesce(f"_{f}", f) for f in fields}).drop(*[f"_{f}" for f in fields])
 
 
-def floored_counter(deltas: DataFrame, key: str, order: list[str]) -> DataFrame:
+def _composed(parts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, shift, floor) of the maps x -> max(x + shift, floor) of each group, applied in the order of ``_b``."""
+    ordered = F.array_sort(F.collect_list(F.struct("_b", "shift", "floor")))
+    none = F.struct(F.lit(0).cast("bigint").alias("shift"), F.lit(0).cast("bigint").alias("floor"))
+    then = lambda s, x: F.struct(
+        (s["shift"] + x["shift"]).alias("shift"), F.greatest(s["floor"] + x["shift"], x["floor"]).alias("floor")
+    )
+    return parts.groupBy(*by).agg(F.aggregate(ordered, none, then).alias("m")).select(*by, "m.shift", "m.floor")
+
+
+def floored_counter(deltas: DataFrame, key: str, order: list[str], block: int = 4_096, fan: int = 256) -> DataFrame:
     """(key, value): running sum of ``delta`` in order, never below 0 after any step.
 
-    The final value is the total less the least of all running totals and 0 (Lindley), so a window
-    and an aggregate do; no row waits for another in a fold.
+    Steps in a row are one map x -> max(x + shift, floor), and such maps compose. Each key's rows are cut into blocks
+    of ``block`` values of the first order column (whole numbers); blocks become maps on their own, and ``fan``
+    maps at a time are composed until one is left, so no task ever holds a key's rows.
     """
-    running = F.sum("delta").over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    rows = deltas.withColumn("_r", running)
-    return rows.groupBy(key).agg((F.sum("delta") - F.least(F.min("_r"), F.lit(0))).alias("value"))
+    rows = deltas.withColumn("_b", F.floor(F.col(order[0]) / block))
+    in_block = Window.partitionBy(key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_r", F.sum("delta").over(in_block))
+    # The largest sum behind any step of the block, that behind the last one being 0.
+    parts = rows.groupBy(key, "_b").agg(F.sum("delta").alias("shift"), (F.sum("delta") - F.min("_r")).alias("floor"))
+    parts = written(parts, "counter-blocks")
+    low, high = parts.agg(F.min("_b"), F.max("_b")).first()
+    while low is not None and high - low >= fan:
+        parts = _composed(parts.withColumn("_up", F.floor(F.col("_b") / fan)), [key, "_up"]).withColumnRenamed("_up", "_b")
+        low, high = low // fan, high // fan
+    return _composed(parts, [key]).select(key, F.greatest("shift", "floor").alias("value"))
 
 
 def latest_fields(rows: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
@@ -117,27 +136,47 @@ def audit_query(rows: DataFrame, start=None, end=None, **equal) -> DataFrame:
     return rows if end is None else rows.filter(F.col("created_at") <= F.lit(end))
 
 
-def query_cache(requests: DataFrame, ttl: int) -> DataFrame:
+def _next_after(nodes: DataFrame, ttl: int, rows: int) -> DataFrame:
+    """(key, at, to): for each time of a key the key's first time later than ``at`` + ``ttl``, NULL if there is none.
+
+    Times are cut into spans of equal width, about ``rows`` of them in each over all keys. The wanted time is in the span
+    that holds ``at`` + ``ttl`` or is the first of the key's next span that has any.
+    """
+    low, high, n = nodes.agg(F.min("at"), F.max("at"), F.count("*")).first()
+    width = max(1, ((high or 0) - (low or 0)) * rows // max(1, n))
+    span = lambda c: F.floor(c / width)
+    asked = nodes.select("key", "at", (F.col("at") + ttl).alias("place"), F.lit(False).alias("there"))
+    there = nodes.select("key", F.lit(None).cast("bigint").alias("at"), F.col("at").alias("place"), F.lit(True).alias("there"))
+    later = Window.partitionBy("key", "span").orderBy("place", F.desc("there")).rowsBetween(1, Window.unboundedFollowing)
+    both = asked.unionByName(there).withColumn("span", span(F.col("place")))
+    found = both.withColumn("to", F.first(F.when(F.col("there"), F.col("place")), ignorenulls=True).over(later)).filter("not there")
+    # Where the span has nothing later, one row for the span asks the key's spans for the next first time.
+    firsts = nodes.groupBy("key", span(F.col("at")).alias("span")).agg(F.min("at").alias("first"))
+    open_ = found.filter("to is null").select("key", "at", "span")
+    marks = firsts.unionByName(open_.select("key", "span").distinct().withColumn("first", F.lit(None).cast("bigint")))
+    ahead = Window.partitionBy("key").orderBy("span", F.asc_nulls_last("first")).rowsBetween(1, Window.unboundedFollowing)
+    told = marks.withColumn("to", F.first("first", ignorenulls=True).over(ahead)).filter("first is null").select("key", "span", "to")
+    return found.filter("to is not null").select("key", "at", "to").unionByName(open_.join(told, ["key", "span"]).select("key", "at", "to"))
+
+
+def query_cache(requests: DataFrame, ttl: int, rows: int = 10_000) -> DataFrame:
     """(key, event_id, hit): a hit is at most ``ttl`` seconds after the key's last miss; hits do not refresh.
 
-    A request later than ``ttl`` after the one before it is always a miss, so a key is cut there
-    about every ``CACHE_ROWS`` requests and each part is folded in time order; a part is the unit
-    of parallelism and of memory.
+    From a miss the next one is the key's first request later than ``ttl``. These pointers are found by a join of time spans
+    and doubled: in each round every known miss marks the one 1, 2, 4, ... misses on. So a key with very many
+    requests takes a few joins and no fold. Of requests at the same time the smallest event_id comes first; requests
+    without a time are misses.
     """
-    import pandas as pd
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "event_id"])
-        written, hits = None, []
-        for at in rows["ts"]:
-            hit = written is not None and (at - written).total_seconds() <= ttl
-            written = written if hit else at
-            hits.append(hit)
-        return rows.assign(hit=hits)[["key", "event_id", "hit"]]
-
-    in_order, at = Window.partitionBy("key").orderBy("ts", "event_id"), F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = F.coalesce(at - F.lag(at).over(in_order) > ttl * 1_000_000, F.lit(True))
-    rows = requests.select("key", "event_id", "ts").withColumns({"first": gap, "place": F.row_number().over(in_order)})
-    start = F.max(F.when(F.col("first"), F.col("place"))).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    parts = rows.withColumn("part", F.floor(start / CACHE_ROWS)).select("key", "part", "event_id", "ts")
-    return parts.groupBy("key", "part").applyInPandas(fold, "key string, event_id bigint, hit boolean")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    timed = written(requests.select("key", "event_id", at.alias("at")), "cache-requests")
+    nodes = written(timed.filter("at is not null").groupBy("key", "at").agg(F.min("event_id").alias("first_id")), "cache-times")
+    jump = written(_next_after(nodes.select("key", "at"), ttl * 1_000_000, rows).filter("to is not null"), "cache-jumps")
+    misses = written(nodes.groupBy("key").agg(F.min("at").alias("at")), "cache-misses")
+    while not jump.isEmpty():
+        reached = misses.join(jump, ["key", "at"]).select("key", F.col("to").alias("at"))
+        misses = written(misses.unionByName(reached).distinct(), "cache-misses")
+        again = jump.select("key", F.col("at").alias("to"), F.col("to").alias("far"))
+        jump = written(jump.join(again, ["key", "to"]).select("key", "at", F.col("far").alias("to")), "cache-jumps")
+    first = misses.join(nodes, ["key", "at"]).select("key", F.col("first_id").alias("event_id"), F.lit(False).alias("hit"))
+    out = timed.join(first, ["key", "event_id"], "left")
+    return out.select("key", "event_id", F.coalesce("hit", F.col("at").isNotNull()).alias("hit"))

@@ -6,15 +6,14 @@ sum was taken never decides.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.text import excerpt, no_answer_flag, strip, tokenize
+from lectern.sources.scratch import small_enough, written
 
 K1, B = 1.5, 0.75
 REFUSAL = "知识库中未找到相关信息，无法回答该问题。"
@@ -28,64 +27,130 @@ def top_k(hits: DataFrame, k: int, by: list[str], score: str = "score", tie: str
     return hits.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
 
-def bm25_search(queries: DataFrame, index: DataFrame, k: int = 20) -> DataFrame:
+def _parts(rows: DataFrame, by: list[str], size: int) -> DataFrame:
+    """(by, parts): how many parts of about ``size`` rows each group is dealt into."""
+    return written(rows.groupBy(*by).agg(F.ceil(F.count("*") / size).cast("int").alias("parts")), "parts")
+
+
+def _numbers(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def _bm25_scores(k: int):
+    """A part of a knowledge base's chunks with its weights, and a block of query terms, to the part's best ``k`` chunks of each query."""
+
+    def run(chunks: pa.Table, terms: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if chunks.num_rows and terms.num_rows:
+            # A word of the block with the queries that ask for it, as often as they do.
+            words, at = np.unique(terms["term"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+            queries, of = np.unique(terms["query_id"].to_numpy(), return_inverse=True)
+            asked = np.zeros((len(words) + 1, len(queries)))
+            asked[at, of] = terms["q"].to_numpy()
+            idf = np.zeros(len(words) + 1)
+            idf[at] = terms["idf"].to_numpy()
+            number = {w: i for i, w in enumerate(words.tolist())}
+            order = np.argsort(chunks["chunk_id"].to_numpy(zero_copy_only=False).astype(str), kind="stable")
+            chunks = chunks.take(pa.array(order))
+            for start in range(0, chunks.num_rows, 4_096):
+                part = chunks.slice(start, 4_096)
+                lists = part["terms"].combine_chunks()
+                sizes, tf = lists.value_lengths().to_numpy(), part["tfs"].combine_chunks().flatten().to_numpy().astype(float)
+                seen = lists.flatten().dictionary_encode()
+                term = np.array([number.get(w, len(words)) for w in seen.dictionary.to_pylist()], np.int64)[seen.indices.to_numpy()]
+                dl = np.repeat(part["dl"].to_numpy().astype(float), sizes)
+                share = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / terms["avgdl"][0].as_py()))
+                ends = np.cumsum(sizes)
+                used = np.flatnonzero(term < len(words))
+                scores = np.zeros((part.num_rows, len(queries)))
+                row = np.searchsorted(ends, used, "right")
+                for i, (first, last) in enumerate(zip(np.searchsorted(row, np.arange(part.num_rows)), np.searchsorted(row, np.arange(part.num_rows), "right"), strict=True)):
+                    if last > first:
+                        scores[i] = share[used[first:last]] @ asked[term[used[first:last]]]
+                names = part["chunk_id"].to_numpy(zero_copy_only=False)
+                for j in range(len(queries)):
+                    rounded = np.round(scores[:, j], 9)
+                    best = np.flatnonzero(scores[:, j] > 0)
+                    best = best[np.argsort(-rounded[best], kind="stable")][:k]  # ties stay in the order of chunk ids
+                    out.append((np.full(len(best), queries[j]), names[best], scores[best, j]))
+        kb = chunks["kb_id"][0].as_py() if chunks.num_rows else 0
+        n = sum(len(q) for q, _, _ in out)
+        whole = [np.concatenate([x[i] for x in out]) if n else [] for i in range(3)]
+        return pa.table({
+            "query_id": pa.array(whole[0], pa.int64()), "kb_id": pa.array([kb] * n, pa.int64()), "chunk_id": pa.array(whole[1], pa.string()), "score": pa.array(whole[2], pa.float64()),
+        })
+
+    return run
+
+
+def bm25_search(queries: DataFrame, bag: DataFrame, weights: DataFrame, k: int = 20, part_rows: int = 32_768, block: int = 1_024) -> DataFrame:
     """(query_id, kb_id, chunk_id, score, rank): the best positive scores of each query in each knowledge base.
 
-    Joins query terms with their postings only; repeated query terms count each time. Terms that
-    are very frequent skew the join by term, which adaptive execution splits.
+    ``bag`` (kb_id, chunk_id, dl, terms, tfs) and ``weights`` (kb_id, term, idf, avgdl) are an index. A knowledge base is dealt into
+    parts of about ``part_rows`` chunks, and queries come in blocks of about ``block``; a block's terms meet each part once with their
+    weights in that knowledge base. So no posting is shuffled by its term, however frequent that is, and only each
+    part's best ``k`` chunks go on. Repeated query terms count each time.
     """
     terms = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("q"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = index.join(terms, "term").groupBy("query_id", "kb_id", "chunk_id").agg(F.sum(F.col("q") * part).alias("score"))
-    return top_k(scored, k, ["query_id", "kb_id"]).filter("score > 0")
-
-
-def _block_search(queries: list, k: int, schema):
-    """Rows (kb_id, chunk_id, embedding) to the ``k`` best of each batch and knowledge base for every query."""
-    ids = [q["query_id"] for q in queries]
-    matrix = np.array([q["qv"] for q in queries], np.float64)
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), np.finfo(float).tiny)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for kb, rows in frame.groupby("kb_id", sort=False):
-                rows = rows.sort_values("chunk_id")
-                vectors = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-                score = matrix @ (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), np.finfo(float).tiny)).T
+    blocks = F.lit(max(1, -(-queries.count() // block)))
+    terms = written(terms.withColumn("block", F.pmod(F.xxhash64("query_id"), blocks).cast("int")), "query-terms")
+    wanted = written(terms.select("term").distinct(), "query-words")
+    parts = _parts(bag, ["kb_id"], part_rows)
+    by = ["kb_id", "part", "block"]
+    asked = weights.join(small_enough(wanted), "term", "left_semi").join(small_enough(terms), "term").join(small_enough(parts), "kb_id")
+    asked = written(asked.select("kb_id", _numbers(F.col("parts")).alias("part"), "block", "query_id", "term", "q", "idf", "avgdl"), "asked-terms")
+    dealt = bag.join(small_enough(parts), "kb_id").withColumn("part", F.pmod(F.xxhash64("chunk_id"), "parts").cast("int"))
+    dealt = dealt.select("kb_id", "part", _numbers(blocks).alias("block"), "chunk_id", "dl", "terms", "tfs")
+    found = dealt.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(_bm25_scores(k), "query_id bigint, kb_id bigint, chunk_id string, score double")
+    return top_k(found, k, ["query_id", "kb_id"])
+
+
+def _cosine_scores(k: int):
+    """A part of the vectors and a block of queries to the best ``k`` of each knowledge base for every query, as one matrix product each."""
+
+    def unit(column: pa.ChunkedArray, n: int) -> np.ndarray:
+        v = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), np.finfo(float).tiny)
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        out: list[pa.Table] = []
+        if rows.num_rows and queries.num_rows:
+            rows = rows.sort_by([("kb_id", "ascending"), ("chunk_id", "ascending")])
+            kbs, vectors, matrix = rows["kb_id"].to_numpy(), unit(rows["embedding"], rows.num_rows), unit(queries["qv"], queries.num_rows)
+            edges = np.flatnonzero(np.append(True, kbs[1:] != kbs[:-1])).tolist() + [len(kbs)]
+            for first, last in zip(edges[:-1], edges[1:], strict=True):
+                score = matrix @ vectors[first:last].T
                 best = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]  # ties stay in the order of chunk ids
-                chunk = rows["chunk_id"].to_numpy()
-                yield pd.DataFrame({
-                    "query_id": np.repeat(ids, best.shape[1]), "kb_id": kb, "chunk_id": chunk[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel(),
-                })
+                at = pa.array((best + first).ravel())
+                out.append(pa.table({
+                    "query_id": queries["query_id"].take(pa.array(np.repeat(np.arange(len(matrix)), best.shape[1]))), "kb_id": rows["kb_id"].take(at),
+                    "chunk_id": rows["chunk_id"].take(at), "score": pa.array(np.take_along_axis(score, best, 1).ravel()),
+                }))
+        if out:
+            return pa.concat_tables(out)
+        return pa.table({"query_id": queries["query_id"].slice(0, 0), "kb_id": rows["kb_id"].slice(0, 0), "chunk_id": rows["chunk_id"].slice(0, 0), "score": pa.array([], pa.float64())})
 
     return run
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 20, where: Column | None = None) -> DataFrame:
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 20, where: Column | None = None, part_rows: int = 16_384, block: int = QUERY_BLOCK) -> DataFrame:
     """Exact cosine neighbours of (query_id, qv) among (kb_id, chunk_id, embedding), best of each knowledge base.
 
-    Vectors are read once for each block of at most ``QUERY_BLOCK`` queries; a block meets a batch of vectors
-    as one matrix product, and only the best of each batch go on to the final ranking. Vectors of
-    another length than the queries, and null ones, take no part.
+    Vectors are dealt into parts of about ``part_rows`` rows and queries into blocks of at most about ``block``; each block meets each
+    part once, as a matrix product, and only the best of each part go on to the final ranking. Nothing passes through
+    the driver. Vectors and queries of different lengths never meet, and null ones take no part.
     """
-    rows = (vectors if where is None else vectors.filter(where)).select("kb_id", "chunk_id", "embedding")
-    queries = queries.select("query_id", "qv").filter("qv is not null")
-    total = queries.count()
-    kind = "query_id {}, kb_id {}, chunk_id {}, score double".format(
-        queries.schema["query_id"].dataType.simpleString(), rows.schema["kb_id"].dataType.simpleString(), rows.schema["chunk_id"].dataType.simpleString()
-    )
-    found = None
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    for b in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        if not block:
-            continue
-        fitting = rows.filter(F.size("embedding") == len(block[0]["qv"]))
-        part = fitting.mapInPandas(_block_search(block, k, kind), kind)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = rows.sparkSession.createDataFrame([], kind)
-    return top_k(found, k, ["query_id", "kb_id"])
+    rows = (vectors if where is None else vectors.filter(where)).select("kb_id", "chunk_id", "embedding", F.size("embedding").alias("dim"))
+    queries = queries.select("query_id", "qv", F.size("qv").alias("dim"))
+    rows, queries = written(rows.filter("dim > 0"), "vectors"), written(queries.filter("dim > 0"), "query-vectors")
+    sizes = lambda df, n, name: df.groupBy("dim").agg(F.ceil(F.count("*") / n).cast("int").alias(name))
+    both = written(sizes(rows, part_rows, "parts").join(sizes(queries, block, "blocks"), "dim"), "vector-parts")
+    kind = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((queries, "query_id"), (rows, "kb_id"), (rows, "chunk_id")))
+    by = ["dim", "part", "block"]
+    dealt = rows.join(small_enough(both), "dim").withColumns({"part": F.pmod(F.xxhash64("chunk_id"), "parts").cast("int"), "block": _numbers(F.col("blocks"))})
+    asked = queries.join(small_enough(both), "dim").withColumns({"block": F.pmod(F.xxhash64("query_id"), "blocks").cast("int"), "part": _numbers(F.col("parts"))})
+    dealt, asked = dealt.drop("parts", "blocks").groupBy(*by), asked.drop("parts", "blocks").groupBy(*by)
+    return top_k(dealt.cogroup(asked).applyInArrow(_cosine_scores(k), f"{kind}, score double"), k, ["query_id", "kb_id"])
 
 
 def minmax_normalize(hits: DataFrame, by: list[str] = ("query_id",)) -> DataFrame:
@@ -112,10 +177,10 @@ def rerank_overlap(candidates: DataFrame, k: int) -> DataFrame:
     return top_k(rows.withColumn("score", score).drop("_q", "_d"), k, ["query_id"])
 
 
-def hybrid_retrieve(queries: DataFrame, query_vectors: DataFrame, chunks: DataFrame, index: DataFrame, vectors: DataFrame, k: int = 5,
+def hybrid_retrieve(queries: DataFrame, query_vectors: DataFrame, chunks: DataFrame, index: tuple[DataFrame, DataFrame], vectors: DataFrame, k: int = 5,
                     channel_k: int = 20, candidates: int = 20) -> DataFrame:
     """Keyword and vector hits, fused, cut to candidates, reranked: (query_id, rank, kb_id, chunk_id, score)."""
-    fused = hybrid_fuse(bm25_search(queries, index, channel_k), vector_search(query_vectors, vectors, channel_k))
+    fused = hybrid_fuse(bm25_search(queries, *index, channel_k), vector_search(query_vectors, vectors, channel_k))
     best = top_k(fused, candidates, ["query_id"]).select("query_id", "kb_id", "chunk_id")
     # Texts are joined only to the candidates that are left.
     texts = best.join(chunks.select("kb_id", "chunk_id", "text"), ["kb_id", "chunk_id"]).join(queries.select("query_id", "query"), "query_id")

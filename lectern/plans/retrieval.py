@@ -9,6 +9,7 @@ from lectern.operators import index as I
 from lectern.operators import retrieve as R
 from lectern.operators import structure as S
 from lectern.plans.registry import query
+from lectern.sources.scratch import written
 
 _W = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 #: Whole BM25 in SQL: hits(query_id, kb_id, chunk_id, score) as ``bm``.
@@ -40,8 +41,13 @@ _HYBRID = f"""cand AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 _ALL = f"{_BM25}, {_VEC}, {_FUSED}, {_HYBRID}"
 
 
+def _index(t):
+    bag = written(I.bags(t.v_chunks), "bags")
+    return bag, I.idf(I.term_stats(bag), I.corpus_stats(bag))
+
+
 def _bm25(t):
-    return R.bm25_search(t.v_queries, I.bm25_index(t.v_chunks))
+    return R.bm25_search(t.v_queries, *_index(t))
 
 
 def _vectors(t):
@@ -52,7 +58,7 @@ def _vectors(t):
 
 def hits(t, k=5):
     chunks, queries = _vectors(t)
-    return R.hybrid_retrieve(t.v_queries, queries, t.v_chunks, I.bm25_index(t.v_chunks), chunks, k)
+    return R.hybrid_retrieve(t.v_queries, queries, t.v_chunks, _index(t), chunks, k)
 
 
 def _six(df):

@@ -21,7 +21,7 @@ def stream_audit_counts(t):
 
 @query("stream_hash_dedup", "SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) AS kb_id, sha256(text) AS file_hash FROM documents")
 def stream_hash_dedup(t):
-    seen = F.timestamp_seconds(F.col("doc_id") + 1_700_000_000)
+    seen = F.timestamp_micros(F.col("doc_id") + 1_700_000_000_000_000)
     rows = _stream(t, "documents").select(F.substring("source", 4, 9).cast("bigint").alias("kb_id"), F.sha2("text", 256).alias("file_hash"), seen.alias("seen_at"))
     return S.hash_dedup(rows)
 

@@ -254,19 +254,96 @@ def test_hooks(spark):
     assert out[1] == ("A B", None) and out[2][0] is None and "no prompt" in out[2][1]
 
 
-def test_query_cache_cut_at_gaps(spark, monkeypatch):
+def fed(spark, folder, batches, schema, run):
+    """Results of ``run`` (a stream on ``folder``/in) after each batch, each in a query of its own on the same checkpoint."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        yield run(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+
+
+def test_state_of_the_query_cache_ends(spark, tmp_path):
+    import datetime as dt
+
+    from lectern.operators import meta
+    from lectern.streaming.streams import query_cache
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    batches = [[("a", 1, at(0)), ("a", 2, at(50)), ("b", 3, at(10))], [("a", 4, at(61)), ("b", 5, at(65)), ("a", 6, at(100))], [("z", 7, at(9_000))], [("a", 8, at(9_001)), ("z", 9, at(9_030))]]
+    left = []
+
+    def note(query):
+        left.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+
+    schema = "key string, event_id bigint, ts timestamp"
+    run = lambda rows: query_cache(rows, 60, "0 seconds", f"{tmp_path}/stream", note)
+    got = {r.event_id: r.hit for r in list(fed(spark, tmp_path, batches, schema, run))[-1].collect()}
+    rows = spark.createDataFrame([r for b in batches for r in b], schema)
+    assert got == {r.event_id: r.hit for r in meta.query_cache(rows, 60).collect()} and got[6] and not got[8]
+    assert left == [2, 1, 1, 2]  # rows of state: b has ended at 100, a at 9,000, where only z is left
+
+
+def test_recent_messages_after_restarts(spark, tmp_path):
+    from lectern.streaming.streams import recent_messages
+
+    batches = [[(c, i, f"{c}-{i}") for c in range(40) for i in range(5)], [(3, 9, "x"), (3, 7, "y"), (3, 9, "x")], [(99, 1, "new")]]
+    schema, files = "conv_id bigint, id bigint, text string", lambda: {p for p in glob.glob(f"{tmp_path}/stream/table/*/*/*.parquet")}
+    want, seen = {}, []
+    for rows, got in zip(batches, fed(spark, tmp_path, batches, schema, lambda r: recent_messages(r, 3, f"{tmp_path}/stream")), strict=True):
+        for c, i, t in rows:
+            want.setdefault(c, {})[i] = t
+        assert sorted(map(tuple, got.select("conv_id", "id", "text").collect())) == sorted((c, i, m[i]) for c, m in want.items() for i in sorted(m)[-3:])
+        seen.append(files())
+    assert len(seen[0]) > 10 and len(seen[1] - seen[0]) == 1 and len(seen[2] - seen[1]) == 1  # the buckets of the batch's keys only
+
+
+def test_replayed_batch_leaves_the_same_table(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lectern.streaming.streams import BucketTable
+
+    merge = lambda b: b.groupBy("k").agg(F.max_by("v", "at").alias("v"), F.max("at").alias("at")).select("k", "v", "at")
+    table = BucketTable(spark, f"{tmp_path}/table", ["k"], merge, 8)
+    batch = lambda rows: spark.createDataFrame(rows, "k bigint, v string, at bigint")
+    first, second = [(i, "old", 1) for i in range(20)], [(3, "new", 2), (4, "late", 0)]
+    table.step(batch(first), 0)
+    table.step(batch(second), 1)
+    once = sorted(map(tuple, table.rows().collect()))
+    table.step(batch(second), 1)
+    assert sorted(map(tuple, table.rows().collect())) == once and (3, "new", 2) in once and (4, "old", 1) in once and len(once) == 20
+    for n in range(2, 6):
+        table.step(batch([(3, f"v{n}", n + 1)]), n)
+    assert max(len(glob.glob(f"{b}/*")) for b in glob.glob(f"{tmp_path}/table/bucket=*")) == 2
+    assert {r.k: r.v for r in table.rows().collect()}[3] == "v5"
+
+
+def test_query_cache_by_doubling(spark):
     import datetime
 
     from lectern.operators import meta
 
     rng, zero = random.Random(9), datetime.datetime(2024, 1, 1)
-    rows = [(rng.choice("ab"), i, zero + datetime.timedelta(seconds=rng.randint(0, 4_000))) for i in range(200)]
+    rows = [(rng.choice("aab"), i, zero + datetime.timedelta(seconds=rng.choice([rng.randint(0, 4_000), 60 * rng.randint(0, 60)]))) for i in range(300)] + [("c", 900, zero), ("c", 901, None)]
     requests = spark.createDataFrame(rows, "key string, event_id bigint, ts timestamp")
-    want, last = {}, {}
-    for key, i, at in sorted(rows, key=lambda r: (r[2], r[1])):
+    want, last = {901: False}, {}
+    for key, i, at in sorted((r for r in rows if r[2]), key=lambda r: (r[2], r[1])):
         want[i] = key in last and (at - last[key]).total_seconds() <= 60
         if not want[i]:
             last[key] = at
-    for size in (3, 50_000):
-        monkeypatch.setattr(meta, "CACHE_ROWS", size)
-        assert {r.event_id: r.hit for r in meta.query_cache(requests, 60).collect()} == want
+    for size in (1, 7, 10_000):
+        assert {r.event_id: r.hit for r in meta.query_cache(requests, 60, size).collect()} == want
+    assert meta.query_cache(requests.limit(0), 60).count() == 0
+
+
+def test_counter_by_composed_maps(spark):
+    from lectern.operators import meta
+
+    rng = random.Random(3)
+    rows = [(rng.choice("aaab"), i * rng.choice([1, 1, 3]), rng.choice([-3, -1, 1, 2])) for i in range(1, 500)] + [("c", 5, -4), ("d", -70, 2), ("d", 70, -1)]
+    want = {}
+    for key, _, d in sorted(rows, key=lambda r: r[1]):
+        want[key] = max(want.get(key, 0) + d, 0)
+    rows = [(k, i, n, d) for n, (k, i, d) in enumerate(rows)]
+    deltas = spark.createDataFrame(sorted(rows, key=lambda r: (r[1], r[2])), "key string, event_id bigint, n int, delta bigint")
+    for block, fan in ((4_096, 256), (7, 3), (1, 2)):
+        assert {r.key: r.value for r in meta.floored_counter(deltas, "key", ["event_id", "n"], block, fan).collect()} == want
+    assert meta.floored_counter(deltas.limit(0), "key", ["event_id"]).count() == 0
