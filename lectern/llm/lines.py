@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lectern.llm.common import binary_column, buckets_of, looked_up, materialise, packed, slices, small_enough
 from lectern.llm.components import components
@@ -243,6 +244,29 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, min_chars: in
     return lost.groupBy(F.col("at.r1").alias("r1"), F.col("at.r2").alias("r2")).agg(F.collect_set("at.place").alias("places"))
 
 
+def _without_places(names: list[str], text_col: str, places_col: str):
+    """Rows with the numbers of the lines to leave out, to rows without these lines, with n_lines and n_removed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                texts, keep, counts, removed = binary_column(part, text_col), [], [], []
+                for k, places in enumerate(part.column(part.schema.get_field_index(places_col)).to_pylist()):
+                    text = texts[k]
+                    counts.append(text.count(b"\n") + 1 if text is not None else 0)
+                    removed.append(len(places or ()))
+                    if places:
+                        gone = set(places)
+                        texts[k] = b"\n".join([x for i, x in enumerate(text.split(b"\n")) if i not in gone])
+                    keep.append(not places or bool(texts[k].strip()))
+                columns = {c: part.column(part.schema.get_field_index(c)) for c in names}
+                columns[text_col] = pa.array(texts, pa.binary()).cast(pa.string())
+                columns |= {"n_lines": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns)).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def dedup_lines(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, percent: int = 80,
 ) -> DataFrame:
@@ -261,16 +285,6 @@ def dedup_lines(
     r1, r2 = _row_key(id_col, text_col)
     keyed = docs.select(*names, r1.alias(own + "1"), r2.alias(own + "2"))
     gone = lost.select(F.col("r1").alias(own + "1"), F.col("r2").alias(own + "2"), F.col("places").alias(own + "places"))
-    joined, places = keyed.join(small_enough(gone), [own + "1", own + "2"], "left"), F.col(own + "places")
-    lines = F.split(F.col(text_col), "\n", -1)
-    # Places that stay as a set difference, so that a text of many lines costs as much as its length.
-    joined = joined.withColumn(own + "lines", F.when(places.isNotNull(), lines))
-    split = F.col(own + "lines")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), places)
-    kept = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
-    joined = joined.withColumns({
-        own + "kept": F.when(places.isNotNull(), kept).otherwise(F.col(text_col)),
-        "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("bigint"), "n_removed": F.coalesce(F.size(places), F.lit(0)).cast("bigint"),
-    }).filter(places.isNull() | F.col(own + "kept").rlike(r"\S"))
-    out = [F.col(own + "kept").alias(c) if c == text_col else F.col(c) for c in names]
-    return joined.select(*out, "n_lines", F.when(F.col("n_removed") < 0, 0).otherwise(F.col("n_removed")).cast("bigint").alias("n_removed"))
+    joined = keyed.join(small_enough(gone), [own + "1", own + "2"], "left").select(*names, own + "places")
+    schema = StructType([*docs.select(*names).schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    return joined.mapInArrow(_without_places(names, text_col, own + "places"), schema)
