@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import materialise
-from lectern.llm.spans import apart, listed, with_spans
+from lectern.llm.spans import apart, listed, near, piecewise, with_spans
 
 #: Kinds in the order of listing; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "id", "iban", "local", "spelled")
@@ -95,14 +95,14 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def voted(spans: Column, kind: str, text: Column) -> Column:
-    """Spans with the five votes (1 for, 0 abstains, -1 against) and surface features."""
+def voted(spans: Column, kind: str, pieces: Column) -> Column:
+    """Spans with the five votes (1 for, 0 abstains, -1 against) and surface features; ``pieces`` are the text's."""
 
     def one(s: Column) -> Column:
         m = F.replace(s["match"], F.lit("\x01"), F.lit("."))
-        before = F.lower(text.substr(F.greatest(s["start"] - 30, F.lit(0)) + 1, F.least(s["start"], F.lit(30))))
-        last = text.substr(s["start"], F.lit(1))
-        after = text.substr(s["end"] + 1, F.lit(1))
+        before = F.lower(near(pieces, F.greatest(s["start"] - 30, F.lit(0)), F.least(s["start"], F.lit(30))))
+        last = F.when(s["start"] > 0, near(pieces, F.greatest(s["start"] - 1, F.lit(0)), F.lit(1))).otherwise("")
+        after = near(pieces, s["end"], F.lit(1))
         d = _digits(m)
         spread = F.size(F.array_distinct(F.regexp_extract_all(d, F.lit("."), F.lit(0))))
         form, structure, gazetteer = {
@@ -198,8 +198,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
     base span; among themselves they may.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    found = candidates(rows, "_text")
-    spans = F.concat(*[voted(F.col(k), k, F.col("_text")) for k in KINDS])
+    found = candidates(rows, "_text").withColumn("_pieces", piecewise("_text"))
+    spans = F.concat(*[voted(F.col(k), k, F.col("_pieces")) for k in KINDS])
     scanned = materialise(found.select("doc_id", spans.alias("spans")), "pii")
     prior, odds = train(scanned)
     score = None
@@ -221,8 +221,10 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
                                                      (score(s) if prior else F.lit(1.0)).alias("score")))
     out = scanned.withColumn("scored", scored)
     out = out.withColumn("base", named(F.filter("scored", lambda s: s["order"] < 4)))
-    added = apart(F.filter("scored", lambda s: (s["order"] >= 4) & (s["score"] >= threshold)), F.col("base"))
-    out = out.withColumn("found", F.concat("base", named(added)))
+    by_place = lambda c: F.array_sort(F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["order"].alias("order"), s["score"].alias("score"))))
+    added = F.filter("scored", lambda s: (s["order"] >= 4) & (s["score"] >= threshold))
+    out = apart(out, "_added", by_place(added), by_place(F.filter("scored", lambda s: s["order"] < 4)))
+    out = out.withColumn("found", F.concat("base", named(F.col("_added"))))
     n = {f"n_{k}": F.size(F.filter("base", _is(i))).cast("bigint") for i, k in enumerate(KINDS[:4])}
     return out.withColumns(n).select("doc_id", *n, F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
                                      listed(F.col("found")).alias("spans"), "found")

@@ -177,8 +177,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rat
     scanned = materialise(scanned, "secrets")
     model, cuts = false_discovery(scanned, rate)
     cut = lambda s: F.element_at(F.array(*[F.lit(c) for c in cuts]), s["stratum"] + 1)
-    random = apart(F.filter("tokens", lambda s: ~s["word"] & (p_value(s, model) <= cut(s))), F.col("base"))
-    out = scanned.withColumn("random", random)
+    out = apart(scanned, "random", F.filter("tokens", lambda s: ~s["word"] & (p_value(s, model) <= cut(s))), F.col("base"))
     added = by_start(F.col("random"), 3, "random")
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
                       listed(F.array_sort(F.concat("base", added))).alias("spans"), "random")
