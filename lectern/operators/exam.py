@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.text import char_ngrams, extract_json_object, norm_answer, normalize_text_list, strip
+from lectern.operators.meta import allowed
 
 TYPES = ("choice", "fill", "short")
 SCORES = {"choice": 5, "fill": 5, "short": 20}
@@ -204,6 +205,19 @@ def paper_rollup(q: DataFrame) -> DataFrame:
     return q.groupBy("paper_id").agg(F.sum("score").alias("total_score"), *map(count, TYPES), F.array_join(F.transform(answers, lambda a: F.concat_ws(":", a["qid"], a["answer"])), ";").alias("answers"))
 
 
+def paper_detail(papers: DataFrame, questions: DataFrame) -> DataFrame:
+    """(paper_id, questions, reference_answers): lists of a paper as JSON for its reader; the role read sees neither answers nor the list of them.
+
+    ``papers``: paper_id, role; ``questions``: paper_id, qid, stem, answer.
+    """
+    hidden = F.col("role") == "read"
+    rows = questions.join(papers.select("paper_id", "role"), "paper_id")
+    one = F.struct("qid", "stem", F.when(~hidden, F.col("answer")).alias("answer"))
+    told = F.when(~hidden, F.struct("qid", "answer"))
+    listed = rows.groupBy("paper_id").agg(F.array_sort(F.collect_list(one)).alias("q"), F.array_sort(F.collect_list(told)).alias("a"))
+    return listed.select("paper_id", F.to_json("q").alias("questions"), F.when(F.size("a") > 0, F.to_json("a")).alias("reference_answers"))
+
+
 def knowledge_stats(q: DataFrame) -> DataFrame:
     """Questions by knowledge point of each paper with a tag size; blank points under one name."""
     rows = q.groupBy("paper_id", _point().alias("kp")).agg(F.count("*").alias("n"))
@@ -219,6 +233,25 @@ def knowledge_radar(stats: DataFrame, axes: int = 6) -> DataFrame:
     return rows.filter("_a >= 3").drop("_a")
 
 
+def visibility(sheets: DataFrame, members: DataFrame) -> DataFrame:
+    """(kb_id, user_id, scope, sheet_id): ``all`` once for each member from write on, ``own`` for each sheet of a member below that.
+
+    ``sheets``: sheet_id, student_id, kb_id; ``members``: live rows of kb_id, user_id, role.
+    """
+    may = allowed(F.col("role"), F.lit("write"))
+    every = members.filter(may).select("kb_id", "user_id", F.lit("all").alias("scope"), F.lit(None).cast("bigint").alias("sheet_id"))
+    own = members.filter(~may & allowed(F.col("role"), F.lit("read"))).select("kb_id", "user_id").join(sheets.withColumnRenamed("student_id", "user_id"), ["kb_id", "user_id"])
+    return every.unionByName(own.select("kb_id", "user_id", F.lit("own").alias("scope"), "sheet_id"))
+
+
+def iteration_summary(q: DataFrame, trace: DataFrame) -> DataFrame:
+    """(paper_id, questions, by_model, by_rule, stop) of one iteration from its rejections (paper_id, qid, source)."""
+    by = lambda source: F.count(F.when(F.col("source") == source, 1)).alias(f"by_{source}")
+    rejected = trace.groupBy("paper_id").agg(by("model"), by("rule"))
+    rows = q.groupBy("paper_id").agg(F.count("*").alias("questions")).join(rejected, "paper_id", "left").fillna(0, ["by_model", "by_rule"])
+    return rows.withColumn("stop", (F.col("by_model") == 0) & (F.col("by_rule") == 0))
+
+
 def regeneration_rounds(q: DataFrame, candidates: DataFrame, check, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """Validate, replace rejected questions by the round's candidates, validate again; at most ``rounds`` times.
 

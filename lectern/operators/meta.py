@@ -26,16 +26,19 @@ def allowed(role: Column, required: Column) -> Column:
     return (level(required) > 0) & (level(F.coalesce(role, F.lit(""))) >= level(required))
 
 
-def paginate(rows: DataFrame, order: list[Column], page: int = 1, size: int = 20, by: list[str] | None = None) -> DataFrame:
+def paginate(rows: DataFrame, order: list[Column], page: int = 1, size: int = 20, by: list[str] | None = None, total: bool = True) -> DataFrame:
     """One page of each group of ``by`` (or of all rows) with position, total and total_pages; size 0 has no pages.
 
-    With groups the pages are found by a window within each; without, by a global sort whose limit
-    Spark takes below the exchange, and the total by a separate aggregate.
+    With groups the pages are found by a row number, of which Spark keeps the first ``page`` * ``size`` of a group below the
+    exchange; without, by a global sort with such a limit. Totals are aggregates of their own, left out without ``total``.
     """
     if by:
-        w = Window.partitionBy(*by)
-        out = rows.withColumns({"position": F.row_number().over(w.orderBy(*order)).cast("bigint"), "total": F.count("*").over(w)})
-        out = out.filter((F.col("position") > (page - 1) * size) & (F.col("position") <= page * size))
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        out = rows.withColumn("_place", place).filter(F.col("_place") <= page * size).filter(F.col("_place") > (page - 1) * size)
+        out = out.withColumn("position", F.col("_place").cast("bigint")).drop("_place")
+        if not total:
+            return out
+        out = out.join(rows.groupBy(*by).agg(F.count("*").alias("total")), by)
     else:
         total = rows.agg(F.count("*").alias("total"))
         out = rows.orderBy(*order).offset((page - 1) * size).limit(size).crossJoin(F.broadcast(total))

@@ -203,6 +203,52 @@ def first_occurrences(hits: DataFrame, request: str, order: list[str]) -> DataFr
     return hits.withColumn("_k", F.row_number().over(Window.partitionBy(request, "chunk_id").orderBy(*order))).filter("_k = 1").drop("_k")
 
 
+def first_rows(rows: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of each group."""
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_k") <= n).drop("_k")
+
+
+def fan_out(requests: DataFrame, key: list[str], compute) -> DataFrame:
+    """Each distinct ``key`` of the requests computed once by ``compute`` (a table by key) and handed to all that asked."""
+    wanted = written(requests.select(*key).distinct(), "distinct-requests")
+    return requests.join(compute(wanted), key, "left")
+
+
+def rank_memories(memories: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
+    """(query_id, id, rank, how) of the ``k`` memories of the query's user, by one of three rankings.
+
+    An empty query takes the newest. Otherwise cosine of ``qv`` with the memories' ``vector`` decides, if the query and all the
+    user's memories have one, else the number of shared tokens; there, equally good ones come oldest first, and
+    memories that share nothing fill up. ``memories``: user_id, id (in the order of saving), text, vector; ``queries``: query_id,
+    user_id, query, qv.
+    """
+    whole = memories.groupBy("user_id").agg(F.every(F.col("vector").isNotNull()).alias("whole"))
+    blank = strip(F.coalesce("query", F.lit(""))) == ""
+    asked = queries.join(whole, "user_id").withColumn("how", F.when(blank, "newest").when(F.col("whole") & F.col("qv").isNotNull(), "cosine").otherwise("overlap"))
+    asked = written(asked, "memory-queries")
+    of = lambda how: asked.filter(F.col("how") == how)
+
+    ends = lambda order: first_rows(memories.select("user_id", "id"), ["user_id"], [order], k)
+    newest = of("newest").select("query_id", "user_id").join(ends(F.desc("id")), "user_id").select("query_id", "id", F.col("id").cast("double").alias("score"), F.lit("newest").alias("how"))
+
+    parts, by = _parts(memories, ["user_id"], 16_384), ["kb_id", "part"]
+    part = F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")
+    dealt = memories.join(small_enough(parts), "user_id").select(F.col("user_id").alias("kb_id"), part, F.col("id").alias("chunk_id"), F.col("vector").alias("embedding"))
+    probes = of("cosine").join(small_enough(parts), "user_id").select(F.col("user_id").alias("kb_id"), _numbers(F.col("parts")).alias("part"), "query_id", "qv")
+    probes = written(probes, "memory-probes")
+    near = dealt.filter("embedding is not null").groupBy(*by).cogroup(probes.groupBy(*by)).applyInArrow(_cosine_scores(k), "query_id bigint, kb_id bigint, chunk_id bigint, score double")
+    near = near.select("query_id", F.col("chunk_id").alias("id"), "score", F.lit("cosine").alias("how"))
+
+    tokens = lambda rows, key, text: rows.select("user_id", key, F.explode(F.array_distinct(tokenize(F.col(text), stopwords=True, lower=False))).alias("term"))
+    shared = tokens(memories, "id", "text").join(tokens(of("overlap"), "query_id", "query"), ["user_id", "term"]).groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score"))
+    oldest = of("overlap").select("query_id", "user_id").join(ends(F.asc("id")), "user_id").select("query_id", "id", F.lit(0.0).alias("score"))
+    alike = shared.unionByName(oldest).groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("how", F.lit("overlap"))
+
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    found = newest.unionByName(near).unionByName(alike).withColumn("rank", F.row_number().over(order).cast("bigint"))
+    return found.filter(F.col("rank") <= k).select("query_id", "id", "rank", "how")
+
+
 def build_citations(hits: DataFrame) -> DataFrame:
     """Distinct chunks of each query in rank order, numbered from 1, with an excerpt."""
     first = first_occurrences(hits, "query_id", ["rank"])

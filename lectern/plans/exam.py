@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.operators import exam as E
 from lectern.operators import retrieve as R
+from lectern.operators.metrics import latency_report, merged_latency
 from lectern.plans.registry import query
 from lectern.plans.retrieval import _ALL, _BM25, _GROUND, _NORM, _answers, _bm25, _vectors
 from lectern.sources.scratch import written
@@ -205,10 +207,12 @@ def knowledge_radar(t):
     return E.knowledge_radar(E.knowledge_stats(t.v_questions))
 
 
-@query("mask_answers", "SELECT paper_id, qid, CASE WHEN paper_id % 3 = 0 THEN NULL ELSE answer END AS answer FROM v_questions")
+@query("mask_answers", """SELECT paper_id, '[' || string_agg('{"qid":' || qid || ',"stem":"' || stem || '"' || CASE WHEN paper_id % 3 = 0 THEN '' ELSE ',"answer":"' || answer || '"' END || '}', ',' ORDER BY qid) || ']' AS questions,
+    CASE WHEN paper_id % 3 <> 0 THEN '[' || string_agg('{"qid":' || qid || ',"answer":"' || answer || '"}', ',' ORDER BY qid) || ']' END AS reference_answers FROM v_questions GROUP BY paper_id""")
 def mask_answers(t):
-    role = F.when(F.col("paper_id") % 3 == 0, "read").otherwise("write")
-    return t.v_questions.select("paper_id", "qid", F.when(role != "read", F.col("answer")).alias("answer"))
+    q = t.v_questions
+    papers = q.select("paper_id").distinct().withColumn("role", F.when(F.col("paper_id") % 3 == 0, "read").otherwise("write"))
+    return E.paper_detail(papers, q)
 
 
 @query("class_results", """SELECT paper_id, sheet_id, name, n, row_number() OVER (PARTITION BY paper_id ORDER BY sheet_id DESC) AS position FROM (SELECT a.paper_id, sheet_id, coalesce(nickname, username) AS name, n
@@ -218,18 +222,35 @@ def class_results(t):
     from lectern.operators.meta import paginate
 
     sheets = t.v_answers.groupBy("paper_id", "sheet_id", "student_id").agg(F.count("*").alias("n"))
-    newest = paginate(sheets, [F.desc("sheet_id")], 1, 20, ["paper_id"])
+    newest = paginate(sheets, [F.desc("sheet_id")], 1, 20, ["paper_id"], total=False)
     users = t.v_users.select(F.col("user_id").alias("student_id"), F.coalesce("nickname", "username").alias("name"))
     return newest.join(users, "student_id", "left").select("paper_id", "sheet_id", "name", "n", "position")
 
 
-@query("sheet_visibility", """SELECT sheet_id, m.user_id FROM (SELECT DISTINCT sheet_id, student_id FROM v_answers) s JOIN v_members m ON m.kb_id = sheet_id % 25 WHERE NOT m.is_deleted AND (m.role IN ('owner', 'admin', 'write') OR m.user_id = student_id)""")
+@query("sheet_visibility", """SELECT kb_id, user_id, 'all' AS scope, CAST(-1 AS BIGINT) AS sheet_id FROM v_members WHERE NOT is_deleted AND role IN ('owner', 'admin', 'write')
+    UNION ALL SELECT kb_id, user_id, 'own', sheet_id FROM (SELECT DISTINCT sheet_id, student_id FROM v_answers) s JOIN v_members m ON m.kb_id = sheet_id % 25 AND m.user_id = student_id WHERE NOT m.is_deleted AND m.role = 'read'""")
 def sheet_visibility(t):
-    from lectern.operators.meta import allowed, live
+    """Who may see what, factorised: as many rows as members and sheets."""
+    return E.visibility(*_sheets_and_members(t)).fillna(-1, "sheet_id")
+
+
+def _sheets_and_members(t):
+    from lectern.operators.meta import live
 
-    sheets = t.v_answers.select("sheet_id", "student_id").distinct().withColumn("kb_id", F.col("sheet_id") % 25)
-    rows = sheets.join(live(t.v_members), "kb_id")
-    return rows.filter(allowed(F.col("role"), F.lit("write")) | (F.col("user_id") == F.col("student_id"))).select("sheet_id", "user_id")
+    return t.v_answers.select("sheet_id", "student_id").distinct().withColumn("kb_id", F.col("sheet_id") % 25), live(t.v_members)
+
+
+@query("visible_sheets_page", """SELECT user_id, sheet_id, position FROM (SELECT m.user_id, sheet_id, row_number() OVER (PARTITION BY m.user_id ORDER BY sheet_id DESC) AS position FROM (SELECT DISTINCT sheet_id, student_id FROM v_answers) s JOIN v_members m ON m.kb_id = sheet_id % 25
+    WHERE NOT m.is_deleted AND (m.role IN ('owner', 'admin', 'write') OR m.user_id = student_id)) WHERE position <= 5""")
+def visible_sheets_page(t):
+    """Each user's newest visible sheets: the rule rows meet the newest sheets of their knowledge base only."""
+    from lectern.operators.meta import paginate
+
+    sheets, members = _sheets_and_members(t)
+    seen = E.visibility(sheets, members)
+    newest = R.first_rows(sheets.select("kb_id", "sheet_id"), ["kb_id"], [F.desc("sheet_id")], 5)
+    rows = seen.filter("scope = 'all'").select("kb_id", "user_id").join(newest, "kb_id").select("user_id", "sheet_id").unionByName(seen.filter("scope = 'own'").select("user_id", "sheet_id"))
+    return paginate(rows, [F.desc("sheet_id")], 1, 5, ["user_id"], total=False).select("user_id", "sheet_id", "position")
 
 
 @query("papers_for_user", """SELECT user_id, paper_id, position FROM (SELECT m.user_id, paper_id, row_number() OVER (PARTITION BY m.user_id ORDER BY paper_id DESC) AS position FROM (SELECT DISTINCT l_orderkey AS paper_id FROM lineitem) p JOIN v_members m ON m.kb_id = paper_id % 25 WHERE NOT m.is_deleted) WHERE position <= 5""")
@@ -239,14 +260,18 @@ def papers_for_user(t):
 
     papers = t.lineitem.select(F.col("l_orderkey").alias("paper_id")).distinct().withColumn("kb_id", F.col("paper_id") % 25)
     newest = R.top_k(papers, 5, ["kb_id"], "paper_id", "paper_id").drop("rank")
-    return paginate(newest.join(live(t.v_members), "kb_id"), [F.desc("paper_id")], 1, 5, ["user_id"]).select("user_id", "paper_id", "position")
+    return paginate(newest.join(live(t.v_members), "kb_id"), [F.desc("paper_id")], 1, 5, ["user_id"], total=False).select("user_id", "paper_id", "position")
 
 
-@query("iteration_summary", """SELECT paper_id, phase, count(*) AS n, count(*) FILTER (WHERE rejected) AS rejected, phase = 2 OR count(*) FILTER (WHERE rejected) = 0 AS stop FROM (SELECT paper_id, qid % 3 AS phase, l_suppkey % 3 = 0 AS rejected FROM v_questions) GROUP BY paper_id, phase""")
+@query("iteration_summary", f"""WITH {_DUP}, m AS (SELECT paper_id, qid FROM v_model_outputs WHERE {_VERDICT} = 'fail'), r AS (SELECT paper_id, 'model' AS phase FROM m UNION ALL SELECT paper_id, 'rule' FROM du ANTI JOIN m USING (paper_id, qid))
+    SELECT paper_id, questions, count(r.phase) FILTER (WHERE r.phase = 'model') AS by_model, count(r.phase) FILTER (WHERE r.phase = 'rule') AS by_rule, count(r.phase) = 0 AS stop
+    FROM (SELECT paper_id, count(*) AS questions FROM v_questions GROUP BY paper_id) LEFT JOIN r USING (paper_id) GROUP BY paper_id, questions""")
 def iteration_summary(t):
-    trace = t.v_questions.select("paper_id", (F.col("qid") % 3).alias("phase"), (F.col("l_suppkey") % 3 == 0).alias("rejected"))
-    rows = trace.groupBy("paper_id", "phase").agg(F.count("*").alias("n"), F.count(F.when(F.col("rejected"), 1)).alias("rejected"))
-    return rows.withColumn("stop", (F.col("phase") == 2) | (F.col("rejected") == 0))
+    """The first iteration of each paper from what validation rejected; it stops where that is nothing."""
+    q = t.v_questions
+    failed = t.v_model_outputs.filter(E.parse_verdict(F.col("output")) == "fail")
+    trace = E.collect_rejections(failed, E.near_duplicate_questions(q))
+    return E.iteration_summary(q, trace)
 
 
 @query("regeneration_rounds")
@@ -347,13 +372,24 @@ def citation_accuracy(t):
     return t.documents.agg(F.round(F.sum(F.greatest(kept, F.lit(0))) / F.sum(F.size(refs)), 6).alias("accuracy"))
 
 
-@query("agent_success_report", "SELECT kb_id, round(avg(CASE WHEN status = 'success' THEN 1.0 ELSE 0.0 END), 6) AS success, round(avg(steps), 6) AS mean_steps, round(avg(duration_ms), 4) AS mean_ms FROM v_agent_tasks GROUP BY kb_id")
+@query("agent_success_report", """SELECT kb_id, status, count(*) AS tasks, round(count(*) / any_value(n), 6) AS share, round(avg(retries), 6) AS mean_retries, round(avg(duration_ms), 4) AS mean_ms, round(any_value(ok) / any_value(n), 6) AS success FROM v_agent_tasks
+    JOIN (SELECT kb_id, count(*) AS n, count(*) FILTER (WHERE status = 'success') AS ok FROM v_agent_tasks GROUP BY kb_id) USING (kb_id) GROUP BY kb_id, status""")
 def agent_success_report(t):
-    ok = F.avg(F.when(F.col("status") == "success", 1.0).otherwise(0.0))
-    return t.v_agent_tasks.groupBy("kb_id").agg(F.round(ok, 6).alias("success"), F.round(F.avg("steps"), 6).alias("mean_steps"), F.round(F.avg("duration_ms"), 4).alias("mean_ms"))
+    """By knowledge base and status; the success rate is the knowledge base's."""
+    per = t.v_agent_tasks.groupBy("kb_id", "status").agg(F.count("*").alias("tasks"), F.round(F.avg("retries"), 6).alias("mean_retries"), F.round(F.avg("duration_ms"), 4).alias("mean_ms"))
+    n, kb = F.sum("tasks"), Window.partitionBy("kb_id")  # a knowledge base has a handful of states
+    share, ok = F.round(F.col("tasks") / n.over(kb), 6), F.sum(F.when(F.col("status") == "success", F.col("tasks")).otherwise(0))
+    return per.withColumns({"share": share, "success": F.round(ok.over(kb) / n.over(kb), 6)})
 
 
-@query("request_latency_report", "SELECT status, count(*) AS n, round(quantile_cont(duration_ms, 0.5), 6) AS p50, round(quantile_cont(duration_ms, 0.95), 6) AS p95, round(quantile_cont(duration_ms, 0.99), 6) AS p99 FROM v_request_log GROUP BY status")
+@query("request_latency_report", """SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, count(*) AS n, round(count(*) / 86400.0, 6) AS per_second, round(avg(CASE WHEN status >= 500 THEN 1.0 ELSE 0.0 END), 6) AS error_rate,
+    round(quantile_cont(duration_ms, 0.5), 6) AS p50, round(quantile_cont(duration_ms, 0.95), 6) AS p95, round(quantile_cont(duration_ms, 0.99), 6) AS p99 FROM v_request_log GROUP BY ALL""")
 def request_latency_report(t):
-    p = lambda q: F.round(F.expr(f"percentile(duration_ms, {q})"), 6)
-    return t.v_request_log.groupBy("status").agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    """Requests a second, error rate and exact percentiles of each day."""
+    return latency_report(t.v_request_log, 86_400, exact=True)
+
+
+@query("request_latency_sketch")
+def request_latency_sketch(t):
+    """As request_latency_report over all time, from sketches of days that are merged: what remains of a day is a few kilobytes."""
+    return merged_latency(latency_report(t.v_request_log, 86_400))

@@ -59,7 +59,7 @@ def permission_audit(t):
 def members_of_kb(t):
     users = t.v_users.select("user_id", F.coalesce("nickname", "username").alias("name"))
     rows = M.live(t.v_members).join(users, "user_id", "left")
-    return M.paginate(rows, [F.desc("role"), F.col("user_id")], 1, 20, ["kb_id"]).select("kb_id", "user_id", "name", "role", "position")
+    return M.paginate(rows, [F.desc("role"), F.col("user_id")], 1, 20, ["kb_id"], total=False).select("kb_id", "user_id", "name", "role", "position")
 
 
 @query("apply_member_changes", """SELECT kb_id, user_id, role, is_deleted FROM (SELECT kb_id, user_id, CASE WHEN gives THEN new_role ELSE old END AS role, CASE WHEN gives THEN false WHEN change = 'remove' AND old <> 'owner' THEN true ELSE gone END AS is_deleted FROM (
@@ -105,7 +105,7 @@ def kb_recount(t):
 @query("documents_of_kb", "SELECT kb_id, doc_id, name, position FROM (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY updated_at DESC) AS position FROM v_documents WHERE NOT is_deleted AND contains(name, '1') AND status = 'ready') WHERE position <= 20")
 def documents_of_kb(t):
     rows = M.live(t.v_documents).filter(F.col("name").contains("1") & (F.col("status") == "ready"))
-    return M.paginate(rows, [F.desc("updated_at")], 1, 20, ["kb_id"]).select("kb_id", "doc_id", "name", "position")
+    return M.paginate(rows, [F.desc("updated_at")], 1, 20, ["kb_id"], total=False).select("kb_id", "doc_id", "name", "position")
 
 
 @query("ready_documents_count", "SELECT kb_id, count(*) AS n FROM v_documents WHERE NOT is_deleted AND status = 'ready' GROUP BY kb_id")
@@ -141,7 +141,7 @@ def login_stats(t):
 @query("conversations_for_user", "SELECT owner, conv_id, position FROM (SELECT conv_id % 10 AS owner, conv_id, row_number() OVER (PARTITION BY conv_id % 10 ORDER BY CASE WHEN conv_id % 4 = 0 THEN NULL ELSE last END DESC NULLS LAST, conv_id DESC) AS position FROM (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id)) WHERE position <= 20")
 def conversations_for_user(t):
     rows = t.conversations.groupBy("conv_id").agg(F.max("turn").alias("last")).withColumns({"owner": F.col("conv_id") % 10, "last": F.when(F.col("conv_id") % 4 != 0, F.col("last"))})
-    return M.paginate(rows, [F.desc_nulls_last("last"), F.desc("conv_id")], 1, 20, ["owner"]).select("owner", "conv_id", "position")
+    return M.paginate(rows, [F.desc_nulls_last("last"), F.desc("conv_id")], 1, 20, ["owner"], total=False).select("owner", "conv_id", "position")
 
 
 @query("messages_page", "SELECT conv_id, id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY id DESC) AS k FROM v_messages WHERE id < 4) WHERE k <= 2")
@@ -157,7 +157,7 @@ def conversation_stats(t):
 @query("agent_tasks_for_user", "SELECT user_id, task_id, position FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY task_id DESC) AS position FROM v_agent_tasks WHERE status = 'failed' AND kb_id < 20) WHERE position <= 20")
 def agent_tasks_for_user(t):
     rows = t.v_agent_tasks.filter("status = 'failed' and kb_id < 20")
-    return M.paginate(rows, [F.desc("task_id")], 1, 20, ["user_id"]).select("user_id", "task_id", "position")
+    return M.paginate(rows, [F.desc("task_id")], 1, 20, ["user_id"], total=False).select("user_id", "task_id", "position")
 
 
 @query("agent_task_rollup", "SELECT l_orderkey AS task_id, count(*) AS total_steps, count(*) FILTER (WHERE l_returnflag = 'R') AS retry_count, round(sum(l_extendedprice), 2) AS duration FROM lineitem GROUP BY l_orderkey")
@@ -192,7 +192,7 @@ def query_cache_hits(t):
 def answers_of_paper(t):
     """First page of each paper's sheets, newest first."""
     sheets = t.v_answers.groupBy("paper_id", "sheet_id").agg(F.count("*").alias("answers"))
-    return M.paginate(sheets, [F.desc("sheet_id")], 1, 20, ["paper_id"]).select("paper_id", "sheet_id", "answers", "position")
+    return M.paginate(sheets, [F.desc("sheet_id")], 1, 20, ["paper_id"], total=False).select("paper_id", "sheet_id", "answers", "position")
 
 
 @query("export_exam_markdown", """SELECT paper_id, md5('# paper ' || paper_id || chr(10) || chr(10) || '难度：medium　总分：' || CAST(total AS BIGINT) || chr(10) || '迭代次数：0' || chr(10) || chr(10) || asked ||

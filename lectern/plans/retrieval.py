@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -133,20 +135,32 @@ def multi_query_merge(t):
     return _six(R.multi_query_merge(_bm25(t).withColumn("query_id", F.floor(F.col("query_id") / 2)), 10))
 
 
-@query("append_images", f"""WITH {_BM25}, tx AS (SELECT query_id, chunk_id, place AS rank FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS place FROM bm) WHERE place <= 3),
-    im AS (SELECT query_id, 'image ' || query_id AS chunk_id, 1 AS rank FROM v_queries)
+_IMAGES = """im AS (SELECT query_id, 'img_' || chunk_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (
+    SELECT a.chunk_id AS query_id, b.chunk_id, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS score
+    FROM (SELECT chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM v_vectors WHERE chunk_id IN (SELECT query_id FROM v_queries)) a, (SELECT chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM v_vectors WHERE modality = 'image') b) QUALIFY rank <= 2)"""
+
+
+@query("append_images", f"""WITH {_BM25}, {_IMAGES}, tx AS (SELECT query_id, chunk_id, place AS rank FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS place FROM bm) WHERE place <= 3)
     SELECT query_id, chunk_id, section, row_number() OVER (PARTITION BY query_id ORDER BY section, rank) AS position FROM (SELECT *, CAST(0 AS BIGINT) AS section FROM tx UNION ALL SELECT *, 1 FROM im)""")
 def append_images(t):
+    """Keyword hits, then hits of the image index; a query's image-space vector is the one with its number."""
     text = R.top_k(_bm25(t).drop("rank"), 3, ["query_id"]).select("query_id", "chunk_id", "rank")
-    images = t.v_queries.select("query_id", F.concat(F.lit("image "), F.col("query_id")).alias("chunk_id"), F.lit(1).cast("bigint").alias("rank"))
+    v = t.v_vectors
+    asked = v.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("qv")).join(t.v_queries.select("query_id"), "query_id", "left_semi")
+    images = R.top_k(R.vector_search(asked, v, 2, where=F.col("modality") == "image").drop("rank"), 2, ["query_id"])
+    images = images.select("query_id", F.concat(F.lit("img_"), "chunk_id").alias("chunk_id"), "rank")
     return R.append_sections(text, images).select("query_id", "chunk_id", "section", "position")
 
 
-@query("retrieve_material", f"""WITH {_BM25} SELECT request, query_id, chunk_id FROM (SELECT query_id % 5 AS request, query_id, chunk_id,
-    row_number() OVER (PARTITION BY query_id % 5, chunk_id ORDER BY query_id, rank) AS k FROM bm) WHERE k = 1""")
+@query("retrieve_material", f"""WITH {_BM25}, five AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS place FROM bm QUALIFY place <= 5),
+    f AS (SELECT query_id % 5 AS request, query_id, chunk_id FROM five QUALIFY row_number() OVER (PARTITION BY query_id % 5, chunk_id ORDER BY query_id, place) = 1)
+    SELECT q.query_id % 5 AS request, q.query_id, coalesce(n, 0) AS count, f.chunk_id FROM v_queries q LEFT JOIN (SELECT query_id, count(*) AS n FROM five GROUP BY ALL) c ON c.query_id = q.query_id LEFT JOIN f ON f.query_id = q.query_id""")
 def retrieve_material(t):
-    rows = _bm25(t).withColumn("request", F.col("query_id") % 5)
-    return R.first_occurrences(rows, "request", ["query_id", "rank"]).select("request", "query_id", "chunk_id")
+    """Queries of one request in turn: how many chunks each found, and those that none before it has given."""
+    rows = written(R.top_k(_bm25(t).drop("rank"), 5, ["query_id"]).withColumn("request", F.col("query_id") % 5), "material")
+    first = R.first_occurrences(rows, "request", ["query_id", "rank"]).select("query_id", "chunk_id")
+    log = t.v_queries.select("query_id").join(rows.groupBy("query_id").count(), "query_id", "left").select("query_id", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
+    return log.join(first, "query_id", "left").select((F.col("query_id") % 5).alias("request"), "query_id", "count", "chunk_id")
 
 
 def _cited(t):
@@ -216,11 +230,22 @@ def answer_assembly(t):
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
-@query("dedup_query_batch", """WITH r AS (SELECT event_id, event_type || '|' || user_id % 20 AS k FROM events), f AS (SELECT k, min(event_id) AS computed FROM r GROUP BY k) SELECT event_id, computed FROM r JOIN f USING (k)""")
+@query("dedup_query_batch", f"""WITH {_BM25}, pl AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS place FROM bm),
+    rq AS (SELECT event_id, event_id % 20 AS query_id, 3 + user_id % 2 AS k FROM events)
+    SELECT event_id, string_agg(chunk_id, '|' ORDER BY place) AS hits FROM rq LEFT JOIN pl ON pl.query_id = rq.query_id AND place <= k GROUP BY event_id""")
 def dedup_query_batch(t):
-    """Each distinct key computed once (here: its first event) and handed to all that asked."""
-    rows = t.events.select("event_id", F.concat_ws("|", "event_type", F.col("user_id") % 20).alias("k"))
-    return rows.join(rows.groupBy("k").agg(F.min("event_id").alias("computed")), "k").select("event_id", "computed")
+    """A batch of requests with differently padded texts: each (text, number of hits) is retrieved once and handed to all that asked."""
+    asked = t.events.select("event_id", (F.col("event_id") % 20).alias("query_id"), (3 + F.col("user_id") % 2).alias("k")).join(t.v_queries, "query_id")
+    padded = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" "), "query", F.lit("\n"))).otherwise(F.col("query"))
+    asked = asked.select("event_id", X.strip(padded).alias("text"), "k")
+
+    def compute(wanted):
+        texts = written(wanted.select("text").distinct().withColumn("query_id", F.xxhash64("text")), "batch-texts")
+        found = R.top_k(R.bm25_search(texts.select("query_id", F.col("text").alias("query")), *_index(t)).drop("rank"), 4, ["query_id"])
+        rows = wanted.join(texts, "text").join(found, "query_id").filter(F.col("rank") <= F.col("k")).groupBy("text", "k")
+        return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]), "|").alias("hits"))
+
+    return R.fan_out(asked, ["text", "k"], compute).select("event_id", "hits")
 
 
 @query("kb_search_projection", f"WITH {_BM25} SELECT query_id, chunk_id, kb_id, doc_id, document_name, page_number, round(score, 6) AS score, total FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM bm WHERE rank <= 3) JOIN v_chunks USING (kb_id, chunk_id)")
@@ -247,14 +272,24 @@ def long_term_memory_trim(t):
     return R.last_messages(rows, 50).select(F.col("conv_id").alias("user_id"), F.col("id").alias("event_id"))
 
 
-@query("long_term_memory_rank", f"""SELECT query_id, doc_id, overlap FROM (SELECT query_id, doc_id, overlap, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, doc_id DESC) AS k FROM (
-    SELECT query_id, doc_id, CAST(len(list_intersect({_TOK("query")}, {_TOK("text")})) AS BIGINT) AS overlap FROM v_queries, documents) WHERE overlap > 0) WHERE k <= 3""")
+_MEMORY = rf"""mq AS (SELECT query_id, query_id % 20 AS user_id, CASE WHEN query_id % 4 = 0 THEN ' ' ELSE query END AS query FROM v_queries),
+    me AS (SELECT doc_id % 20 AS user_id, doc_id AS id, text FROM documents), mv AS ({_EMBED("me", "id", "text")}), mw AS ({_EMBED("mq", "query_id", "query")}),
+    ho AS (SELECT *, CASE WHEN query_id % 4 = 0 THEN 'newest' WHEN query_id % 4 = 3 OR user_id = 5 THEN 'overlap' ELSE 'cosine' END AS how FROM mq),
+    sc AS (SELECT query_id, id, how, CASE how WHEN 'newest' THEN CAST(id AS DOUBLE)
+        WHEN 'cosine' THEN coalesce(list_dot_product(CAST(mw.embedding AS DOUBLE[]), CAST(mv.embedding AS DOUBLE[])) / nullif(sqrt(list_dot_product(CAST(mw.embedding AS DOUBLE[]), CAST(mw.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(mv.embedding AS DOUBLE[]), CAST(mv.embedding AS DOUBLE[]))), 0), 0)
+        ELSE len(list_intersect(list_distinct(list_filter(regexp_extract_all(query, '[\p{{L}}\p{{N}}]+'), lambda x: length(x) > 1)), list_distinct(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+'), lambda x: length(x) > 1)))) END AS score
+        FROM ho JOIN me USING (user_id) LEFT JOIN mv USING (id) LEFT JOIN mw USING (query_id))"""
+
+
+@query("long_term_memory_rank", f"WITH {_MEMORY} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank, how FROM sc QUALIFY rank <= 3")
 def long_term_memory_rank(t):
-    """Token-overlap fallback over all memories, joined by shared tokens; the newest of equally good ones first."""
-    tokens = lambda rows, key, text: rows.select(key, F.explode(F.array_distinct(X.tokenize(F.col(text), stopwords=True))).alias("term"))
-    shared = tokens(t.documents, "doc_id", "text").join(tokens(t.v_queries, "query_id", "query"), "term")
-    rows = shared.groupBy("query_id", "doc_id").agg(F.count("*").alias("overlap")).withColumn("chunk_id", -F.col("doc_id"))
-    return R.top_k(rows, 3, ["query_id"], "overlap").select("query_id", "doc_id", "overlap")
+    """Documents as their users' memories; a quarter of the queries is empty, a quarter has no vector, and one of user 5's memories has none."""
+    memories = t.documents.select((F.col("doc_id") % 20).alias("user_id"), F.col("doc_id").alias("id"), "text")
+    memories = I.hashing_embed(memories, ["user_id", "id", "text"], "text").withColumn("vector", F.when(F.col("id") != 5, F.col("embedding"))).drop("embedding")
+    query = F.when(F.col("query_id") % 4 == 0, " ").otherwise(F.col("query"))
+    queries = t.v_queries.select("query_id", (F.col("query_id") % 20).alias("user_id"), query.alias("query"))
+    queries = I.hashing_embed(queries, ["query_id", "user_id", "query"], "query").withColumn("qv", F.when(F.col("query_id") % 4 != 3, F.col("embedding"))).drop("embedding")
+    return R.rank_memories(written(memories, "memories"), queries)
 
 
 @query("scan_kb", "SELECT kb_id, count(*) AS n FROM v_chunks WHERE kb_id IN (1, 3, 99) GROUP BY kb_id")
@@ -271,6 +306,31 @@ def upsert_chunks(t):
     return I.upsert(rows, new, ["doc_id"])
 
 
+#: Documents as they are after three changes of the index: a third written again with another text, a seventh gone.
+_CHANGED = """v2 AS (SELECT kb_id, doc_id, chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'changed ' || text ELSE text END AS text FROM v_chunks WHERE doc_id % 7 <> 0)"""
+
+
+def _stored(t):
+    """A stored index that was written, then changed twice."""
+    from lectern.sources.scratch import shared_dir
+
+    rows = t.v_chunks.select("kb_id", "doc_id", "chunk_id", "text")
+    index = I.write_index(rows.filter("doc_id % 2 = 0"), f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}")
+    none = rows.select("kb_id", "doc_id").limit(0)
+    index.change(rows.filter("doc_id % 2 = 1"), none, 1)
+    third = rows.filter("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("changed "), "text"))
+    index.change(third, rows.filter("doc_id % 7 = 0").select("kb_id", "doc_id"), 2)
+    index.change(rows.limit(0), rows.filter("doc_id % 7 = 0").select("kb_id", "doc_id").distinct(), 3)
+    return index
+
+
+@query("stored_index", f"WITH {_CHANGED}, {_BM25.replace('v_chunks', 'v2')} SELECT kb_id, chunk_id, term, tf, CAST(dl AS BIGINT) AS dl, round(idf, 6) AS idf, round(avgdl, 6) AS avgdl FROM tf JOIN dl USING (kb_id, chunk_id) JOIN idf USING (kb_id, term) WHERE kb_id IN (1, 3)")
+def stored_index(t):
+    """Two knowledge bases of an index on disk that has been written, upserted and deleted from: as if built anew."""
+    loaded = I.load_index(t.spark, _stored(t).path, [1, 3])
+    return loaded.withColumns({"idf": F.round("idf", 6), "avgdl": F.round("avgdl", 6)})
+
+
 @query("delete_document_chunks", "SELECT kb_id, chunk_id FROM v_chunks WHERE doc_id % 5 <> 0")
 def delete_document_chunks(t):
     gone = t.v_documents.filter("doc_id % 5 = 0").select("kb_id", "doc_id")
@@ -333,9 +393,11 @@ def get_version(t):
 
 @query("processing_warning_summary", """SELECT doc_id, count(*) AS total, array_to_string(list(error ORDER BY event_id)[1:5], '; ') AS first FROM v_status_events WHERE error IS NOT NULL GROUP BY doc_id""")
 def processing_warning_summary(t):
-    ordered = F.array_sort(F.collect_list(F.struct("event_id", "error")))
-    rows = t.v_status_events.filter("error is not null").groupBy("doc_id")
-    return rows.agg(F.count("*").alias("total"), F.array_join(F.transform(F.slice(ordered, 1, 5), lambda x: x["error"]), "; ").alias("first"))
+    """The first five errors of a document are cut out below the exchange; only those are put together."""
+    errors = t.v_status_events.filter("error is not null").select("doc_id", "event_id", "error")
+    five = R.first_rows(errors, ["doc_id"], ["event_id"], 5).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "error"))).alias("e"))
+    total = errors.groupBy("doc_id").agg(F.count("*").alias("total"))
+    return total.join(five, "doc_id").select("doc_id", "total", F.array_join(F.transform("e", lambda x: x["error"]), "; ").alias("first"))
 
 
 @query("classify_files", """SELECT doc_id, CASE WHEN kind IS NULL THEN 'unsupported type' WHEN z > 104857600 THEN 'too large' WHEN z = 0 THEN 'empty' END AS reason, kind FROM (SELECT doc_id, char_count * 100000 AS z,

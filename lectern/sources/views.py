@@ -58,8 +58,8 @@ VIEWS = {
         ', "source_refs": [" ' || stem || '", "nowhere"]}}, {{"key": "步骤", "score": "' || CAST(l_suppkey % 5 AS VARCHAR(20)) || CASE WHEN l_suppkey % 4 = 0 THEN '.5' ELSE '' END ||
         '"}}, "odd", {{"key": "结论", "score": ' || CAST(l_suppkey % 7 AS VARCHAR(20)) || '}}, {{"key": "language", "score": 9}}, {{"key": "规范性", "score": 2, "comment": " fine "}}]}}' AS j FROM v_questions) m""",
     "v_agent_tasks": """SELECT o_orderkey AS task_id, o_custkey AS user_id, o_orderkey % 25 AS kb_id, CASE o_orderstatus WHEN 'F' THEN 'success'
-        WHEN 'P' THEN 'failed' ELSE 'executing' END AS status, CAST(floor(o_totalprice) AS BIGINT) AS duration_ms, coalesce(n, 0) AS steps
-        FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) s ON l_orderkey = o_orderkey""",
+        WHEN 'P' THEN 'failed' ELSE 'executing' END AS status, CAST(floor(o_totalprice) AS BIGINT) AS duration_ms, coalesce(n, 0) AS steps, coalesce(r, 0) AS retries
+        FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS r FROM lineitem GROUP BY l_orderkey) s ON l_orderkey = o_orderkey""",
     "v_request_log": "SELECT event_id, ts, user_id, value AS duration_ms, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status FROM events",
 }
 
