@@ -128,7 +128,7 @@ def _bands(min_chars: int, buckets: int):
                 lines = {i: x for i, x in _distinct(part, min_chars).items() if len(x) > SHINGLE}
                 if not lines:
                     continue
-                ids, bodies, bands, step = np.frombuffer(b"".join(lines), np.uint64).reshape(-1, 2), list(lines.values()), [], 4096
+                ids, bodies, bands, step = np.frombuffer(b"".join(lines), np.uint64).reshape(-1, 2), list(lines.values()), [], 1024
                 for s in range(0, len(bodies), step):
                     bands.append(signatures(bodies[s : s + step]).view(np.uint64))
                 flat = np.concatenate(bands).ravel()
