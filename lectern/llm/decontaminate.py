@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import binary_column, slices
+from lectern.llm.common import binary_column, materialise, slices, small_enough
 
-#: Bytes of benchmark text that one automaton takes; the collected items never exceed this.
+#: Bytes of windows (each of an item's words is in up to ``window`` of them) that one automaton takes; items beyond that are
+#: dealt to several automata of about this size, with one scan each.
 AUTOMATON_BYTES = 64 << 20
 
 #: Byte table: A-Z to a-z, other ASCII outside [0-9a-z] to a space, UTF-8 bytes of non-ASCII kept.
@@ -32,6 +33,8 @@ SCAN_SCHEMA = (
     "contaminated boolean, spans array<struct<start:int,end:int>>"
 )
 
+NAMES = ["n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "spans"]
+
 _built: dict[str, ahocorasick.Automaton] = {}
 
 
@@ -93,12 +96,13 @@ def original_spans(text: bytes, hit: np.ndarray) -> list[dict]:
     return [{"start": int(points[starts[a]]), "end": int(points[ends[b]])} for a, b in zip(first, last, strict=True)]
 
 
-def _items(benchmark: DataFrame, item_id: str, text_col: str) -> list[tuple]:
-    items = benchmark.select(F.col(item_id).cast("string"), F.col(text_col)).filter(F.col(text_col).isNotNull())
-    size = items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    if size > AUTOMATON_BYTES:
-        raise ValueError(f"benchmark text of {size} bytes; one automaton takes {AUTOMATON_BYTES}: split the items")
-    return [(i, t.encode()) for i, t in items.collect()]
+def _item_parts(benchmark: DataFrame, item_id: str, text_col: str, window: int) -> list[list[tuple]]:
+    """The items (name, text) of each automaton."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).filter("t is not null")
+    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    parts = max(1, -(-size * window // AUTOMATON_BYTES))
+    part = F.pmod(F.xxhash64("i", "t"), F.lit(parts))
+    return [[(r["i"], r["t"].encode()) for r in (items if parts == 1 else items.filter(part == k)).collect()] for k in range(parts)]
 
 
 def scan(
@@ -113,20 +117,24 @@ def scan(
     pattern; an item without words or with null text is none; a null item_id is never reported by
     name but its windows count. Rows are kept as they come, repeated ones too.
 
-    ``benchmark`` is collected: its text is checked against ``AUTOMATON_BYTES`` first and a larger
-    one is refused, as it would have to be scanned in parts of that size.
+    Items whose windows do not fit in ``AUTOMATON_BYTES`` are dealt to several automata with one scan each; what
+    the scans hit in a text is united and judged as a whole, so the result does not depend on their number.
+    ``keep`` must not name one of the result's columns.
     """
     keep = ["doc_id"] if keep is None else keep
-    run = _scanner(docs, _items(benchmark, item_id, item_text), window, min_share, text_col)
+    if set(NAMES) & set(keep):
+        raise ValueError("keep names an output column")
+    parts = _item_parts(benchmark, item_id, item_text, window)
+    if len(parts) > 1:
+        return _scan_in_parts(docs, parts, window, min_share, text_col, keep)
+    run = _scanner(docs, parts[0], window, min_share, text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
                 found = list(run(part))
                 out = [part.column(part.schema.get_field_index(c)) for c in keep]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.bool_(),
-                         pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-                for i, kind in enumerate(kinds):
+                for i, kind in enumerate(_kinds()):
                     out.append(pa.array([f[i] for f in found], kind))
                 yield pa.RecordBatch.from_arrays(out, [*keep, *NAMES])
 
@@ -135,7 +143,6 @@ def scan(
     return source.mapInArrow(rows, f"{kept}, {SCAN_SCHEMA}")
 
 
-NAMES = ["n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "spans"]
 
 
 def _scanner(docs: DataFrame, items: list[tuple], window: int, min_share: float, text_col: str):
@@ -147,20 +154,78 @@ def _scanner(docs: DataFrame, items: list[tuple], window: int, min_share: float,
         found = automaton_of(key, shared.value)
         for text in binary_column(part, text_col):
             n, hit, owners = scan_text(found, text)
-            got = sorted({names[k] for k in owners if names[k] is not None})
-            digest = hashlib.sha256(",".join(got).encode()).hexdigest()
-            bad = len(hit) > 0 and len(hit) >= min_share * n - 1e-9
-            yield n, len(hit), len(owners), got, digest, bad, original_spans(text, hit) if len(hit) else []
+            yield _judged(text, n, hit, [(names[k], k) for k in owners], min_share)
 
     return run
 
 
+def _judged(text: bytes | None, n: int, hit: np.ndarray, owners: list[tuple[str | None, int]], min_share: float) -> tuple:
+    got = sorted({name for name, _ in owners if name is not None})
+    bad = len(hit) > 0 and len(hit) >= min_share * n - 1e-9
+    return n, len(hit), len(set(owners)), got, hashlib.sha256(",".join(got).encode()).hexdigest(), bad, original_spans(text, hit) if len(hit) else []
+
+
+def _scan_in_parts(docs: DataFrame, parts: list[list[tuple]], window: int, min_share: float, text_col: str, keep: list[str]) -> DataFrame:
+    """Each part's hits by hashes of the text, united and joined back to the rows."""
+    spark = docs.sparkSession
+    key = (F.xxhash64(F.col(text_col)), F.xxhash64(F.lit(1), F.col(text_col)))
+    texts = docs.select(*(k.alias(f"_t{i}") for i, k in enumerate(key)), F.col(text_col).cast("string").alias("_text")).filter("_text is not null")
+    found = None
+    for number, items in enumerate(parts):
+        shared, at = spark.sparkContext.broadcast(patterns_of(items, window)), f"{window}-{hashlib.sha1(repr(items).encode()).hexdigest()}"
+
+        def hits(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "_text"):
+                    rows = [scan_text(automaton_of(at, shared.value), t)[1:] for t in binary_column(part, "_text")]
+                    some = pa.array([len(hit) > 0 for hit, _ in rows], pa.bool_())
+                    columns = [part.column(0), part.column(1), pa.array([h.astype(np.int64).tobytes() for h, _ in rows], pa.binary()), pa.array([sorted(o) for _, o in rows], pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["_t0", "_t1", "hit", "owners"]).filter(some)
+
+        one = texts.mapInArrow(hits, "_t0 bigint, _t1 bigint, hit binary, owners array<int>").dropDuplicates(["_t0", "_t1"]).withColumn("part", F.lit(number))
+        one = materialise(one, "decontaminate-part")
+        found = one if found is None else found.unionByName(one)
+    # At most one entry for each part and distinct text.
+    united = materialise(found.groupBy("_t0", "_t1").agg(F.collect_list(F.struct("part", "hit", "owners")).alias("_found")), "decontaminate-hits")
+    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"), *(k.alias(f"_t{i}") for i, k in enumerate(key)))
+    rows = rows.join(small_enough(united), ["_t0", "_t1"], "left").select(*keep, "_text", "_found")
+    names = [[i for i, _ in items] for items in parts]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                out = []
+                for text, entries in zip(binary_column(part, "_text"), part.column(part.schema.get_field_index("_found")).to_pylist(), strict=True):
+                    hit = np.unique(np.concatenate([np.empty(0, np.int64), *(np.frombuffer(e["hit"], np.int64) for e in entries or [])]))
+                    owners = [(names[e["part"]][k], e["part"] << 32 | k) for e in entries or [] for k in e["owners"]]
+                    out.append(_judged(text, len(words_of(text)), hit, owners, min_share))
+                columns = [part.column(part.schema.get_field_index(c)) for c in keep]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[i] for r in out], k) for i, k in enumerate(_kinds()))], [*keep, *NAMES])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    return rows.mapInArrow(judge, f"{kept}, {SCAN_SCHEMA}")
+
+
+def _kinds() -> list[pa.DataType]:
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+    return [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.list_(span)]
+
+
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id",
     item_text: str = "text", window: int = 13, min_share: float = 0.05,
 ) -> DataFrame:
-    """``docs`` without contaminated rows, columns as they were; one scan, no shuffle."""
-    run = _scanner(docs, _items(benchmark, item_id, item_text), window, min_share, text_col)
+    """``docs`` without contaminated rows, columns as they were; one scan, no shuffle, where one automaton holds the items.
+
+    A null or word-less text is clean and stays, as do repeated rows; an empty benchmark drops nothing.
+    """
+    parts = _item_parts(benchmark, item_id, item_text, window)
+    if len(parts) > 1:
+        own = "_" * (1 + max(map(len, docs.columns)))
+        whole = docs.select(F.struct("*").alias(own), F.col(text_col).alias(own + "text"))
+        judged = _scan_in_parts(whole, parts, window, min_share, own + "text", [own])
+        return judged.filter("not contaminated").select(F.col(f"{own}.*"))
+    run = _scanner(docs, parts[0], window, min_share, text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
