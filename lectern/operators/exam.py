@@ -193,6 +193,15 @@ def anchor_references(refs: Column, context: Column, best: Column) -> Column:
     return F.slice(F.when(F.size(kept) > 0, kept).otherwise(F.transform(F.slice(best, 1, 2), lambda c: F.substring(c, 1, 120))), 1, 6)
 
 
+def without_model(answer: Column, found: Column) -> list[Column]:
+    """missing, error and points of a short answer that no model is asked about: a blank one, or one without material; else NULL."""
+    blank = strip(F.coalesce(answer, F.lit(""))) == ""
+    return [
+        F.when(blank, "未作答").when(~found, "未检索到课件素材，无法溯源批改").alias("missing"),
+        F.when(~blank & ~found, "RAG 检索为空").alias("error"), F.when(blank | ~found, 0).alias("points"),
+    ]
+
+
 def error_material(own: Column, retrieved: Column, already: Column) -> Column:
     """Material for a wrong answer: own references, else the three best retrieved; merged in order without repeats."""
     return F.array_distinct(F.concat(already, F.when(F.size(own) > 0, own).otherwise(F.slice(retrieved, 1, 3))))

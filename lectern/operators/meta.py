@@ -130,7 +130,12 @@ def messages_before(messages: DataFrame, before: int | None, limit: int) -> Data
 
 
 def audit_query(rows: DataFrame, start=None, end=None, **equal) -> DataFrame:
-    """Audit rows of an inclusive time range and given values; NULL filters are left out."""
+    """Audit rows of an inclusive time range and given values; NULL filters are left out.
+
+    Where the rows lie in folders of a ``day``, those outside the range are not read.
+    """
+    for bound, fits in ((start, F.col("day") >= F.to_date(F.lit(start))), (end, F.col("day") <= F.to_date(F.lit(end)))) if "day" in rows.columns else ():
+        rows = rows if bound is None else rows.filter(fits)
     for name, value in equal.items():
         if value is not None:
             rows = rows.filter(F.col(name) == F.lit(value))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.functions import text as X
 from lectern.operators import exam as E
+from lectern.operators import index as I
 from lectern.operators import retrieve as R
 from lectern.operators.metrics import latency_report, merged_latency
 from lectern.plans.registry import query
@@ -159,23 +161,49 @@ def anchor_references(t):
     return t.documents.select("doc_id", F.array_join(E.anchor_references(refs, F.col("text"), best), "|").alias("refs"))
 
 
-@query("unanswered_handling", """SELECT sheet_id, a.qid, CASE WHEN trim(a.answer) = '' THEN '未作答' WHEN q.knowledge_point IS NULL THEN 'no material found' END AS remark
-    FROM v_answers a JOIN v_questions q ON q.paper_id = a.paper_id AND q.qid = a.qid""")
+#: Course material: the names and kinds of parts, by knowledge base; number 7 has none. It is asked for by knowledge point or stem.
+_MATERIAL = f"""mc AS (SELECT p_partkey % 25 AS kb_id, 'part ' || p_partkey AS chunk_id, p_name || ' ' || p_type AS text FROM part WHERE p_partkey % 25 <> 7),
+    mq AS (SELECT row_number() OVER (ORDER BY query) AS query_id, query FROM (SELECT DISTINCT coalesce(knowledge_point, stem) AS query FROM v_questions)),
+    {_BM25.replace("v_chunks", "mc").replace("v_queries", "mq").replace("rank <= 20", "rank <= 3")},
+    mt AS (SELECT mq.query, kb_id, rank, text FROM bm JOIN mq USING (query_id) JOIN mc USING (kb_id, chunk_id))"""
+
+
+def _material(t):
+    """(query, kb_id, rank, text): the three best pieces of material in each knowledge base for each knowledge point or stem."""
+    chunks = t.part.filter("p_partkey % 25 <> 7").select((F.col("p_partkey") % 25).alias("kb_id"), F.concat(F.lit("part "), "p_partkey").alias("chunk_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    queries = written(t.v_questions.select(F.coalesce("knowledge_point", "stem").alias("query")).distinct().withColumn("query_id", F.xxhash64("query")), "material-queries")
+    bag = written(I.bags(chunks), "bags")
+    found = R.bm25_search(queries, bag, I.idf(I.term_stats(bag), I.corpus_stats(bag)), 3)
+    return written(found.join(queries, "query_id").join(chunks, ["kb_id", "chunk_id"]).select("query", "kb_id", "rank", "text"), "material")
+
+
+def _asked(t):
+    kb = (F.col("paper_id") % 25).alias("kb_id")
+    return t.v_questions.select("paper_id", "qid", "type", "stem", "knowledge_point", "l_suppkey", kb, F.coalesce("knowledge_point", "stem").alias("query"))
+
+
+@query("unanswered_handling", f"""WITH {_MATERIAL} SELECT sheet_id, a.qid, CASE WHEN trim(a.answer) = '' THEN '未作答' WHEN m.query IS NULL THEN '未检索到课件素材，无法溯源批改' END AS missing,
+    CASE WHEN trim(a.answer) <> '' AND m.query IS NULL THEN 'RAG 检索为空' END AS error, 0 AS points
+    FROM v_answers a JOIN v_questions q ON q.paper_id = a.paper_id AND q.qid = a.qid LEFT JOIN (SELECT DISTINCT query, kb_id FROM mt) m ON m.query = coalesce(q.knowledge_point, q.stem) AND m.kb_id = q.paper_id % 25 WHERE q.type = 'short' AND (trim(a.answer) = '' OR m.query IS NULL)""")
 def unanswered_handling(t):
-    """Material is found by knowledge point, so a question without one has none."""
-    points = t.v_questions.select("paper_id", "qid", "knowledge_point")
-    remark = F.when(F.trim("answer") == "", "未作答").when(F.col("knowledge_point").isNull(), "no material found")
-    return t.v_answers.join(points, ["paper_id", "qid"]).select("sheet_id", "qid", remark.alias("remark"))
+    """Short answers that need no model: blank ones, and those whose question finds no material in its knowledge base."""
+    found = _material(t).select("query", "kb_id", F.lit(True).alias("found")).distinct()
+    rows = t.v_answers.join(_asked(t).filter("type = 'short'"), ["paper_id", "qid"]).join(found, ["query", "kb_id"], "left")
+    return rows.select("sheet_id", "qid", *E.without_model(F.col("answer"), F.col("found").isNotNull())).filter("points = 0")
 
 
-@query("objective_error_material", """SELECT doc_id, string_agg(v, '|' ORDER BY k) AS refs FROM (SELECT doc_id, v, min(k) AS k FROM (
-    SELECT doc_id, unnest(l) AS v, unnest(range(len(l))) AS k FROM (SELECT doc_id, [source, source] || CASE WHEN doc_id % 2 = 0 THEN [substr(text, 1, 10), lang]
-    ELSE [lang, source, substr(text, 3, 8)] END AS l FROM documents)) WHERE v IS NOT NULL GROUP BY doc_id, v) GROUP BY doc_id""")
+@query("objective_error_material", f"""WITH {_GRADE}, {_MATERIAL}, rf AS (SELECT sheet_id, g.qid, CASE WHEN l_suppkey % 2 = 0 THEN [stem, stem, ' ' || q.type] ELSE coalesce(texts, []) END AS refs FROM gd g JOIN v_questions q USING (paper_id, qid)
+    LEFT JOIN (SELECT query, kb_id, list(text ORDER BY rank) AS texts FROM mt GROUP BY ALL) m ON m.query = coalesce(q.knowledge_point, q.stem) AND m.kb_id = q.paper_id % 25 WHERE points < g.score AND q.type <> 'short')
+    SELECT sheet_id, qid, string_agg(v, '|' ORDER BY k) AS refs FROM (SELECT sheet_id, qid, v, min(k) AS k FROM (SELECT sheet_id, qid, unnest(refs) AS v, unnest(range(len(refs))) AS k FROM rf) GROUP BY ALL) GROUP BY ALL""")
 def objective_error_material(t):
-    """Every other document has references of its own, the others take the best three of four retrieved."""
-    own = F.when(F.col("doc_id") % 2 == 0, F.array(F.substring("text", 1, 10), "lang")).otherwise(F.array().cast("array<string>"))
-    retrieved, already = F.array("lang", "source", F.substring("text", 3, 8), F.reverse("text")), F.array("source", "source")
-    return t.documents.select("doc_id", F.array_join(E.error_material(own, retrieved, already), "|").alias("refs"))
+    """Material for wrong objective answers: every other question has references of its own, the others take what is retrieved for them."""
+    wrong = _graded(t).filter("points < score and type <> 'short'").select("sheet_id", "paper_id", "qid")
+    found = _material(t).groupBy("query", "kb_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("texts"))
+    rows = wrong.join(_asked(t), ["paper_id", "qid"]).join(found, ["query", "kb_id"], "left")
+    none = F.array().cast("array<string>")
+    own = F.when(F.col("l_suppkey") % 2 == 0, F.array("stem", "stem", F.concat(F.lit(" "), "type"))).otherwise(none)
+    refs = E.error_material(own, F.coalesce("texts", none), none)
+    return rows.filter(F.size(refs) > 0).select("sheet_id", "qid", F.array_join(refs, "|").alias("refs"))
 
 
 @query("sheet_totals", f"""WITH {_GRADE}, {_SUBJ}, o AS (SELECT sheet_id, paper_id, sum(points) AS objective FROM gd GROUP BY ALL), u AS (SELECT paper_id, sum(knowledge + steps + conclusion + language) AS subjective FROM sj GROUP BY ALL)
@@ -363,13 +391,17 @@ def grounding_report(t):
     return checked.agg(rate(F.col("no_answer")).alias("refusal_rate"), rate(~F.col("no_answer") & ~F.col("grounded")).alias("hallucination_rate"))
 
 
-@query("citation_accuracy", """SELECT round(sum(CASE WHEN trim(r, s) <> '' AND contains(text, trim(r, s)) THEN 1 ELSE 0 END) / count(*), 6) AS accuracy FROM (
-    SELECT text, chr(9) || chr(10) || chr(13) || ' ' AS s, unnest([substr(text, 11, 30), reverse(substr(text, 5, 25)), source]) AS r FROM documents)""")
+@query("citation_accuracy", f"""WITH {_MATERIAL}, cx AS (SELECT query, kb_id, string_agg(text, chr(10) ORDER BY rank) AS context FROM mt GROUP BY ALL)
+    SELECT round(avg(CASE WHEN contains(coalesce(context, ''), stem) THEN 0.5 ELSE 0.0 END), 6) AS accuracy FROM v_questions q LEFT JOIN cx ON cx.query = coalesce(knowledge_point, stem) AND cx.kb_id = paper_id % 25 WHERE score = 20 AND qid % 5 < 3""")
 def citation_accuracy(t):
-    """Share of references that anchoring keeps as verbatim in their text, with nothing to fall back on."""
-    refs, none = F.array(F.substring("text", 11, 30), F.reverse(F.substring("text", 5, 25)), "source"), F.array().cast("array<string>")
-    kept = F.size(E.anchor_references(refs, F.col("text"), none))
-    return t.documents.agg(F.round(F.sum(F.greatest(kept, F.lit(0))) / F.sum(F.size(refs)), 6).alias("accuracy"))
+    """Share of the references in graded model outputs that the retrieved material holds verbatim; each output names two."""
+    context = _material(t).groupBy("query", "kb_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n").alias("context"))
+    outputs = t.v_model_outputs.filter("max_score = 20").select("paper_id", "qid", "output", "max_score").join(_asked(t), ["paper_id", "qid"]).join(context, ["query", "kb_id"], "left")
+    maxima = E.dimension_max_scores(F.col("max_score"), [F.lit(w) for w in E.DEFAULT_WEIGHTS])
+    graded = E.grade_subjective(outputs, F.col("output"), maxima, F.coalesce("context", F.lit("")))
+    told = F.size(F.coalesce(F.from_json(F.get_json_object(X.extract_json_object(F.col("output")), "$.dimensions[0].source_refs"), "array<string>"), F.array()))
+    kept = F.aggregate("scores", F.lit(0), lambda s, d: s + F.size(d["source_refs"]))
+    return graded.agg(F.round(F.sum(kept) / F.sum(F.greatest(told, F.lit(0))), 6).alias("accuracy"))
 
 
 @query("agent_success_report", """SELECT kb_id, status, count(*) AS tasks, round(count(*) / any_value(n), 6) AS share, round(avg(retries), 6) AS mean_retries, round(avg(duration_ms), 4) AS mean_ms, round(any_value(ok) / any_value(n), 6) AS success FROM v_agent_tasks

@@ -408,6 +408,22 @@ def classify_files(t):
     return classify(t.v_documents.withColumn("size", F.col("char_count") * 100_000), F.col("name"), F.col("size")).select("doc_id", "reason", "kind")
 
 
+@query("read_text_documents", """SELECT 'doc_' || doc_id AS title, CASE doc_id % 4 WHEN 1 THEN 'txt' ELSE 'markdown' END AS format, md5('课程 ' || doc_id || chr(10) || text) AS digest FROM documents WHERE doc_id % 4 <> 3""")
+def read_text_documents(t):
+    """Documents as files, the English ones in GBK, the others in UTF-8, and a quarter of a kind that is passed over; read back."""
+    from lectern.sources.files import read_text_documents as read
+    from lectern.sources.files import write_text_documents as write
+    from lectern.sources.scratch import shared_dir
+
+    path = f"{shared_dir(t.spark)}/files-{uuid.uuid4().hex}"
+    ending = F.element_at(F.array(*map(F.lit, (".md", ".txt", ".markdown", ".pdf"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    text = F.concat(F.lit("课程 "), "doc_id", F.lit("\n"), "text")
+    encoding = F.when((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x00-\x7F]"), "gbk").otherwise("utf-8")
+    docs = t.documents.select(F.concat(F.lit("doc_"), "doc_id", ending).alias("name"), text.alias("text"), encoding.alias("encoding"))
+    written(write(docs, path), "written-files")
+    return read(t.spark, path).select("title", "format", F.md5("text").alias("digest"))
+
+
 @query("file_fingerprint", "SELECT doc_id, sha256(text) AS hash FROM documents")
 def file_fingerprint(t):
     return t.documents.select("doc_id", F.sha2("text", 256).alias("hash"))

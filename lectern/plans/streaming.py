@@ -42,3 +42,16 @@ def stream_document_status(t):
 def stream_query_cache(t):
     key = F.concat_ws("|", (F.col("user_id") % 20).cast("string"), "event_type")
     return S.query_cache(_stream(t, "events").select(key.alias("key"), "event_id", "ts"), 3_600)
+
+
+@query("append_audit", "SELECT id, action FROM v_audit WHERE result = 'success' AND created_at >= TIMESTAMP '2024-01-02' AND created_at <= TIMESTAMP '2024-01-06'")
+def append_audit(t):
+    """The audit log appended from a stream by days, then asked for five of them."""
+    import datetime as dt
+
+    from lectern.operators.meta import audit_query
+
+    rows = _stream(t, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("event_type").alias("action"),
+                                       F.when(F.col("event_type") == "error", "failed").when(F.col("value") > 110, "permission_denied").otherwise("success").alias("result"))
+    log = S.append_audit(rows, S.place(t.spark, "audit-log"))
+    return audit_query(log, dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 6), result="success").select("id", "action")

@@ -2,27 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import document_type, file_extension
 
 MAX_BYTES = 100 << 20
+#: Fixed values.
 TYPE_LABELS = {"choice": "单选题", "fill": "填空题", "short": "简答题"}
 
 
-def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, title, format, text) of ``.md``, ``.markdown`` and ``.txt`` files; UTF-8, else GBK.
+def decoded(content: bytes) -> str:
+    """UTF-8, else GBK with what is in neither left out."""
+    try:
+        return content.decode()
+    except UnicodeDecodeError:
+        return content.decode("gbk", errors="ignore")
 
-    Needs ``spark.sql.legacy.javaCharsets`` for GBK; the setting is read when the rows are.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+
+def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, title, format, text) of ``.md``, ``.markdown`` and ``.txt`` files below a folder; each is UTF-8 or else GBK."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     files = files.filter(file_extension(name).isin(".md", ".markdown", ".txt"))
-    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
-    text = F.when(utf8, F.col("content").cast("string")).otherwise(F.decode("content", "GBK"))
-    return files.select("path", F.regexp_replace(name, r"\.[^.]+$", "").alias("title"),
-                        F.when(file_extension(name) == ".txt", "txt").otherwise("markdown").alias("format"), text.alias("text"))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # a file at a time, as files may be large
+                row = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([row.column(0), pa.array([decoded(row.column(1)[0].as_py() or b"")])], ["path", "text"])
+
+    rows = files.mapInArrow(decode, "path string, text string")
+    kind = F.when(file_extension(name) == ".txt", "txt").otherwise("markdown")
+    return rows.select("path", F.regexp_replace(name, r"\.[^.]+$", "").alias("title"), kind.alias("format"), "text")
+
+
+def write_text_documents(docs: DataFrame, path: str) -> DataFrame:
+    """Writes (name, text, encoding) as files in a folder that all executors reach; (name, bytes) of what was written.
+
+    A file is written whole under its name, so a task that runs again leaves the same files. The result is to be read once.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        at, folder = fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+        at.create_dir(folder, recursive=True)
+        for batch in batches:
+            names, sizes = batch.column(0).to_pylist(), []
+            for name, text, encoding in zip(names, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                content = (text or "").encode(encoding or "utf-8", errors="replace")
+                with at.open_output_stream(f"{folder}/{name}") as out:
+                    out.write(content)
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["name", "bytes"])
+
+    return docs.select("name", "text", "encoding").mapInArrow(write, "name string, bytes bigint")
 
 
 def classify(files: DataFrame, name: Column, size: Column) -> DataFrame:
@@ -32,8 +70,8 @@ def classify(files: DataFrame, name: Column, size: Column) -> DataFrame:
 
 
 def append_audit(rows: DataFrame, path: str) -> None:
-    """Audit rows are only ever added."""
-    rows.write.mode("append").parquet(path)
+    """Audit rows are only ever added, in a folder for each day. ``lectern.streaming.streams.append_audit`` does it from a stream, once each."""
+    rows.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
 
 
 def exam_markdown(papers: DataFrame, questions: DataFrame, with_answer: bool = True) -> DataFrame:

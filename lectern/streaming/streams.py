@@ -20,10 +20,11 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
 
 
-def drain(rows: DataFrame, name: str, folder: str | None = None, done: Callable | None = None) -> DataFrame:
+def drain(rows: DataFrame, name: str, folder: str | None = None, done: Callable | None = None, by: list[str] | None = None) -> DataFrame:
     """Runs an append stream over what there is, into Parquet; returns the written rows. In the same ``folder`` it goes on."""
     spark, folder = rows.sparkSession, folder or place(rows.sparkSession, name)
     query = rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log")
+    query = query.partitionBy(*by) if by else query
     query = query.trigger(availableNow=True).start()
     query.awaitTermination()
     if done:
@@ -87,6 +88,14 @@ def upserted(rows: DataFrame, name: str, keys: list[str], merge: Callable[[DataF
     return spark.createDataFrame([], rows.schema) if found is None else found
 
 
+def append_audit(rows: DataFrame, folder: str) -> DataFrame:
+    """Appends audit rows (with ``created_at``) from a stream, each once however often the query starts again on ``folder``; returns the whole log.
+
+    The log has a folder for each day, so ``audit_query`` with a time range reads the days of the range only.
+    """
+    return drain(rows.withColumn("day", F.to_date("created_at")), "audit-log", folder, by=["day"])
+
+
 def audit_counts(events: DataFrame, window: str = "1 day", late: str = "30 days", folder: str | None = None) -> DataFrame:
     """(start, action, n) of tumbling windows over ``created_at`` (timestamp).
 
