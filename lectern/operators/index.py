@@ -119,10 +119,11 @@ class StoredIndex:
         out = rows.withColumn("segment", F.lit(segment)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         out.partitionBy("kb_id", "segment").parquet(f"{self.path}/{name}")
 
-    def bags(self, kbs: list[int] | None = None) -> DataFrame:
-        """Chunks that count: (kb_id, chunk_id, doc_id, dl, terms, tfs) of all or the given knowledge bases."""
+    def bags(self, kbs: list[int] | None = None, before: int = 1 << 30) -> DataFrame:
+        """Chunks that count: (kb_id, chunk_id, doc_id, dl, terms, tfs) of all or the given knowledge bases, as of the segments ``before`` one."""
         rows = self._table("bags", "chunk_id string, doc_id bigint, dl bigint, terms array<string>, tfs array<bigint>", kbs)
-        gone = self._table("gone", "doc_id bigint", kbs).groupBy("kb_id", "doc_id").agg(F.max("segment").alias("until"))
+        rows = rows.filter(F.col("segment") < before)
+        gone = self._table("gone", "doc_id bigint", kbs).filter(F.col("segment") < before).groupBy("kb_id", "doc_id").agg(F.max("segment").alias("until"))
         live = rows.join(gone, ["kb_id", "doc_id"], "left").filter(F.col("until").isNull() | (F.col("segment") >= F.col("until")))
         return live.select("kb_id", "chunk_id", "doc_id", "dl", "terms", "tfs")
 
@@ -139,7 +140,7 @@ class StoredIndex:
         kbs = [r[0] for r in gone.select("kb_id").distinct().collect()]  # knowledge bases that change
         if not kbs:
             return
-        earlier = self.bags(kbs) if segment else new.limit(0)
+        earlier = self.bags(kbs, segment) if segment else new.limit(0)
         old = written(earlier.join(gone, ["kb_id", "doc_id"], "left_semi"), "replaced")
         minus = lambda rows, *names: rows.withColumns({c: -F.col(c) for c in names})
         terms = term_stats(new).unionByName(minus(term_stats(old), "df")).groupBy("kb_id", "term").agg(F.sum("df").alias("df")).filter("df <> 0")

@@ -24,7 +24,7 @@ def decoded(content: bytes) -> str:
 
 
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, title, format, text) of ``.md``, ``.markdown`` and ``.txt`` files below a folder; each is UTF-8 or else GBK."""
+    """(path, title, format, text) of ``.md``, ``.markdown`` and ``.txt`` files below a folder; each is UTF-8 or else GBK. Empty files are no documents."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     files = files.filter(file_extension(name).isin(".md", ".markdown", ".txt"))
