@@ -33,6 +33,8 @@ CHARACTERS = 5_000
 #: Share of rows in a learned language that rejection may lose; rows from which on a length bin has a tail of its own; and
 #: the least distance, in nats a character, of a limit from its language's mean.
 FALSE_REJECTION, TAIL_ROWS, MARGIN = 1e-4, 100, 1.25
+#: Characters of a text that are scored at once.
+PIECE_CHARS = 1 << 20
 PAD = "\n" * (ORDER - 1)
 #: First text lengths of the bins that rejection is calibrated in.
 LENGTH_BINS = (0, 64, 256, 1024)
@@ -87,22 +89,43 @@ def gram_logs(model: Model, by_order: list[np.ndarray], contexts: list[np.ndarra
     return out
 
 
+def _log_sums(model: Model, pieces: list[str]) -> np.ndarray:
+    """Log probabilities (pieces x languages) of the characters behind each piece's first ORDER - 1."""
+    points = _points("".join(pieces))
+    lengths = np.array([len(t) - ORDER + 1 for t in pieces])
+    ends = np.cumsum(lengths + ORDER - 1)
+    if len(points) < ORDER:
+        return np.zeros((len(pieces), len(model.languages)))
+    n = len(points) - ORDER + 1  # position p ends at p + ORDER - 1
+    by_order = [_hashes(points, k)[ORDER - k :] for k in range(1, ORDER + 1)]
+    contexts = [_hashes(points, k - 1)[ORDER - k : ORDER - k + n] for k in range(2, ORDER + 1)]
+    logs = gram_logs(model, by_order, contexts, ORDER, np.arange(n))
+    # Running sums in double precision; a piece's own positions are those after its padding.
+    sums = np.concatenate((np.zeros((1, logs.shape[1])), np.cumsum(logs, axis=0, dtype=np.float64)))
+    last = ends - ORDER + 1
+    return sums[last] - sums[last - lengths]
+
+
 def cross_entropies(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Nats per character (texts x languages) and lengths; an empty text has 0."""
+    """Nats per character (texts x languages) and lengths; an empty text has 0.
+
+    A text longer than ``PIECE_CHARS`` is scored in pieces, each behind the ORDER - 1 characters before it, so memory
+    does not grow with its length.
+    """
     lower = [t.lower() for t in texts]
-    points = _points("".join(PAD + t for t in lower))
     lengths = np.array([len(t) for t in lower])
-    ends = np.cumsum(lengths + ORDER - 1)
     total = np.zeros((len(texts), len(model.languages)))
-    if len(points) >= ORDER:
-        n = len(points) - ORDER + 1  # position p ends at p + ORDER - 1
-        by_order = [_hashes(points, k)[ORDER - k :] for k in range(1, ORDER + 1)]
-        contexts = [_hashes(points, k - 1)[ORDER - k : ORDER - k + n] for k in range(2, ORDER + 1)]
-        logs = gram_logs(model, by_order, contexts, ORDER, np.arange(n))
-        # Running sums in double precision; a text's own positions are those after its padding.
-        sums = np.concatenate((np.zeros((1, logs.shape[1])), np.cumsum(logs, axis=0, dtype=np.float64)))
-        last = ends - ORDER + 1
-        total = sums[last] - sums[last - lengths]
+    held, of, size = [], [], 0
+    for i, t in enumerate(lower):
+        for start in range(0, max(1, len(t)), PIECE_CHARS):
+            held.append((t[start - ORDER + 1 : start] if start else PAD) + t[start : start + PIECE_CHARS])
+            of.append(i)
+            size += len(held[-1])
+            if size > 2 * PIECE_CHARS:
+                np.add.at(total, of, _log_sums(model, held))
+                held, of, size = [], [], 0
+    if held:
+        np.add.at(total, of, _log_sums(model, held))
     return -total / np.maximum(lengths, 1)[:, None], lengths
 
 

@@ -104,3 +104,14 @@ def test_nothing_to_learn(spark):
     some = spark.createDataFrame([(1, "abc", None)], "doc_id bigint, text string, lang string")
     assert [r.lang_pred for r in langid.identify(some, model, keep=["doc_id"]).collect()] == ["und"]
     assert langid.identify(empty, model, keep=["doc_id"]).count() == 0
+
+
+def test_pieces_add_up_to_the_whole_text(spark, monkeypatch):
+    docs = spark.createDataFrame([("the cat sat on the mat " * 20, "en"), ("der hund lief in den wald " * 20, "de")] * 3, "text string, lang string")
+    model = langid.train(docs)
+    texts = ["the dog ran in the wald " * 40, "", "x", "Der é " * 7]
+    whole, lengths = langid.cross_entropies(model, texts)
+    for size in (langid.ORDER, 7, 100):
+        monkeypatch.setattr(langid, "PIECE_CHARS", size)
+        parts, same = langid.cross_entropies(model, texts)
+        assert abs(parts - whole).max() < 1e-9 and (same == lengths).all()
