@@ -90,15 +90,17 @@ def with_views(sql: str) -> str:
 def passages_in(docs: DataFrame, items: DataFrame, words: int = 5) -> DataFrame:
     """(query_id, doc_id) where a document's text contains the whole text of a benchmark item.
 
-    A text that contains an item also has the item's words 2 to ``words`` + 1 (between single blanks)
-    in a row, so candidates come from an equality join on those and are then checked. Items of fewer
-    than ``words`` + 2 words have no such inner words; they meet every document.
+    A text that contains an item also has the item's inner words, all but its first and last (between single blanks), in
+    a row; up to ``words`` of them are its key, so candidates come from an equality join on word sequences of the
+    lengths that keys have, and are then checked. Only items of one or two words, which have no inner word, meet every document.
     """
     parts = F.split("text", " ", -1)
-    keyed = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), F.when(F.size(parts) >= words + 2, F.array_join(F.slice(parts, 2, words), " ")).alias("key"))
-    rows = docs.select("doc_id", "text", F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - words + 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, words), " ")).alias("keys"))
-    keys = rows.filter("text is not null").select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
-    pairs = keys.join(keyed.filter("key is not null"), "key").select("query_id", "doc_id").distinct()
+    inner = F.least(F.size(parts) - 2, F.lit(words))
+    keyed = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), inner.alias("n"), F.when(inner > 0, F.array_join(F.slice(parts, F.lit(2), F.greatest(inner, F.lit(1))), " ")).alias("key"))
+    lengths = [r[0] for r in keyed.filter("n > 0").select("n").distinct().collect()]  # at most ``words``
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, n), " "))
+    rows = docs.filter("text is not null").select("doc_id", F.array_distinct(F.concat(*map(grams, lengths or [words]))).alias("keys"))
+    pairs = rows.select("doc_id", F.explode("keys").alias("key")).join(keyed.filter("key is not null"), "key").select("query_id", "doc_id").distinct()
     pairs = pairs.join(docs.select("doc_id", "text"), "doc_id").join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("item")), "query_id")
     found = pairs.filter(F.contains("text", "item"))
     short = keyed.filter("key is null and item is not null").join(docs.select("doc_id", "text"), F.contains("text", "item"))
