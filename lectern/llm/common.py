@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +16,19 @@ from pyspark.sql import functions as F
 # Buffers of whole slices come and go in long-lived Python workers; the system's allocator gives their memory back.
 pa.set_memory_pool(pa.system_memory_pool())
 
+
+def _give_back(large: int = 4 << 20) -> None:
+    """Blocks from ``large`` bytes on are mapped one by one, so what a slice needed goes back when it is freed (glibc; elsewhere nothing)."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, large)  # M_MMAP_THRESHOLD, which else grows with the blocks that are freed
+        libc.mallopt(-1, large)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):
+        pass
+
+
+_give_back()
+
 #: A side is broadcast only if its written table is at most this many bytes.
 BROADCAST_BYTES = 32 << 20
 
