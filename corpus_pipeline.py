@@ -14,12 +14,20 @@ from lectern.llm.common import materialise, small_enough
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; models learn from all labelled languages of the input."""
+    """Documents whose language is recognised; models learn from all labelled languages of the input.
+
+    Null, empty and letterless texts go; without any labelled language nothing is recognised and all go. Repeated rows
+    stay or go together.
+    """
     return langid.drop_rejected(docs, langid.train(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, min_chars: int = 1) -> DataFrame:
-    """Near-equal lines of ``min_chars`` characters or more kept once; n_chars follows the text."""
+    """Near-equal lines of ``min_chars`` characters or more kept once; n_chars follows the text.
+
+    A line stays where the document id is smallest (ties: first place). Documents that lose their last line go; null, empty
+    and blank texts stay; repeated rows keep the same lines.
+    """
     kept = lines.dedup_lines(docs, min_chars=min_chars).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else kept
 
@@ -40,12 +48,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark windows."""
+    """Documents that are not contaminated by benchmark windows.
+
+    Null and word-less texts stay, repeated rows stay or go together; an empty benchmark drops nothing.
+    """
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's bucket and batch; lengths are tokens, counted as in op6_digest_cache."""
+    """Every document's bucket and batch; lengths are tokens, counted as in op6_digest_cache.
+
+    Null and empty texts have 0 tokens and are packed, too; repeated rows are packed each.
+    """
     import public_tokenizers
 
     return packing.pack_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
