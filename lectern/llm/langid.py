@@ -294,7 +294,13 @@ def _parts(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[pa.RecordBatc
 
 
 def identify(docs: DataFrame, model: Model, *, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` with lang_pred, score and rejected. Rows come through one by one."""
+    """Columns ``keep`` (none of them a result's name) with lang_pred, score and rejected.
+
+    Rows come through one by one, repeated ones too; what ``predict`` says of null, empty and letterless texts and of
+    ties holds. An empty table gives an empty result, other columns are not read.
+    """
+    if {"lang_pred", "score", "rejected"} & set(keep):
+        raise ValueError("keep names an output column")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
@@ -310,7 +316,11 @@ def identify(docs: DataFrame, model: Model, *, keep: list[str], text_col: str =
 
 
 def drop_rejected(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """``docs`` without rows that identification rejects; one scan, columns as they were."""
+    """``docs`` without rows that identification rejects; one scan, columns as they were.
+
+    Null, empty and letterless texts go, as no language is recognised in them, and all rows if there is no model; repeated
+    rows stay or go together.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

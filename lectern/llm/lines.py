@@ -218,7 +218,11 @@ def _row_key(id_col: str, text_col: str) -> tuple:
 
 
 def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, min_chars: int, percent: int) -> DataFrame:
-    """(r1, r2, places): for each document row (hashes of id and text) the lines that are not the first of their component."""
+    """(r1, r2, places): for each document row (hashes of id and text) the lines that are not the first of their component.
+
+    First is the smallest (id, row, place), null ids before others. Rows that lose nothing, null, empty and blank texts do
+    not occur; repeated rows occur once. An empty table gives an empty result.
+    """
     spark = docs.sparkSession
     r1, r2 = _row_key(id_col, text_col)
     rows = docs.select(r1.alias("r1"), r2.alias("r2"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))

@@ -115,6 +115,10 @@ def pack(
 
 
 def pack_tokens(docs: DataFrame, tokenizer: str, *, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``pack`` by the number of tokens of each text; rows are dealt by a hash of id and content, so no text is shuffled."""
+    """``pack`` by the number of tokens of each text; rows are dealt by a hash of id and content, so no text is shuffled.
+
+    A null text counts as empty, with 0 tokens, and is packed like any; null ids and repeated rows are rows of their own.
+    An empty table gives an empty result; other columns, whatever their names, are not read.
+    """
     found = materialise(token_lengths(docs, tokenizer, cache=cache, id_col=id_col, text_col=text_col), "token-lengths")
     return pack(found, F.col("n_tokens"), text_col="content")

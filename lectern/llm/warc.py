@@ -264,7 +264,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_digests(records: DataFrame) -> DataFrame:
-    """Per page: length and digest of the full payload; a revisit's come from the response it refers to."""
+    """Per page: length and digest of the full payload; a revisit's come from the response it refers to.
+
+    A record of an empty payload is a page of 0 bytes; repeated records are repeated rows; a record whose name is no
+    page's has a null page_id. No records give an empty result.
+    """
     page = lambda c: F.regexp_extract(c, r"^<urn:x-page:(-?\d+)>$", 1).try_cast("bigint")
     rows = records.select(
         page(F.col("name")).alias("page_id"), "payload_bytes", F.col("sha1").alias("payload_digest"), "record_type",
