@@ -141,6 +141,21 @@ def test_passages_without_all_pairs(spark):
     assert sorted(map(tuple, got)) == sorted((i, d) for i, x in items for d, t in docs if x is not None and t is not None and x in t)
 
 
+def test_passages_in_long_texts_take_no_quadratic_time(spark):
+    import time
+
+    from lectern.sources.views import holding, passages_in
+
+    words = [f"w{i % 977}x{i}" for i in range(40_000)]
+    items = spark.createDataFrame([(1, " ".join(words[39_000:39_030])), (2, "not in it at all"), (3, " ".join(words[:3]))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(7, " ".join(words)), (8, " ".join(words[:20_000])), (9, None)], "doc_id bigint, text string").coalesce(1)
+    began = time.time()
+    assert sorted(map(tuple, passages_in(docs, items).collect())) == [(1, 7), (3, 7), (3, 8)]
+    assert time.time() - began < 60
+    pairs = spark.createDataFrame([(1, 7), (1, 8), (2, 7), (3, 9)], "query_id bigint, doc_id bigint")
+    assert [tuple(r) for r in holding(docs, items, pairs).collect()] == [(1, 7)]
+
+
 def pages_by_rule(text, size):
     """A page is closed by the line with which its lines, ends not counted, have ``size`` characters."""
     if not text.strip():
