@@ -156,6 +156,30 @@ def test_passages_in_long_texts_take_no_quadratic_time(spark):
     assert [tuple(r) for r in holding(docs, items, pairs).collect()] == [(1, 7)]
 
 
+def test_near_duplicate_questions_move_texts_not_grams(spark):
+    import re
+    from collections import Counter
+
+    from lectern.operators.exam import near_duplicate_questions
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcé中") for _ in range(rng.randint(1, 4)))
+    base = [" ".join(word() for _ in range(12)) for _ in range(30)]
+    stems = [*[rng.choice(base) + rng.choice(["", " ab", word()]) for _ in range(150)], "", None, "x", "x", " ", "zz"]
+    rows = [(p, i, s, rng.choice([None, "kp"])) for p, n in ((1, 156), (2, 3), (3, 70), (4, 1)) for i, s in enumerate(rng.sample(stems, n))]
+    frame = spark.createDataFrame(rows, "paper_id bigint, qid bigint, stem string, knowledge_point string")
+    for block in (2_048, 40):
+        got = near_duplicate_questions(frame, block=block)
+        count = {}
+        for p, i, s, k in rows:
+            t = re.sub(r"\s+", "", f"{s or ''} {k or ''}")
+            count[p, i] = Counter([t[x : x + 2] for x in range(max(len(t) - 1, 1))] if t else [])
+        norm = {x: sum(c * c for c in v.values()) ** 0.5 for x, v in count.items()}
+        close = lambda x, y: norm[x] and norm[y] and round(sum(c * count[y][g] for g, c in count[x].items()) / (norm[x] * norm[y]), 9) >= 0.9
+        want = sorted(y for y in count if any(x[0] == y[0] and x[1] < y[1] and close(x, y) for x in count))
+        assert len(want) > 50 and sorted(map(tuple, got.collect())) == want
+
+
 def pages_by_rule(text, size):
     """A page is closed by the line with which its lines, ends not counted, have ``size`` characters."""
     if not text.strip():
