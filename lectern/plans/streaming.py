@@ -9,8 +9,13 @@ from lectern.streaming import streams as S
 
 
 def _stream(t, name):
-    rows = getattr(t, name)
-    return t.spark.readStream.schema(rows.schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.sf_dir)
+    """A table as a stream, be it one file or a folder of files."""
+    path = f"{t.sf_dir}/{name}.parquet"
+    at = t.spark._jvm.org.apache.hadoop.fs.Path(path)
+    rows = t.spark.readStream.schema(getattr(t, name).schema)
+    if at.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return rows.parquet(path)
+    return rows.option("pathGlobFilter", f"{name}.parquet").parquet(t.sf_dir)
 
 
 @query("stream_audit_counts", "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type AS action, count(*) AS n FROM events GROUP BY ALL")

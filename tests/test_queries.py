@@ -180,6 +180,32 @@ def test_near_duplicate_questions_move_texts_not_grams(spark):
         assert len(want) > 50 and sorted(map(tuple, got.collect())) == want
 
 
+def test_json_is_cut_out_once_a_row(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.functions.text import extract_json_array, extract_json_object, once
+    from lectern.operators.exam import parse_verdict
+
+    assert [r[0] for r in spark.range(3).select(once(F.rand(), lambda x: x == x)).collect()] == [True] * 3
+    verdict = parse_verdict(F.col("c"))
+    assert str(spark.createDataFrame([("x",)], "c string").select(verdict)._jdf.queryExecution().optimizedPlan()).count("try_parse_json") <= 2
+    rows = [("x {\"a\":1} y", "{\"a\":1}", None), ("}{", None, None), ("```json\n{\"a\":1}\n```", "{\"a\":1}", None), ("中😀[1,\"中\"]尾", None, "[1,\"中\"]"),
+            ("[{\"a\":1}]", "{\"a\":1}", "[{\"a\":1}]"), (None, None, None)]
+    got = spark.createDataFrame(rows, "c string, o string, a string").select(extract_json_object(F.col("c")), extract_json_array(F.col("c"))).collect()
+    assert [tuple(r) for r in got] == [r[1:] for r in rows]
+
+
+@pytest.mark.parametrize("name", ["stream_recent_messages", "stream_hash_dedup"])
+def test_streams_read_tables_that_are_folders(spark, tmp_path, name):
+    import __spark_entry__
+
+    for table in ("documents", "conversations"):
+        spark.read.parquet(f"{SF}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    run = __spark_entry__.queries()[name]
+    got = rows_of(run(spark, str(tmp_path)).toPandas())
+    assert got and got == rows_of(run(spark, SF).toPandas())
+
+
 def pages_by_rule(text, size):
     """A page is closed by the line with which its lines, ends not counted, have ``size`` characters."""
     if not text.strip():
