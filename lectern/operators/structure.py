@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import normalize_chunk_text, strip
+from lectern.operators.index import hashed
 
 # What parts a text, from coarse to fine; what looks like a page number or an ornament.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", ". ", "，", ",", " ")
 NOISE = r"(?iU)^(?:\d{1,4}|第\s*\d+\s*页|page\s*\d+|\d+\s*/\s*\d+)$"
 
+#: White space as the native functions strip it.
+BLANK = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def split_pages(text: Column, size: int = 1500) -> Column:
     """Array of page texts as they are: lines are gathered until they have ``size`` characters; blank text is one empty page."""
@@ -114,37 +119,73 @@ def pack_pieces(pages: list[tuple[int, list[str]]], size: int, overlap: int) ->
 def chunk_recursive(pages: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:
     """(doc_id, chunk_index, page_number, text) from pages; a size or overlap of 0 means the default.
 
-    Pages are cut natively. Packing is a sequential fold over one document, done in Python inside each
-    group; documents are the unit of parallelism.
+    Cutting and packing are a sequential fold over one document, done in Python by Arrow batches of whole documents; documents are
+    the unit of parallelism.
     """
     size, overlap = size or 512, overlap or 50
+    pack = lambda rows: pack_pieces([(r["page_number"], pieces(r["text"] or "")) for r in rows], size, overlap)
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("page_number").cast("int").alias("page_number"), "text")))
+    chunks = _folded(pages.groupBy("doc_id").agg(ordered.alias("rows")), pack)
+    return chunks.withColumn("text", normalize_chunk_text(F.col("text")))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("page_number")
-        found = pack_pieces(list(zip(rows["page_number"], rows["pieces"], strict=True)), size, overlap)
-        return pd.DataFrame({
-            "doc_id": rows["doc_id"].iloc[0], "chunk_index": range(len(found)), "page_number": [p for p, _ in found], "text": [x for _, x in found],
-        })
 
-    cut = pages.select("doc_id", "page_number", segments(F.col("text")).alias("pieces"))
-    chunks = cut.groupBy("doc_id").applyInPandas(fold, "doc_id bigint, chunk_index int, page_number int, text string")
-    return chunks.withColumn("text", normalize_chunk_text(F.col("text")))
+def pieces(text: str) -> list[str]:
+    """As ``segments``, of one text. The longer separators are replaced before the shorter ones that they hold."""
+    for x in SEPARATORS:
+        text = text.replace(x, "\n")
+    return [y for x in text.split("\n") if (y := x.strip(BLANK))]
+
+
+def _folded(docs: DataFrame, fold: Callable[[list[dict]], list[tuple[int | None, str | None]]]) -> DataFrame:
+    """(doc_id, chunk_index, page_number, text) of what ``fold`` makes of the ``rows`` (an array in order) of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for k in range(batch.num_rows):  # a document at a time, as batches may be large
+                doc = batch.column(0)[k].as_py()
+                out += [(doc, i, *c) for i, c in enumerate(fold(batch.column(1)[k].as_py()))]
+                if len(out) >= 4_096:
+                    yield _chunk_rows(out)
+                    out = []
+            yield _chunk_rows(out)
+
+    return docs.select(F.col("doc_id").cast("bigint"), "rows").mapInArrow(run, CHUNKS)
+
+
+#: What becomes of documents, as rows.
+CHUNKS = "doc_id bigint, chunk_index int, page_number int, text string"
+
+
+def _chunk_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"doc_id": pa.int64(), "chunk_index": pa.int32(), "page_number": pa.int32(), "text": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
+
+
+def merged_small(chunks: list[tuple[int | None, str | None]], least: int, size: int) -> list[tuple[int | None, str | None]]:
+    """Of (page, text) in order: a text shorter than ``least`` joins the one before it if both fit in ``size``; null texts stay alone."""
+    out: list[tuple[int | None, str | None]] = []
+    held: list[str] = []  # parts of the last text, joined when it is complete
+    length = 0
+    for page, text in chunks:
+        if held and text is not None and len(text) < least and length + len(text) + 1 <= size:
+            held.append(text)
+            length += len(text) + 1
+            continue
+        if held:
+            out[-1] = (out[-1][0], "\n".join(held))
+        out.append((page, text))
+        held, length = ([], 0) if text is None else ([text], len(text))
+    if held:
+        out[-1] = (out[-1][0], "\n".join(held))
+    return out
 
 
 def merge_small_chunks(chunks: DataFrame, least: int = 50, size: int = 512) -> DataFrame:
     """A chunk shorter than ``least`` joins its predecessor if both fit in ``size``; (doc_id, chunk_index, page_number, text), renumbered."""
-    kind = "array<struct<page_number:int,text:string>>"
     ordered = F.array_sort(F.collect_list(F.struct("chunk_index", F.col("page_number").cast("int").alias("page_number"), "text")))
-
-    def step(done: Column, c: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joins = (F.size(done) > 0) & (F.length(c["text"]) < least) & (F.length(last["text"]) + F.length(c["text"]) + 1 <= size)
-        one = F.struct(last["page_number"].alias("page_number"), F.concat_ws("\n", last["text"], c["text"]).alias("text"))
-        own = F.struct(c["page_number"].alias("page_number"), c["text"].alias("text"))
-        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(one))).otherwise(F.concat(done, F.array(own))).cast(kind)
-
-    merged = chunks.groupBy("doc_id").agg(F.aggregate(ordered, F.array().cast(kind), step).alias("c"))
-    return merged.select("doc_id", F.posexplode("c").alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.page_number", "c.text")
+    fold = lambda rows: merged_small([(r["page_number"], r["text"]) for r in rows], least, size)
+    return _folded(chunks.groupBy("doc_id").agg(ordered.alias("rows")), fold)
 
 
 def semantic_spans(lengths: np.ndarray, vectors: np.ndarray, size: int, threshold: float) -> list[tuple[int, int]]:
@@ -171,23 +212,35 @@ def semantic_spans(lengths: np.ndarray, vectors: np.ndarray, size: int, threshol
 def chunk_semantic(sentences: DataFrame, size: int = 512, threshold: float = 0.75, least: int = 50) -> DataFrame:
     """(doc_id, chunk_index, page_number, text) from (doc_id, page_number, pos, text, vector), small chunks merged.
 
-    Where to cut is a fold over one document; the texts stay columns and are put together natively.
+    In place of ``vector`` sentences may have ``words``; they are then embedded as by ``hashing_embed`` where a document is cut, so
+    that no vectors move. Where to cut is a fold over one document, whose sentences are brought together once.
     """
-
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["page_number", "pos"])
-        spans = semantic_spans(rows["n"].to_numpy(), np.stack(rows["vector"].to_numpy()).astype(float), size, threshold)
-        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[0], "chunk_index": range(len(spans)), "first": [a for a, _ in spans], "last": [b for _, b in spans]})
-
-    keyed = sentences.select("doc_id", "page_number", "pos", F.length("text").alias("n"), "vector")
-    spans = keyed.groupBy("doc_id").applyInPandas(cut, "doc_id bigint, chunk_index int, first int, last int")
-    ordered = F.array_sort(F.collect_list(F.struct("page_number", "pos", "text")))
-    whole = sentences.groupBy("doc_id").agg(ordered.alias("s"))
-    part = F.slice("s", F.col("first") + 1, F.col("last") - F.col("first"))
-    chunks = spans.join(whole, "doc_id").select(
-        "doc_id", "chunk_index", part[0]["page_number"].cast("int").alias("page_number"), F.array_join(F.transform(part, lambda x: x["text"]), "\n").alias("text")
-    )
-    return merge_small_chunks(chunks, least, size)
+    given = "words" not in sentences.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            first = 0
+            while first < batch.num_rows:  # documents of about 2,048 sentences at a time, as a vector is larger than most sentences
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + 2_048, "right")))
+                yield _chunk_rows(cut(batch.column(0).slice(first, last - first).to_pylist(), batch.column(1).slice(first, last - first)))
+                first = last
+
+    def cut(docs: list[int | None], held: pa.ListArray) -> list[tuple]:
+        pages, _, texts, what = held.flatten().flatten()
+        vectors = np.array(what.to_pylist(), float) if given else hashed(what)
+        pages, texts, out, begin = pages.to_pylist(), texts.to_pylist(), [], 0
+        for doc, n in zip(docs, held.value_lengths().to_pylist(), strict=True):
+            own = texts[begin : begin + n]
+            spans = semantic_spans(np.array([len(x) for x in own]), vectors[begin : begin + n], size, threshold)
+            chunks = merged_small([(pages[begin + a], "\n".join(own[a:b])) for a, b in spans], least, size)
+            out += [(doc, i, *c) for i, c in enumerate(chunks)]
+            begin += n
+        return out
+
+    what = F.struct(F.col("page_number").cast("int").alias("page_number"), "pos", "text", "vector" if given else "words")
+    docs = sentences.groupBy("doc_id").agg(F.array_sort(F.collect_list(what)).alias("rows"))
+    return docs.select(F.col("doc_id").cast("bigint"), "rows").mapInArrow(run, CHUNKS)
 
 
 def chunk_metadata(chunks: DataFrame, extra: Column | None = None) -> DataFrame:

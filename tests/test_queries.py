@@ -43,6 +43,49 @@ def test_recursive_chunks():
     assert all(len(x) <= 220 or "\n" not in x for _, x in found) and {p for p, _ in found} == {1, 2}
 
 
+def test_pieces_are_segments_and_null_texts_stay_alone(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.operators.structure import merged_small, pieces, segments
+
+    rng = random.Random(7)
+    texts = ["", "a. . b", "x\x85. \xa0", *("".join(rng.choice(["a", ".", " ", "\n", "。", "，", ",", "\t", "\x1c", "\u3000", "é"]) for _ in range(40)) for _ in range(80))]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(segments(F.col("text"))).collect()
+    assert [r[0] for r in got] == [pieces(t) for t in texts]
+    assert merged_small([(1, "a"), (1, None), (2, "b"), (2, "c"), (3, "d" * 9)], 3, 9) == [(1, "a"), (1, None), (2, "b\nc"), (3, "d" * 9)]
+
+
+def test_sentences_are_embedded_where_they_are_cut(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.functions.text import tokenize
+    from lectern.operators.index import bags, embed_bags, hashing_embed
+    from lectern.operators.structure import chunk_semantic
+
+    rng = random.Random(9)
+    rows = [(d, 1, i, " ".join(rng.choice(["alpha", "beta", "gamma", "x", "中文"]) for _ in range(rng.randint(0, 6))) + "!") for d in range(40) for i in range(rng.randint(1, 300))]
+    said = spark.createDataFrame(rows, "doc_id bigint, page_number int, pos int, text string")
+    vectors = hashing_embed(said, ["doc_id", "page_number", "pos", "text"], "text")
+    want = chunk_semantic(vectors.withColumnRenamed("embedding", "vector"), 60, 0.6, 9).collect()
+    assert len(want) > 100 and sorted(chunk_semantic(said.withColumn("words", tokenize(F.col("text"))), 60, 0.6, 9).collect()) == sorted(want)
+    # Counted tokens give the vectors that texts give.
+    chunks = said.select(F.lit(1).cast("bigint").alias("kb_id"), F.concat_ws(":", "doc_id", "pos").alias("chunk_id"), "text")
+    assert sorted(embed_bags(bags(chunks), ["chunk_id"]).collect()) == sorted(hashing_embed(chunks, "chunk_id", "text").collect())
+
+
+def test_tokens_of_texts_with_control_characters(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.functions.text import clean_text, normalize_chunk_text, tokenize
+
+    rng = random.Random(4)
+    texts = [None, *("".join(rng.choice(["a", "B", "中", "文", " ", "  ", "\n", "\r", "\t", "\x00", "\x1f", "\x7f", "\u3000", "\n\n\n", "é", "-"]) for _ in range(30)) for _ in range(200))]
+    c = F.col("text")
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = rows.select(tokenize(c).alias("a"), tokenize(clean_text(c)).alias("b"), normalize_chunk_text(c).alias("n"), normalize_chunk_text(F.concat(c, F.lit("\t"))).alias("m")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and [r.n for r in got] == [r.m for r in got]
+
+
 def merged(chunks, least=50, size=512):
     """Plain statement: a short chunk joins the one before it if both fit."""
     out = []
