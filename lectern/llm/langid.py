@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import materialise, slices
+from lectern.llm.common import lean, materialise, slices
 
 ORDER = 4
 #: Labelled rows that a language's model learns from at most: those with the smallest hashes.
@@ -312,7 +312,7 @@ def identify(docs: DataFrame, model: Model, *, keep: list[str], text_col: str =
                 arrays += [pa.array(v, t) for v, t in zip(found, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, [*keep, "lang_pred", "score", "rejected"])
 
-    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(rows, f"{kept}, lang_pred string, score double, rejected boolean")
+    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(lean(rows), f"{kept}, lang_pred string, score double, rejected boolean")
 
 
 def drop_rejected(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
@@ -328,7 +328,7 @@ def drop_rejected(docs: DataFrame, model: Model, *, text_col: str = "text") -> D
             for part, texts in _parts(batch, text_col):
                 yield part.filter(pa.array([not r for r in predict(shared.value, texts)[2]], pa.bool_()))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(lean(rows), docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lectern.llm.common import binary_column, buckets_of, looked_up, materialise, packed, slices, small_enough
+from lectern.llm.common import binary_column, buckets_of, lean, looked_up, materialise, packed, slices, small_enough
 from lectern.llm.components import components
 from lectern.llm.metric import links, shared_cells
 from lectern.llm.shingles import LOWER, mix
@@ -226,16 +226,16 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, min_chars: in
     spark = docs.sparkSession
     r1, r2 = _row_key(id_col, text_col)
     rows = docs.select(r1.alias("r1"), r2.alias("r2"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    places = rows.mapInArrow(_occurrences(min_chars), "r1 bigint, r2 bigint, doc_id bigint, place int, id binary")
+    places = rows.mapInArrow(lean(_occurrences(min_chars)), "r1 bigint, r2 bigint, doc_id bigint, place int, id binary")
     places = materialise(places, "line-places")
     text = rows.select("text")
-    bands = text.mapInArrow(_bands(min_chars, buckets_of(spark)), "bucket int, keys binary, ids binary")
-    bands = bands.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "cell bigint, id binary")
+    bands = text.mapInArrow(lean(_bands(min_chars, buckets_of(spark))), "bucket int, keys binary, ids binary")
+    bands = bands.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_meet), "cell bigint, id binary")
     cells = materialise(shared_cells(bands, "line-shared"), "line-cells")
     wanted = materialise(cells.select("id").distinct(), "line-wanted")
     # The same line in many documents is one item, whatever its number of copies.
-    bodies = text.mapInArrow(_bodies(min_chars), "id binary, body binary").join(small_enough(wanted), "id", "left_semi").dropDuplicates(["id"])
-    info = materialise(bodies.mapInArrow(_sketches, "id binary, n bigint, sketch binary, body binary"), "line-info")
+    bodies = text.mapInArrow(lean(_bodies(min_chars)), "id binary, body binary").join(small_enough(wanted), "id", "left_semi").dropDuplicates(["id"])
+    info = materialise(bodies.mapInArrow(lean(_sketches), "id binary, n bigint, sketch binary, body binary"), "line-info")
     whole = lambda ids: info.select("id", "body").join(small_enough(ids), "id", "left_semi")
     roots = components(links(cells, info.select("id", "n", "sketch"), whole, line_set, percent))
     grouped = looked_up(places, roots, "id", "left").select(
@@ -291,4 +291,4 @@ def dedup_lines(
     gone = lost.select(F.col("r1").alias(own + "1"), F.col("r2").alias(own + "2"), F.col("places").alias(own + "places"))
     joined = keyed.join(small_enough(gone), [own + "1", own + "2"], "left").select(*names, own + "places")
     schema = StructType([*docs.select(*names).schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
-    return joined.mapInArrow(_without_places(names, text_col, own + "places"), schema)
+    return joined.mapInArrow(lean(_without_places(names, text_col, own + "places")), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import looked_up, materialise, small_enough
+from lectern.llm.common import lean, looked_up, materialise, small_enough
 from lectern.llm.components import components
 from lectern.llm.sketches import Sketches, differing, may_link
 
@@ -73,7 +73,7 @@ def verified(pairs: DataFrame, bodies: Callable[[DataFrame], DataFrame], to_set:
     left = whole.select(F.col("id").alias("a"), F.col("body").alias("s"))
     right = whole.select(F.col("id").alias("b"), F.col("body").alias("t"))
     joined = looked_up(left.join(small_enough(pairs), "a"), right, "b", counted=pairs).select("a", "b", "s", "t")
-    return materialise(joined.mapInArrow(_verifier(to_set, percent), "a binary, b binary"), "links")
+    return materialise(joined.mapInArrow(lean(_verifier(to_set, percent)), "a binary, b binary"), "links")
 
 
 def _sketch_filter(percent: int):
@@ -94,7 +94,7 @@ def _stars(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     for side in "ab":  # a pivot is one side of very many pairs
         named = info.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
         pairs = looked_up(pairs, named, side, counted=written)
-    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketch_filter(percent), "a binary, b binary")
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(_sketch_filter(percent)), "a binary, b binary")
 
 
 def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -172,7 +172,7 @@ def _join_regions(percent: int, every: bool):
 
 def _regions(members: DataFrame, info: DataFrame, percent: int, every: bool) -> DataFrame:
     rows = members.join(info, "id").select("cell", "id", "n", "sketch", "root").repartition("cell").sortWithinPartitions("cell", "id")
-    return materialise(rows.mapInArrow(_join_regions(percent, every), "a binary, b binary, more boolean"), "candidates")
+    return materialise(rows.mapInArrow(lean(_join_regions(percent, every)), "a binary, b binary, more boolean"), "candidates")
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -239,7 +239,7 @@ def _voronoi(state: DataFrame, info: DataFrame, depth: int, percent: int) -> Dat
     )
     rows = state.join(info, "id").select("cell", F.pmod(F.xxhash64("id"), salts).alias("salt"), F.lit(True).alias("member"), "id", "n", "sketch")
     rows = rows.unionByName(heads).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "member")
-    return materialise(rows.mapInArrow(_windows(percent), "cell bigint, id binary, pivot binary, nearest boolean, close boolean, inside boolean"), "voronoi")
+    return materialise(rows.mapInArrow(lean(_windows(percent)), "cell bigint, id binary, pivot binary, nearest boolean, close boolean, inside boolean"), "voronoi")
 
 
 def _blocks(state: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import binary_column, buckets_of, looked_up, materialise, packed, slices, small_enough
+from lectern.llm.common import binary_column, buckets_of, lean, looked_up, materialise, packed, slices, small_enough, trim
 from lectern.llm.components import components
 from lectern.llm.metric import links, shared_cells
 from lectern.llm.shingles import shingle_set
@@ -144,6 +144,7 @@ def _prefixes(words: int, percent: int, buckets: int):
     """A slice of texts and the classes of its shingles to (cell, id) for the shared shingles in prefixes."""
 
     def run(texts: pa.Table, classes: pa.Table) -> pa.Table:
+        trim()
         ids, cells, owners = [], [], []
         if classes.num_rows:
             ids, sets, once = _shingles(words, *(texts[c][0].as_py() for c in ("id", "sizes", "texts")))
@@ -197,11 +198,11 @@ def jaccard_components(
     spark = docs.sparkSession
     buckets = buckets_of(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    both = materialise(rows.mapInArrow(_sketch(words), _SKETCH), "ngram-sketch")
+    both = materialise(rows.mapInArrow(lean(_sketch(words)), _SKETCH), "ngram-sketch")
     sketch = both.filter("at is not null")
     texts = both.filter("at is null").select("slice", "id", "sizes", "texts")
-    counted = texts.mapInArrow(_send(words, buckets), "bucket int, slice bigint, keys binary, counts binary")
-    classes = counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, "slice bigint, bucket int, classes binary")
+    counted = texts.mapInArrow(lean(_send(words, buckets)), "bucket int, slice bigint, keys binary, counts binary")
+    classes = counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_count), "slice bigint, bucket int, classes binary")
     postings = texts.groupBy("slice").cogroup(classes.groupBy("slice")).applyInArrow(_prefixes(words, percent, buckets), "cell bigint, id binary")
     cells = materialise(shared_cells(postings, "ngram-shared"), "ngram-cells")
 
@@ -212,7 +213,7 @@ def jaccard_components(
     info = materialise(sketch.select("at", "id", "n", "sketch").join(small_enough(wanted), "at").select("id", "n", "sketch"), "ngram-info")
     chosen = wanted.groupBy(F.shiftright("at", _ROW).alias("slice")).agg(F.collect_list(F.col("at").bitwiseAND((1 << _ROW) - 1)).alias("rows"))
     chosen = texts.join(small_enough(materialise(chosen, "ngram-rows")), "slice").select("id", "sizes", "texts", "rows")
-    whole = materialise(chosen.mapInArrow(_pick, "id binary, body binary"), "ngram-bodies")
+    whole = materialise(chosen.mapInArrow(lean(_pick), "id binary, body binary"), "ngram-bodies")
     bodies = lambda ids: whole.join(small_enough(ids), "id", "left_semi")
     roots = components(links(cells, info, bodies, partial(_set_of, words=words), percent))
     least = materialise(items.join(small_enough(roots), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "first"), "ngram-roots")
