@@ -33,8 +33,8 @@ CHARACTERS = 5_000
 #: Share of rows in a learned language that rejection may lose; rows from which on a length bin has a tail of its own; and
 #: the least distance, in nats a character, of a limit from its language's mean.
 FALSE_REJECTION, TAIL_ROWS, MARGIN = 1e-4, 100, 1.25
-#: Characters of a text that are scored at once.
-PIECE_CHARS = 1 << 20
+#: Characters that are scored at once: the arrays of a piece take about 150 bytes a character and should stay in the processor's cache.
+PIECE_CHARS = 1 << 15
 PAD = "\n" * (ORDER - 1)
 #: First text lengths of the bins that rejection is calibrated in.
 LENGTH_BINS = (0, 64, 256, 1024)

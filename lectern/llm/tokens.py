@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise, scratch_path, slices, small_enough
+from lectern.llm.common import kept, lean, materialise, scratch_path, slices, small_enough
 
 CACHE_SCHEMA = "tokenizer string, content binary, n_tokens bigint"
 #: Pieces whose counts one Python worker keeps.
@@ -30,8 +30,6 @@ ASCII_PIECES = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\s0-9A-Za-z]+|\s+(?!\S)|\s+"
 )
 
-_loaded: dict[str, object] = {}
-
 
 class PieceCounter:
     """Token counts of texts from memoised counts of their pieces.
@@ -88,14 +86,15 @@ class ModelCounter:
 
 
 def counter(path: str):
-    """The counter for a tokenizer file, one per Python worker."""
-    if path not in _loaded:
+    """The counter for a tokenizer file, one per Python worker while its tasks count tokens."""
+
+    def load():
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _loaded.clear()
-        _loaded[path] = ModelCounter(path) if path.endswith(".model") else PieceCounter(path)
-    return _loaded[path]
+        return ModelCounter(path) if path.endswith(".model") else PieceCounter(path)
+
+    return kept(("tokenizer", path), load)
 
 
 def tokenizer_digest(path: str) -> str:
@@ -106,12 +105,12 @@ def tokenizer_digest(path: str) -> str:
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "body"):
+            for part in slices(batch, "body", 1 << 19):  # a text's pieces are Python objects, so of few texts at a time
                 counts = counter(path).count(part.column(part.schema.get_field_index("body")).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("content")), pa.array(counts, pa.int64())],
                                                  ["content", "n_tokens"])
 
-    return run
+    return lean(run, ("tokenizer", path))
 
 
 def cached_counts(docs: DataFrame, cache: str, tokenizer: str, *, text_col: str = "text") -> DataFrame:

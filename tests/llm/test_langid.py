@@ -115,3 +115,20 @@ def test_pieces_add_up_to_the_whole_text(spark, monkeypatch):
         monkeypatch.setattr(langid, "PIECE_CHARS", size)
         parts, same = langid.cross_entropies(model, texts)
         assert abs(parts - whole).max() < 1e-9 and (same == lengths).all()
+
+
+def test_scoring_takes_the_memory_of_one_piece():
+    import tracemalloc
+
+    points = langid._points("abcdefgh " * 50)
+    grams = [np.unique(langid._hashes(points, k)) for k in range(1, langid.ORDER + 1)]
+    backs = [np.unique(langid._hashes(points, k)) for k in range(1, langid.ORDER)]
+    zeros = lambda tables: [np.zeros((len(t), 2), np.float32) for t in tables]
+    model = langid.Model(["a", "b"], grams, zeros(grams), backs, zeros(backs), np.full(2, -9.0))
+    texts = ["abcdefgh xy " * 40_000] * 2 + ["abc "] * 100_000
+    tracemalloc.start()
+    try:
+        langid.cross_entropies(model, texts)
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
