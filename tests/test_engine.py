@@ -145,3 +145,29 @@ def test_papers_hide_answers_from_readers(spark):
     got = {r.paper_id: r for r in paper_detail(spark.createDataFrame([(1, "read"), (2, "write")], "paper_id bigint, role string"), q).collect()}
     assert [sorted(x) for x in json.loads(got[1].questions)] == [["qid", "stem"]] * 2 and got[1].reference_answers is None
     assert json.loads(got[2].reference_answers) == [{"qid": 1, "answer": "a1"}, {"qid": 2, "answer": "a2"}] and json.loads(got[2].questions)[0] == {"qid": 1, "stem": "s1", "answer": "a1"}
+
+
+def test_keyword_scores_take_no_memory_for_the_longest_word():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lectern.operators.retrieve import _bm25_scores
+
+    words = ["w" * 40_000, *(f"a{i % 50}" for i in range(999))]
+    terms = pa.table({"query_id": pa.array(range(1000), pa.int64()), "term": words, "q": pa.array([1] * 1000, pa.int64()), "idf": [1.0] * 1000, "avgdl": [2.0] * 1000})
+    chunks = pa.table({"kb_id": pa.array([1] * 3000, pa.int64()), "chunk_id": [f"c{i:05}" for i in reversed(range(3000))], "dl": pa.array([2] * 3000, pa.int64()),
+                       "terms": [[f"a{i % 50}", "other"] for i in range(3000)], "tfs": pa.array([[1, 1]] * 3000, pa.list_(pa.int64()))})
+    tracemalloc.start()
+    try:
+        got = _bm25_scores(2)(chunks, terms)
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+    # Of equal scores the smaller ids, of each slice of the chunks; chunk i is at 2999 - i.
+    best = {}
+    for q, c in zip(got["query_id"].to_pylist(), got["chunk_id"].to_pylist(), strict=True):
+        best.setdefault(q, []).append(c)
+    assert 0 not in best and len(best) == 999 and all(sorted(c)[:2] == c[:2] for c in best.values())
+    first = min(f"c{2999 - i:05}" for i in range(3000) if i % 50 == 7)
+    assert best[8][0] == first
