@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from lectern.functions.text import document_type, file_extension
 
 MAX_BYTES = 100 << 20
+#: Partitions of small files that one task reads.
+PARTS_A_TASK = 16
 #: Fixed values.
 TYPE_LABELS = {"choice": "单选题", "fill": "填空题", "short": "简答题"}
 
@@ -28,12 +30,19 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     files = files.filter(file_extension(name).isin(".md", ".markdown", ".txt"))
+    # Spark counts a file as 4 MB at least, which makes a task of each 32 small ones.
+    parts = files.rdd.getNumPartitions()
+    files = files.coalesce(max(-(-parts // PARTS_A_TASK), min(parts, 4 * spark.sparkContext.defaultParallelism)))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):  # a file at a time, as files may be large
-                row = batch.slice(k, 1)
-                yield pa.RecordBatch.from_arrays([row.column(0), pa.array([decoded(row.column(1)[0].as_py() or b"")])], ["path", "text"])
+            first, texts, held = 0, [], 0
+            for k in range(batch.num_rows):  # small files together, as files may be large
+                texts.append(decoded(batch.column(1)[k].as_py() or b""))
+                held += len(texts[-1])
+                if held > 1 << 20 or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(texts, pa.string())], ["path", "text"])
+                    first, texts, held = k + 1, [], 0
 
     rows = files.mapInArrow(decode, "path string, text string")
     kind = F.when(file_extension(name) == ".txt", "txt").otherwise("markdown")

@@ -171,3 +171,17 @@ def test_keyword_scores_take_no_memory_for_the_longest_word():
     assert 0 not in best and len(best) == 999 and all(sorted(c)[:2] == c[:2] for c in best.values())
     first = min(f"c{2999 - i:05}" for i in range(3000) if i % 50 == 7)
     assert best[8][0] == first
+
+
+def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
+    from lectern.sources.files import read_text_documents
+
+    for i in range(200):
+        (tmp_path / f"f{i}.txt").write_bytes(f"第{i}".encode("gbk" if i % 2 else "utf-8"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        docs = read_text_documents(spark, str(tmp_path))
+        assert docs.rdd.getNumPartitions() < 200
+        assert {(r.title, r.text) for r in docs.collect()} == {(f"f{i}", f"第{i}") for i in range(200)}
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
