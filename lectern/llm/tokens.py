@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,33 +17,29 @@ from pyspark.sql import functions as F
 from lectern.llm.common import kept, lean, materialise, scratch_path, slices, small_enough
 
 CACHE_SCHEMA = "tokenizer string, content binary, n_tokens bigint"
-#: Pieces whose counts one Python worker keeps.
-MEMO_PIECES = 1_000_000
+#: Words whose counts one Python worker keeps, and the most characters that such a word has.
+MEMO_WORDS, MEMO_CHARS = 500_000, 32
 #: Copies from which on a content counts as hot: its rows meet their count in a broadcast join.
 HOT = 256
 
-# Fixed value: how the byte-level vocabulary cuts text into pieces; white space is the Unicode property.
-PIECES = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
-    r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-)
-ASCII_PIECES = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\s0-9A-Za-z]+|\s+(?!\S)|\s+"
-)
+#: The byte-level alphabet: a character for each byte, those that print stand for themselves.
+_PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: chr(b) for b in _PRINT} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_PRINT)))}
 
 
-class PieceCounter:
-    """Token counts of texts from memoised counts of their pieces.
+class WordCounter:
+    """Token counts of texts from memoised counts of their words.
 
-    For a byte-level tokenizer without normaliser the tokens of a text are those of its pieces one
-    by one, with added-token strings cut out first; other tokenizers encode whole texts.
+    A byte-level tokenizer without normaliser never joins what comes before a single space or line feed
+    with what follows, so the tokens of a text are those of its words, each with the space or line feed
+    before it. Texts in which white space meets white space in another way, or that hold added tokens,
+    are encoded whole, as are all texts of other tokenizers.
     """
 
     def __init__(self, path: str):
         import json
         import re
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,28 +48,70 @@ class PieceCounter:
         pre = spec.get("pre_tokenizer") or {}
         added = spec.get("added_tokens") or []
         flags = ("single_word", "lstrip", "rstrip", "normalized")
-        self.by_piece = (
+        self.by_word = (
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
             and not spec.get("normalizer") and not any(a[f] for a in added for f in flags)
         )
         self.special = re.compile("|".join(re.escape(a["content"]) for a in added)) if added else None
-        self.ascii, self.pieces, self.memo = re.compile(ASCII_PIECES, re.ASCII), regex.compile(PIECES), {}
+        self.model, self.memo = self.tokenizer.model, {}
+        self.feed, *marks = self.whole(["\n", ",", "."])
+        self.marks = dict(zip(",.", marks, strict=True))
+
+    def whole(self, texts: list[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> dict[str, int]:
+        """Counts of words with the space before them; those that begin with a line feed have none.
+
+        Left out are words that would have white space before their space or line feed or after it.
+        """
+        found, others, model, marks = {}, [], self.model.tokenize, self.marks
+        for w in words:
+            head = w[:1]
+            n, body = (self.feed, w[1:]) if head == "\n" else (0, w)
+            if body[-1:] in marks:
+                n, body = n + marks[body[-1:]], body[:-1]
+            if body.isascii() and body.isalpha():  # letters are one piece, which the model takes as it is
+                found[w] = n + len(model(body if head == "\n" else "\u0120" + body))
+            elif body.isalpha() and max(body) < "\u0250":
+                body = body.encode().decode("latin-1").translate(ALPHABET)
+                found[w] = n + len(model(body if head == "\n" else "\u0120" + body))
+            elif head.strip() or head == "\n" and (w == "\n" or w[1].strip()):
+                others.append(w)
+        for i in range(0, len(others), 10_000):
+            part = others[i : i + 10_000]
+            found.update(zip(part, self.whole([w if w[0] == "\n" else " " + w for w in part]), strict=True))
+        return found
+
+    def known(self, words: set[str]) -> dict[str, int | None]:
+        """Counts of a slice's different words, none for those that ``learn`` leaves out."""
+        counts = dict(zip(words, map(self.memo.get, words), strict=True))
+        found = self.learn([w for w, n in counts.items() if n is None])
+        counts.update(found)
+        if len(self.memo) + len(found) > MEMO_WORDS:
+            self.memo.clear()
+        self.memo.update(found)
+        for w in found:
+            if len(w) > MEMO_CHARS:
+                del self.memo[w]
+        return counts
 
     def count(self, texts: list[str]) -> list[int]:
-        if not self.by_piece:
-            return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        totals, cut = [], []
-        for text in texts:
-            parts = self.special.split(text) if self.special and self.special.search(text) else [text]
-            totals.append(len(parts) - 1)
-            cut.append([w for p in parts for w in (self.ascii if p.isascii() else self.pieces).findall(p)])
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        new = list({w for words in cut for w in words if w not in self.memo})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            self.memo.update(zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        return [n + sum(map(self.memo.__getitem__, words)) for n, words in zip(totals, cut, strict=True)]
+        if not self.by_word:
+            return self.whole(texts)
+        spaced = [t.replace("\n", " \n") for t in texts]
+        apart = [not ((self.special and self.special.search(t)) or " \n \n " in s or s.endswith(" \n \n")) for t, s in zip(texts, spaced, strict=True)]
+        cut = [s.split(" ") if a else [""] for a, s in zip(apart, spaced, strict=True)]
+        totals, of = self.whole([words.pop(0) for words in cut]), self.known(set(chain.from_iterable(cut))).__getitem__
+        for k, words in enumerate(cut):
+            try:
+                totals[k] += sum(map(of, words))
+            except TypeError:
+                apart[k] = False
+        rest = [k for k, a in enumerate(apart) if not a]
+        for k, n in zip(rest, self.whole([texts[k] for k in rest]), strict=True):
+            totals[k] = n
+        return totals
 
 
 class ModelCounter:
@@ -92,7 +131,7 @@ def counter(path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        return ModelCounter(path) if path.endswith(".model") else PieceCounter(path)
+        return ModelCounter(path) if path.endswith(".model") else WordCounter(path)
 
     return kept(("tokenizer", path), load)
 
@@ -105,7 +144,7 @@ def tokenizer_digest(path: str) -> str:
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "body", 1 << 19):  # a text's pieces are Python objects, so of few texts at a time
+            for part in slices(batch, "body", 1 << 19):  # a text's words are Python objects, so of few texts at a time
                 counts = counter(path).count(part.column(part.schema.get_field_index("body")).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("content")), pa.array(counts, pa.int64())],
                                                  ["content", "n_tokens"])
