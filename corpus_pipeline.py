@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, langid, lines, ngram_join, packing
-from lectern.llm.common import materialise, small_enough
+from lectern.llm.common import materialise, small_batches, small_enough
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and letterless texts go; without any labelled language nothing is recognised and all go. Repeated rows
     stay or go together.
     """
+    small_batches(spark)
     return langid.drop_rejected(docs, langid.train(docs))
 
 
@@ -28,6 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, min_chars: int
     A line stays where the document id is smallest (ties: first place). Documents that lose their last line go; null, empty
     and blank texts stay; repeated rows keep the same lines.
     """
+    small_batches(spark)
     kept = lines.dedup_lines(docs, min_chars=min_chars).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else kept
 
@@ -37,6 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that repeat an id and its text stay once.
     """
+    small_batches(spark)
     groups = materialise(ngram_join.jaccard_components(docs), "groups")
     lost = materialise(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "lost")
     kept = docs.join(small_enough(lost), "doc_id", "left_anti").select(*docs.columns)
@@ -52,6 +55,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null and word-less texts stay, repeated rows stay or go together; an empty benchmark drops nothing.
     """
+    small_batches(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -62,6 +66,7 @@ def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     import public_tokenizers
 
+    small_batches(spark)
     return packing.pack_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
